@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import audio, bpe, language_id, toxicity
+from strandweave.llm import audio, bpe, language_id, mixing, topk, toxicity, url_filter, warc
 from strandweave.llm.common import id_crc, table
 
 
@@ -31,6 +31,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     dictionaries = language_id.learn(documents, id_crc() % 3 != 1)
@@ -48,11 +57,47 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: The listed rules of op9: verdict, host, path.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+#: The mixture of op10: a domain is a third of the sources, by crc32.
+DOMAIN = F.concat(F.lit("domain"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 3).cast("string"))
+WEIGHTS = {
+    ("domain0",): 0.5, ("domain1",): 0.3, ("domain2",): 0.2,
+    ("*", "en"): 0.55, ("*", "de"): 0.15, ("*", "fr"): 0.15, ("*", "es"): 0.15,
+}
+FRACTION, EPOCHS, SEED = 0.6, 2.0, 20
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    leaves, tokens = mixing.plan(documents, DOMAIN, WEIGHTS, fraction=FRACTION, max_epochs=EPOCHS, seed=SEED)
+    return mixing.copies(leaves, tokens, SEED).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
+        F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_warc": op3_warc,
+    "op5_topk": op5_topk,
     "op6_language_id": op6_language_id,
     "op7_telephony_audio": op7_telephony_audio,
     "op8_bpe": op8_bpe,
+    "op9_url_filter": op9_url_filter,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
