@@ -129,13 +129,25 @@ def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BYTE[7])
 
 
-def word_hashes(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, byte starts and byte ends of a text's words."""
+#: Longer texts are hashed in pieces of about this many bytes.
+PIECE_BYTES = 1 << 22
+
+
+def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
+    """Hashes of a text's words, in order."""
     data = np.frombuffer(text, dtype=np.uint8)
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    return run_hashes(_BYTE[LOWER[data] if lower else data], starts, ends), starts, ends
+    out, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > PIECE_BYTES:
+            gaps = np.flatnonzero(SEPARATOR[data[at + PIECE_BYTES : end]])
+            end = at + PIECE_BYTES + int(gaps[0]) if len(gaps) else end
+        piece = data[at:end]
+        starts, ends = word_spans(piece)
+        if len(starts):
+            out.append(run_hashes(_BYTE[LOWER[piece] if lower else piece], starts, ends))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

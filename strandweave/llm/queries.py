@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import audio, bpe, language_id, mixing, topk, toxicity, url_filter, warc
+from strandweave.llm import audio, bpe, language_id, mixing, substring_dedup, topk, toxicity, url_filter, warc
 from strandweave.llm.common import id_crc, table
 
 
@@ -35,6 +35,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
@@ -92,6 +96,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_topk": op5_topk,
     "op6_language_id": op6_language_id,
     "op7_telephony_audio": op7_telephony_audio,
