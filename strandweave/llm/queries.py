@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import audio, bpe, language_id, mixing, substring_dedup, topk, toxicity, url_filter, warc
+from strandweave.llm import audio, bpe, language_id, mixing, ngram_join, substring_dedup, topk, toxicity, url_filter, warc
 from strandweave.llm.common import id_crc, table
 
 
@@ -31,6 +31,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -95,6 +99,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_topk": op5_topk,
