@@ -208,16 +208,27 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id and the token ids of every row, as ``array<int>``."""
+    """doc_id, token ids and the digests of every row; each row is decoded again
+    and must give its text."""
 
     def run(batch: pa.RecordBatch):
         coder = Encoder.of(path)
-        ids = [coder.encode(t or "").astype(np.int32) for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        ids = [coder.encode(t) for t in texts]
+        decoded = [coder.decode(i) for i in ids]
+        if decoded != texts:
+            raise ValueError("a decoded text differs")
         offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        yield {"doc_id": batch.column(0), "token_ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))}
+        yield {
+            "doc_id": batch.column(0), "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+            "token_ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
+            "ids_sha256": [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids],
+            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
+        }
 
     columns = (F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return map_batches(documents, columns, run, "doc_id long, token_ids array<int>")
+    schema = "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return map_batches(documents, columns, run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandweave.llm.common import prepare
 
@@ -29,7 +30,6 @@ ROWS, DICTIONARY_BYTES = 96, 64_000
 PIECE = 2048
 #: Relative gap between the two smallest sizes below which a text is rejected.
 MARGIN = 0.003
-SCHEMA = "lang_pred string, score double, rejected boolean"
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -108,9 +108,10 @@ class Classifier:
         return self.coders[best][0], 1 - 0.5 * 2 ** (-gap / 0.02), gap < margin
 
 
-def classify(documents: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+def classify(documents: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, prefix: str = "") -> DataFrame:
     """Add lang_pred, score (0 to 1) and rejected to every row, in one narrow
-    stage; the dictionaries' size is bounded by ``learn``."""
+    stage; the dictionaries' size is bounded by ``learn``. ``prefix`` goes before
+    the new names, for tables that have such columns already."""
     prepare(documents.sparkSession)
     names, text_at = documents.columns, documents.columns.index("text")
 
@@ -121,11 +122,18 @@ def classify(documents: DataFrame, dictionaries: dict[str, bytes], margin: float
             pred, score, rejected = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=[*names, "lang_pred", "score", "rejected"],
+                names=[*names, *new],
             )
 
-    clash = [c for c in ("lang_pred", "score", "rejected") if c in names]
-    if clash:
-        raise ValueError(f"columns {clash} are made here; rename them first")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{fields}, {SCHEMA}")
+    new = [f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")]
+    if clash := set(new) & set(names):
+        raise ValueError(f"columns {sorted(clash)} are made here; give a prefix")
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(c, k) for c, k in zip(new, kinds))])
+    return documents.mapInArrow(run, schema)
+
+
+def kept(documents: DataFrame, usable: Column, margin: float = MARGIN) -> DataFrame:
+    """The rows whose language is told, with the table's columns."""
+    rows = classify(documents, learn(documents, usable), margin, prefix="_lid_")
+    return rows.filter(~F.col("_lid_rejected")).select(*[F.col(f"`{c}`") for c in documents.columns])

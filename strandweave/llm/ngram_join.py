@@ -278,7 +278,7 @@ def _prefix_edges(rows: DataFrame, prefixes: DataFrame, percent: int) -> DataFra
 
 
 def sets(documents: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
-    """(doc_id, size, node, prefix) of every row."""
+    """(doc_id, text_hash, size, node, prefix) of every row."""
 
     def run(batch: pa.RecordBatch):
         n, nodes, prefixes = [], [], []
@@ -289,12 +289,12 @@ def sets(documents: DataFrame, order: Order, size: int, percent: int) -> DataFra
             prefixes.append(keys[: prefix_length(len(keys), percent)].view(np.int64))
         offsets = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
         yield {
-            "doc_id": batch.column(0), "size": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()),
+            "doc_id": batch.column(0), "text_hash": batch.column(2), "size": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()),
             "prefix": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes))),
         }
 
-    columns = (F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(documents, columns, run, "doc_id long, size long, node long, prefix array<long>")
+    columns = (F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return map_batches(documents, columns, run, "doc_id long, text_hash long, size long, node long, prefix array<long>")
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
@@ -303,7 +303,6 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     The first grams of each prefix go first; the others are only looked at
     where they are shared across the components found by then.
     """
-    spark = nodes.sparkSession
     prefixes = nodes.select("node", "size", "prefix")
     exploded = nodes.select("node", F.size("prefix").cast("long").alias("_len"), F.posexplode("prefix").alias("pos", "gram"))
     # one count and sum for each gram before anything is joined: lone grams go
@@ -317,7 +316,6 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     rest = labelled.drop("root").join(mixed, "gram", "left_semi")
     second = _prefix_edges(rest, prefixes, percent)
     edges = first.unionByName(second)
-    del spark
     return components(edges)
 
 
@@ -348,7 +346,7 @@ def links(documents: DataFrame, table: DataFrame, order: Order, size: int, perce
 
 
 def join(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``documents``."""
+    """doc_id, n_shingles, component_id and text_hash of every row."""
     prepare(documents.sparkSession)
     order = Order(frequent(documents, size))
     table = persisted(sets(documents, order, size, percent))
@@ -357,5 +355,16 @@ def join(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     ids = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     named = ids.join(least, "root").select("node", "component_id")
-    out = table.select("doc_id", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = table.select("doc_id", F.col("size").alias("n_shingles"), "node", "text_hash").join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+
+
+def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The row with the smallest id of each component, with the table's columns.
+    Rows with equal id and text are one document."""
+    found = join(documents, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    absent = F.lit(-(2**63))
+    keep = found.select(F.coalesce("doc_id", absent).alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    rows = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), absent), "_text": F.xxhash64("text")})
+    rows = rows.join(keep, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+    return rows.select(*[F.col(f"`{c}`") for c in documents.columns])

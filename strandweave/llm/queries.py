@@ -32,7 +32,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return ngram_join.join(table(spark, sf_dir, "documents"), size=3, percent=90).drop("text_hash")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
