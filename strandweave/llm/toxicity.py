@@ -15,6 +15,7 @@ prior; other columns never enter a score.
 from __future__ import annotations
 
 import re
+from array import array
 from math import exp, expm1, log1p
 
 import numpy as np
@@ -64,7 +65,7 @@ def sample(documents: DataFrame, labels: DataFrame, usable: Column, n: int = SAM
 def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, shrink: float = SHRINK) -> tuple[dict[str, float], float]:
     """Feature weights and bias that maximise the noisy-or likelihood."""
     word_no: dict[str, int] = {}
-    pairs, doc_of, docs_with = [], [], {}
+    p_sent, p_word, doc_of, docs_with = array("q"), array("q"), array("q"), {}
     n_sent = 0
     y = np.array([t for _, t in rows], dtype=float)
     for d, (text, _) in enumerate(rows):
@@ -72,7 +73,8 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
         for _, _, words in sentences(text):
             own = {word_no.setdefault(w, len(word_no)) for w in words}
             seen |= own
-            pairs += [(n_sent, w) for w in own]
+            p_sent.extend([n_sent] * len(own))
+            p_word.extend(own)
             doc_of.append(d)
             n_sent += 1
         for w in seen:
@@ -84,10 +86,12 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
         for g in grams(w):
             gram_docs[g] = gram_docs.get(g, 0) + docs_with[no]
     kept = {g: i for i, g in enumerate(sorted(g for g, n in gram_docs.items() if n >= MIN_DOCS))}
-    fw = [(no, kept[g]) for w, no in word_no.items() for g in grams(w) if g in kept]
-    f_word, f_gram = np.array(fw, dtype=np.int64).reshape(-1, 2).T
-    p_sent, p_word = np.array(pairs, dtype=np.int64).T
-    doc_of = np.array(doc_of)
+    f_word, f_gram = array("q"), array("q")
+    for w, no in word_no.items():
+        own = [kept[g] for g in grams(w) if g in kept]
+        f_word.extend([no] * len(own))
+        f_gram.extend(own)
+    f_word, f_gram, p_sent, p_word, doc_of = (np.asarray(a, dtype=np.int64) for a in (f_word, f_gram, p_sent, p_word, doc_of))
     weight, bias = np.zeros(len(kept)), -np.log(20 * n_sent / len(rows))
     square, square_b = np.full(len(kept), 1e-6), 1e-6
     shrink = shrink / len(y)
