@@ -59,6 +59,16 @@ def persisted(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that may be sent to every executor.
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table to join with: broadcast if its counted rows are few, else left to
+    a shuffled join, whose larger side can be split where a key is hot."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def map_batches(
     df: DataFrame, columns: Iterable[str | Column], fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str
 ) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.common import broadcast_if_small, persisted
+
 #: (verdict, host, path); a rule fits its host and every subdomain.
 Rule = tuple[str, str, str]
 SUPPORT, CONFIDENCE, DEFAULT = 0.01, 0.8, "allow"
@@ -102,5 +104,6 @@ def judge(
     mined_rules = mine(parsed.filter(F.col("listed").isNotNull()).select("tokens", F.col("listed").alias("verdict")), support, confidence)
     sets = parsed.filter(F.col("listed").isNull()).select("tokens").distinct()
     found = mined_verdicts(sets, mined_rules)
-    out = parsed.join(found, "tokens", "left")
+    # written first: the join's sides are then plain tables, and a hot set can be split
+    out = parsed.join(broadcast_if_small(persisted(found)), "tokens", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
