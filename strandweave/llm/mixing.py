@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandweave.llm.common import persisted, prepare
+from strandweave.llm.common import broadcast_if_small, persisted, prepare
 
 LEVELS = ("domain", "lang", "source")
 NONE = "(none)"
@@ -113,14 +113,15 @@ def plan(
         + [T.StructField(k, T.LongType()) for k in ("_total", "_quota", "_whole", "_rest")]
     )
     leaves = documents.sparkSession.createDataFrame(rows, schema)
-    keyed = narrow.join(leaves, leaf).withColumn("_key", order_key(F.col("_whole"), seed))
+    keyed = narrow.join(broadcast_if_small(leaves), leaf).withColumn("_key", order_key(F.col("_whole"), seed))
     keyed = keyed.withColumn("_range", F.shiftright("_key", 64 - RANGE_BITS)).filter("_rest > 0")
     sums = keyed.groupBy(*leaf, "_range", "_rest").agg(F.sum("_tokens").alias("_sum"))
     upto = F.sum("_sum").over(Window.partitionBy(*leaf).orderBy("_range"))
     ends = sums.withColumn("_upto", upto).filter("_upto > _rest")
     ends = ends.groupBy(*leaf).agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("_before"))).alias("_e"))
     ends = ends.select(*leaf, F.col("_e._range").alias("_range"), F.col("_e._before").alias("_before"))
-    inside = keyed.join(ends, [*leaf, "_range"])
+    ends = persisted(ends)
+    inside = keyed.join(broadcast_if_small(ends), [*leaf, "_range"])
     run = F.col("_before") + F.sum("_tokens").over(Window.partitionBy(*leaf).orderBy("_key"))
     last = inside.withColumn("_run", run).filter("_run <= _rest").groupBy(*leaf).agg(F.max("_key").alias("_last"))
     cuts = ends.join(last, leaf, "left").select(
@@ -132,7 +133,7 @@ def plan(
 def copies(leaves: DataFrame, rows: DataFrame, seed: int = 1) -> DataFrame:
     """``rows`` (with doc_id and leaf columns) and how often each is taken."""
     leaf = [f"_{k}" for k in LEVELS]
-    joined = rows.join(leaves, leaf, "left")
+    joined = rows.join(broadcast_if_small(leaves), leaf, "left")
     in_prefix = F.coalesce(order_key(F.col("_whole"), seed) < F.col("_cut"), F.lit(False)).cast("long")
     return joined.withColumn("_copies", F.coalesce(F.col("_whole") + in_prefix, F.lit(0)))
 
