@@ -10,7 +10,7 @@ of its anchors: a factor is the longest run of windows that occur elsewhere. All
 windows at a factor's borders are looked up too, not only those a greedy parse
 starts at, so no repeated window is lost between two factors.
 
-Equal contexts are counted before they are shuffled, and positions only meet
+Equal contexts of a batch are counted before they are shuffled, and positions only meet
 the contexts that repeat: a passage in a third of all documents is a handful of
 rows in its index block, and the join with positions can be split.
 
@@ -81,20 +81,34 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def contexts(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(anchor, context, n): the distinct contexts of each anchor, counted."""
+    """(anchor, context, n): the contexts of each anchor, those of one batch of
+    documents counted before they leave the task."""
 
     def run(batch: pa.RecordBatch):
+        anchor_parts, id_parts, first_parts, count_parts, window_parts, at = [], [], [], [], [], 0
         for text in batch.column(0).to_pylist():
             for _, words in stretches(text, window):
                 anchor, first, count, windows = anchors(words, window, gram)
                 if len(anchor):
-                    data = np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES])
-                    offsets = np.append(first, len(windows)).astype(np.int32) * _HASH_BYTES
-                    blob = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                    yield {"anchor": pa.array(anchor.view(np.int64)), "context": blob}
-
-    rows = map_batches(documents, ["text"], _joined(run), "anchor long, context binary")
-    return rows.groupBy("anchor", "context").agg(F.count("*").alias("n"))
+                    id_parts.append(context_hashes(anchor, windows, first, count))
+                    anchor_parts.append(anchor)
+                    first_parts.append(first + at)
+                    count_parts.append(count)
+                    window_parts.append(windows)
+                    at += len(windows)
+        if not at:
+            return
+        _, one, n = np.unique(np.concatenate(id_parts), return_index=True, return_counts=True)
+        first, count = np.concatenate(first_parts)[one], np.concatenate(count_parts)[one]
+        ends = np.cumsum(count)
+        picked = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+        windows = np.concatenate(window_parts)[picked]
+        data = np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES])
+        offsets = np.concatenate(([0], ends)).astype(np.int32) * _HASH_BYTES
+        blob = pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        yield {"anchor": pa.array(np.concatenate(anchor_parts)[one].view(np.int64)), "context": blob, "n": pa.array(n)}
+
+    return map_batches(documents, ["text"], run, "anchor long, context binary, n long")
 
 
 def _joined(fn, rows: int = 50_000):
