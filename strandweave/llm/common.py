@@ -59,6 +59,16 @@ def persisted(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``persisted`` wrote; nothing may read it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/strandweave-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 #: Rows of a narrow table that may be sent to every executor.
 BROADCAST_ROWS = 50_000
 

@@ -6,13 +6,15 @@ sets are one node from then on.
 
 1. Two sets that are similar enough share a gram in the first few of each (the
    prefix). Prefix grams are grouped; those of one node only are dropped.
-2. Within a group the prefixes are kept in a trie, traversed once for each set:
-   grams shared by many sets are compared once for all of them, and a subtree is
-   left as soon as its partial overlap and remaining lengths rule it out.
-   Pairs that survive link the nodes of a candidate component.
-3. Whole sets meet only inside candidate components, in a trie again, and true
-   links give the components. Nodes already connected are not compared again, so
-   a group of copies costs links, not pairs.
+2. Within a group, two sets whose sizes or signatures rule a link out are not
+   paired. A signature counts a set's grams in buckets; two sets differ in at
+   least as many grams as their signatures do, so nothing is lost. What is left
+   links the nodes of a candidate component.
+3. Whole sets meet inside candidate components only, in a trie that is traversed
+   once for each set: grams shared by many sets are compared once for all of
+   them, and a subtree is left as soon as its partial overlap and remaining
+   lengths rule it out. True links give the components. Nodes already connected
+   are not compared again, so a group of copies costs links, not pairs.
 
 The frequency order changes cost, never results. A group or candidate component
 too large for one task is cut in tiles, each pair of which meets in one cell.
@@ -33,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import map_batches, mix, persisted, prepare, window_hashes, word_hashes
+from strandweave.llm.common import discard, map_batches, mix, persisted, prepare, window_hashes, word_hashes
 from strandweave.llm.components import components
 
 #: A gram in this share of documents is ordered by frequency; how many at most.
 FREQUENT, ORDERED = 1e-3, 1 << 18
-#: Grams of one cell of the grid at most, about.
-CELL = 4_000_000
+#: Grams, or bytes of signatures, of one cell of the grid at most, about.
+CELL = 8_000_000
 _HEAVY = np.uint64(1 << 63)
 
 
@@ -84,7 +86,7 @@ class Order:
         return np.sort(out)
 
 
-def node_of(keys: np.ndarray) -> int:
+def key_of(keys: np.ndarray) -> int:
     """The identity of a set."""
     return int(mix(np.array([mix(keys).sum() ^ mix(keys + np.uint64(77)).sum() + np.uint64(len(keys))], np.uint64)).view(np.int64)[0])
 
@@ -109,13 +111,29 @@ class _Branch:
         self.low, self.high = 1 << 62, 0
 
 
-class Trie:
-    """A radix tree over ordered key arrays. ``whole``: they are whole sets,
-    else prefixes of sets whose sizes are given."""
+class Forest:
+    """Union-find over the sets of one cell."""
 
-    def __init__(self, keys: list[np.ndarray], sizes: list[int], percent: int, whole: bool):
-        self.keys, self.sizes, self.percent, self.whole = keys, sizes, percent, whole
-        self.parent = list(range(len(keys)))
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.parent[self.find(j)] = self.find(i)
+
+
+class Trie(Forest):
+    """A radix tree over ordered sets."""
+
+    def __init__(self, keys: list[np.ndarray], percent: int):
+        super().__init__(len(keys))
+        self.keys, self.sizes, self.percent = keys, [len(k) for k in keys], percent
         order = sorted(range(len(keys)), key=lambda i: keys[i].astype(">u8").tobytes())
         self.root = _Branch(np.zeros(0, np.uint64))
         self._grow(self.root, order, 0, 0, len(order))
@@ -143,13 +161,6 @@ class Trie:
                 stack.append((child, depth + length, lo, end))
                 lo = end
 
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     def links(self) -> Iterator[tuple[int, int]]:
         """Pairs that connect all linked sets; none inside a component."""
         for x in range(len(self.keys)):
@@ -165,51 +176,61 @@ class Trie:
                 continue
             if not branch.children and len(branch.entries) == 1 and self.find(branch.entries[0]) == self.find(x):
                 continue
-            run, cut = branch.run, False
-            if not self.whole and run[-1] > keys[-1]:  # beyond x's prefix nothing is known
-                run, cut = run[: np.searchsorted(run, keys[-1], side="right")], True
-            if len(run):
-                at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
-                hits += int(np.count_nonzero(keys[at] == run))
-                depth += len(run)
-                past = int(np.searchsorted(keys, run[-1], side="right"))
-            else:
-                past = len(keys) if cut else 0
-            if cut:
-                past = len(keys)
+            run = branch.run
+            at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+            hits += int(np.count_nonzero(keys[at] == run))
+            depth += len(run)
+            past = int(np.searchsorted(keys, run[-1], side="right"))
             missed = past + depth - 2 * hits
             left, low_left, high_left = size - past, max(branch.low, low) - depth, min(branch.high, high) - depth
             gap = max(0, low_left - left, left - high_left)
             most = min(branch.high, high)
             if missed + gap > size + most - 2 * needed(size + most, self.percent):
                 continue
-            if cut:
-                yield from self._accept(x, self._below(branch), depth, past, hits)
-                continue
-            yield from self._accept(x, branch.entries, depth, past, hits)
+            for y in branch.entries:
+                if self.find(x) != self.find(y) and hits >= needed(size + self.sizes[y], self.percent):
+                    self.join(x, y)
+                    yield x, y
             stack += [(child, depth, hits) for child in branch.children]
 
-    def _below(self, branch: _Branch) -> Iterator[int]:
-        stack = [branch]
-        while stack:
-            b = stack.pop()
-            yield from b.entries
-            stack += b.children
-
-    def _accept(self, x: int, entries, depth: int, past: int, hits: int) -> Iterator[tuple[int, int]]:
-        size = self.sizes[x]
-        for y in entries:
-            other = self.sizes[y]
-            if y == x or min(size, other) * 100 < self.percent * max(size, other) or self.find(x) == self.find(y):
-                continue
-            if self.whole:
-                good = hits >= needed(size + other, self.percent)
-            else:
-                missed = past + depth - 2 * hits + abs((size - past) - (other - depth))
-                good = missed <= size + other - 2 * needed(size + other, self.percent)
-            if good:
-                self.parent[self.find(y)] = self.find(x)
-                yield x, y
+
+class Signatures(Forest):
+    """Sets of one group by their sizes and bucket counts."""
+
+    def __init__(self, sizes: list[int], counts: list[np.ndarray], percent: int):
+        super().__init__(len(sizes))
+        self.sizes, self.counts, self.percent = np.array(sizes), counts, percent
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs that connect all sets that may be linked."""
+        order = np.argsort(self.sizes, kind="stable")
+        sizes, percent = self.sizes[order], self.percent
+        widths = np.array([len(self.counts[i]) for i in order])
+        stacks = {w: np.stack([self.counts[i] for i in order[widths == w]]).astype(np.int32) for w in np.unique(widths)}
+        row = np.zeros(len(order), np.int64)
+        for w in stacks:
+            row[widths == w] = np.arange((widths == w).sum())
+        root = np.arange(len(order))
+        for x in range(len(order)):
+            end = np.searchsorted(sizes, 100 * sizes[x] // percent, side="right")
+            others = np.arange(x + 1, end)
+            others = others[root[others] != root[x]]
+            own = stacks[widths[x]][row[x]]
+            for w in np.unique(widths[others]):
+                at = others[widths[others] == w]
+                differ = np.abs(stacks[w][row[at]].reshape(len(at), len(own), -1).sum(axis=2) - own).sum(axis=1)
+                total = sizes[x] + sizes[at]
+                for y in at[differ <= total - 2 * -(-percent * total // (100 + percent))]:
+                    if root[y] != root[x]:
+                        root[root == root[y]] = root[x]
+                        yield int(order[x]), int(order[y])
+
+
+def signature(keys: np.ndarray) -> np.ndarray:
+    """Counts of a set in 2**k buckets, about 24 grams to a bucket; larger sets
+    have more, and neighbouring buckets add up to those of smaller sets."""
+    bits = max(5, int(len(keys) // 24).bit_length())
+    return np.bincount((mix(keys) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
 
 
 # ---- the join --------------------------------------------------------------
@@ -257,44 +278,38 @@ def _by_cell(rows: DataFrame, key: str, solve: Callable[[pa.Table], list[tuple[i
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _arrays(column) -> list[np.ndarray]:
-    column = column.combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    flat, offsets = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
-
-
-def _prefix_edges(rows: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _candidate_edges(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Candidate edges among the nodes of each shared gram."""
 
     def solve(cell: pa.Table) -> list[tuple[int, int]]:
         nodes = cell["node"].to_pylist()
-        trie = Trie(_arrays(cell["prefix"]), cell["size"].to_pylist(), percent, whole=False)
-        return [(nodes[x], nodes[y]) for x, y in trie.links()]
+        counts = [np.frombuffer(c, np.uint16) for c in cell["signature"].to_pylist()]
+        return [(nodes[x], nodes[y]) for x, y in Signatures(cell["size"].to_pylist(), counts, percent).links()]
 
-    held = rows.join(prefixes, "node")
+    held = rows.join(signatures, "node")
     return _by_cell(_cells(held, "gram", "_total").drop("_total"), "gram", solve)
 
 
 def sets(documents: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, size, node, prefix) of every row."""
+    """(doc_id, text_hash, size, key, prefix, signature) of every row."""
 
     def run(batch: pa.RecordBatch):
-        n, nodes, prefixes = [], [], []
+        n, nodes, prefixes, signatures = [], [], [], []
         for text in batch.column(1).to_pylist():
             keys = order.keys(grams(text, size))
             n.append(len(keys))
-            nodes.append(node_of(keys) if len(keys) else None)
+            nodes.append(key_of(keys) if len(keys) else None)
+            signatures.append(signature(keys).tobytes())
             prefixes.append(keys[: prefix_length(len(keys), percent)].view(np.int64))
         offsets = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
         yield {
-            "doc_id": batch.column(0), "text_hash": batch.column(2), "size": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()),
+            "doc_id": batch.column(0), "text_hash": batch.column(2), "size": pa.array(n, pa.int64()), "key": pa.array(nodes, pa.int64()),
             "prefix": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes))),
+            "signature": pa.array(signatures, pa.binary()),
         }
 
     columns = (F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return map_batches(documents, columns, run, "doc_id long, text_hash long, size long, node long, prefix array<long>")
+    return map_batches(documents, columns, run, "doc_id long, text_hash long, size long, key long, prefix array<long>, signature binary")
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
@@ -303,43 +318,59 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     The first grams of each prefix go first; the others are only looked at
     where they are shared across the components found by then.
     """
-    prefixes = nodes.select("node", "size", "prefix")
-    exploded = nodes.select("node", F.size("prefix").cast("long").alias("_len"), F.posexplode("prefix").alias("pos", "gram"))
-    # one count and sum for each gram before anything is joined: lone grams go
-    shared = exploded.groupBy("gram").agg(F.count("*").alias("_n"), F.sum("_len").alias("_total")).filter("_n > 1").drop("_n")
-    rows = persisted(exploded.drop("_len").join(shared, "gram"))
-    first = _prefix_edges(rows.filter("pos < 3").select("gram", "node", "_total"), prefixes, percent)
+    signatures = nodes.select("node", "size", "signature")
+    exploded = nodes.select("node", F.octet_length("signature").alias("_len"), F.posexplode("prefix").alias("pos", "gram")).repartition("gram")
+    # lone grams go, and of grams that the very same nodes share one stays; the
+    # sums and the join work on one dealing of the rows (equal columns, so that
+    # the exchange is reused)
+    nodes_hash = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"_h{i}") for i in (0, 1)]
+    groups = exploded.groupBy("gram").agg(F.count("*").alias("_n"), F.sum("_len").alias("_total"), F.min("pos").alias("_first"), *nodes_hash)
+    same = groups.filter("_n > 1").groupBy("_n", "_h0", "_h1").agg(F.min(F.struct("gram", "_total", "_first")).alias("g"))
+    rows = persisted(exploded.join(same.select("g.*"), "gram"))
+    first = _candidate_edges(rows.filter("pos < 3").select("gram", "node", "_total"), signatures, percent)
     first = persisted(first)
     found = components(first)
     labelled = rows.select("gram", "node", "_total").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("gram").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("gram")
     rest = labelled.drop("root").join(mixed, "gram", "left_semi")
-    second = _prefix_edges(rest, prefixes, percent)
+    second = _candidate_edges(rest, signatures, percent)
     edges = first.unionByName(second)
     return components(edges)
 
 
-def links(documents: DataFrame, table: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
-    """True links (a, b) between nodes; enough to connect every component."""
-    nodes = table.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.min_by("prefix", "doc_id").alias("prefix")
+def distinct_sets(table: DataFrame) -> DataFrame:
+    """(node, key, doc_id, size, prefix, signature): one row for each set, under
+    a small number instead of its 64-bit key, which packs better."""
+    one = table.filter("key is not null").groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.min_by(F.struct("prefix", "signature"), "text_hash").alias("_p")
     )
-    nodes = persisted(nodes)
-    found = candidates(nodes.filter("prefix is not null"), percent)
-    totals = found.join(nodes.select("node", "doc_id", "size"), "node")
+    return one.select(F.monotonically_increasing_id().alias("node"), "key", "doc_id", "size", "_p.*")
+
+
+def links(documents: DataFrame, nodes: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
+    """True links (a, b) between nodes; enough to connect every component."""
+    found = candidates(nodes, percent)
+    totals = found.join(nodes.select("node", "key", "doc_id", "size"), "node")
     sums = totals.groupBy("root").agg(F.sum("size").alias("_total"))
-    wanted = totals.join(sums, "root").select("doc_id", "node", "root", "_total")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    absent = F.lit(-(2**63))  # stands for a null id
+    wanted = totals.join(sums, "root").select(F.coalesce("doc_id", absent).alias("doc_id"), "node", "key", "root", "_total")
+    wanted = persisted(wanted)
+    # few documents are wanted as a rule: Spark's runtime filter (of bounded size,
+    # and without effect on results) keeps the others' texts from the shuffle
+    spark = documents.sparkSession
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), absent).alias("doc_id"), "text")
+    texts = rows.join(wanted.filter("_total > 0"), "doc_id")
 
     def solve(cell: pa.Table) -> list[tuple[int, int]]:
         nodes, keys, seen = [], [], set()
-        for node, text in zip(cell["node"].to_pylist(), cell["text"].to_pylist()):
+        for node, key, text in zip(cell["node"].to_pylist(), cell["key"].to_pylist(), cell["text"].to_pylist()):
             own = order.keys(grams(text, size)) if node not in seen else None
-            if own is not None and node_of(own) == node:  # else a row of the same id with another text
+            if own is not None and key_of(own) == key:  # else a row of the same id with another text
                 seen.add(node)
                 nodes.append(node)
                 keys.append(own)
-        trie = Trie(keys, [len(k) for k in keys], percent, whole=True)
+        trie = Trie(keys, percent)
         return [(nodes[x], nodes[y]) for x, y in trie.links()]
 
     return _by_cell(_cells(texts, "root", "_total").drop("_total", "doc_id"), "root", solve)
@@ -349,13 +380,15 @@ def join(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and text_hash of every row."""
     prepare(documents.sparkSession)
     order = Order(frequent(documents, size))
-    table = persisted(sets(documents, order, size, percent))
-    roots = components(links(documents, table, order, size, percent))
-    ids = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = ids.join(least, "root").select("node", "component_id")
-    out = table.select("doc_id", F.col("size").alias("n_shingles"), "node", "text_hash").join(named, "node", "left")
+    wide = persisted(sets(documents, order, size, percent))
+    nodes = persisted(distinct_sets(wide))
+    table = persisted(wide.select("doc_id", "text_hash", F.col("size").alias("n_shingles"), "key"))
+    discard(wide)
+    roots = components(links(documents, nodes, order, size, percent))
+    ids = nodes.select("node", "key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = ids.join(least, "root").select("key", "component_id")
+    out = table.join(named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
