@@ -177,8 +177,8 @@ def repeated(index: DataFrame) -> DataFrame:
         place = (np.arange(len(windows)) - np.repeat(first, count)).astype(np.int64)
         mask = np.bitwise_or.reduceat(np.where(often, np.int64(1) << place, 0), first)
         hit = mask != 0
-        ids = context_hashes(anchor, windows, first, count)[hit].view(np.int64)
-        yield pa.RecordBatch.from_pydict({"context_id": pa.array(ids), "mask": pa.array(mask[hit])})
+        ids, one = np.unique(context_hashes(anchor, windows, first, count)[hit].view(np.int64), return_index=True)
+        yield pa.RecordBatch.from_pydict({"context_id": pa.array(ids), "mask": pa.array(mask[hit][one])})
 
     return index.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "context_id long, mask long")
 
