@@ -53,11 +53,12 @@ def matching_statistics(q: str, index: ViewIndex) -> list[tuple[int, int | None,
 
 
 def max_matchings(stats) -> list[Matching]:
-    """Unique matches that extend neither way, ascending."""
+    """Unique matches that extend neither way and stay unique, ascending. (Where
+    positions are merged, a longer match can lie at several again.)"""
     return [
         Matching(i, n, at)
         for i, (n, unique, at) in enumerate(stats)
-        if unique is not None and (i == 0 or stats[i - 1][0] <= n)
+        if unique is not None and (i == 0 or stats[i - 1][0] <= n or stats[i - 1][1] is None)
     ]
 
 
