@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import audio, bpe, language_id, mixing, ngram_join, substring_dedup, topk, toxicity, url_filter, warc
@@ -79,8 +79,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-#: The mixture of op10: a domain is a third of the sources, by crc32.
-DOMAIN = F.concat(F.lit("domain"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 3).cast("string"))
+def domain() -> Column:
+    """The mixture's domains: each a third of the sources, by crc32."""
+    return F.concat(F.lit("domain"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 3).cast("string"))
+
+
+#: The mixture's weights by tree path (``*``: any domain), and its parameters.
 WEIGHTS = {
     ("domain0",): 0.5, ("domain1",): 0.3, ("domain2",): 0.2,
     ("*", "en"): 0.55, ("*", "de"): 0.15, ("*", "fr"): 0.15, ("*", "es"): 0.15,
@@ -90,7 +94,7 @@ FRACTION, EPOCHS, SEED = 0.6, 2.0, 20
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    leaves, tokens = mixing.plan(documents, DOMAIN, WEIGHTS, fraction=FRACTION, max_epochs=EPOCHS, seed=SEED)
+    leaves, tokens = mixing.plan(documents, domain(), WEIGHTS, fraction=FRACTION, max_epochs=EPOCHS, seed=SEED)
     return mixing.copies(leaves, tokens, SEED).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
         F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"),
