@@ -104,48 +104,44 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 class _Branch:
-    __slots__ = ("run", "children", "entries", "low", "high")
+    __slots__ = ("run", "children", "entries", "low", "high", "parent")
 
-    def __init__(self, run: np.ndarray):
-        self.run, self.children, self.entries = run, [], []
+    def __init__(self, run: np.ndarray, parent: "_Branch | None" = None):
+        self.run, self.children, self.entries, self.parent = run, [], [], parent
         self.low, self.high = 1 << 62, 0
 
 
-class Forest:
-    """Union-find over the sets of one cell."""
+class Trie:
+    """A radix tree over ordered sets, and bitmaps of their grams' parities.
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.parent[self.find(j)] = self.find(i)
-
-
-class Trie(Forest):
-    """A radix tree over ordered sets."""
+    Two sets differ in at least as many grams as their bitmaps differ in bits.
+    So for one set the bitmaps name, in one vector operation, the sets of other
+    components that can be linked at all, and the traversal enters only branches
+    that lead to those.
+    """
 
     def __init__(self, keys: list[np.ndarray], percent: int):
-        super().__init__(len(keys))
         self.keys, self.sizes, self.percent = keys, [len(k) for k in keys], percent
+        self.root_of = np.arange(len(keys))
+        self.home: list[_Branch] = [None] * len(keys)  # type: ignore[list-item]
         order = sorted(range(len(keys)), key=lambda i: keys[i].astype(">u8").tobytes())
         self.root = _Branch(np.zeros(0, np.uint64))
-        self._grow(self.root, order, 0, 0, len(order))
-
-    def _grow(self, branch: _Branch, order: list[int], depth: int, lo: int, hi: int) -> None:
-        stack = [(branch, depth, lo, hi)]
+        self._grow(self.root, order)
+        bits = 1 << min(20, max(10, (4 * max(self.sizes, default=1)).bit_length()))
+        self.parity = np.zeros((len(keys), bits // 64), np.uint64)
+        for i, k in enumerate(keys):
+            odd = np.bincount((mix(k) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+            self.parity[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+    def _grow(self, branch: _Branch, order: list[int]) -> None:
+        stack = [(branch, 0, 0, len(order))]
         while stack:
             branch, depth, lo, hi = stack.pop()
             for i in order[lo:hi]:
                 branch.low, branch.high = min(branch.low, self.sizes[i]), max(branch.high, self.sizes[i])
             while lo < hi and len(self.keys[order[lo]]) == depth:
                 branch.entries.append(order[lo])
+                self.home[order[lo]] = branch
                 lo += 1
             while lo < hi:
                 first = self.keys[order[lo]]
@@ -156,25 +152,41 @@ class Trie(Forest):
                 most = min(len(first), len(last)) - depth
                 differ = np.flatnonzero(first[depth : depth + most] != last[depth : depth + most])
                 length = int(differ[0]) if len(differ) else most
-                child = _Branch(first[depth : depth + length])
+                child = _Branch(first[depth : depth + length], branch)
                 branch.children.append(child)
                 stack.append((child, depth + length, lo, end))
                 lo = end
 
     def links(self) -> Iterator[tuple[int, int]]:
         """Pairs that connect all linked sets; none inside a component."""
-        for x in range(len(self.keys)):
-            yield from self._probe(x)
-
-    def _probe(self, x: int) -> Iterator[tuple[int, int]]:
+        sizes = np.array(self.sizes)
+        order = np.argsort(sizes, kind="stable")
+        ranked = sizes[order]
+        for at, x in enumerate(order):
+            end = np.searchsorted(ranked, 100 * sizes[x] // self.percent, side="right")
+            others = order[at + 1 : end]  # larger sets; smaller ones have looked at x
+            others = others[self.root_of[others] != self.root_of[x]]
+            near = []
+            for part in (others[i : i + 4096] for i in range(0, len(others), 4096)):
+                differ = np.bitwise_count(self.parity[part] ^ self.parity[x]).sum(axis=1, dtype=np.int64)
+                total = sizes[x] + sizes[part]
+                near += part[differ <= total - 2 * -(-self.percent * total // (100 + self.percent))].tolist()
+            if near:
+                yield from self._probe(int(x), set(near))
+
+    def _probe(self, x: int, allowed: set[int]) -> Iterator[tuple[int, int]]:
+        live: set[int] = set()
+        for y in allowed:
+            branch = self.home[y]
+            while branch is not None and id(branch) not in live:
+                live.add(id(branch))
+                branch = branch.parent
         keys, size = self.keys[x], self.sizes[x]
-        low, high = -(-self.percent * size // 100), 100 * size // self.percent
+        low, high = size, 100 * size // self.percent
         stack = [(child, 0, 0) for child in self.root.children]
         while stack:
             branch, depth, hits = stack.pop()
-            if branch.high < low or branch.low > high:
-                continue
-            if not branch.children and len(branch.entries) == 1 and self.find(branch.entries[0]) == self.find(x):
+            if id(branch) not in live:
                 continue
             run = branch.run
             at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
@@ -188,17 +200,16 @@ class Trie(Forest):
             if missed + gap > size + most - 2 * needed(size + most, self.percent):
                 continue
             for y in branch.entries:
-                if self.find(x) != self.find(y) and hits >= needed(size + self.sizes[y], self.percent):
-                    self.join(x, y)
+                if y in allowed and self.root_of[x] != self.root_of[y] and hits >= needed(size + self.sizes[y], self.percent):
+                    self.root_of[self.root_of == self.root_of[y]] = self.root_of[x]
                     yield x, y
             stack += [(child, depth, hits) for child in branch.children]
 
 
-class Signatures(Forest):
+class Signatures:
     """Sets of one group by their sizes and bucket counts."""
 
     def __init__(self, sizes: list[int], counts: list[np.ndarray], percent: int):
-        super().__init__(len(sizes))
         self.sizes, self.counts, self.percent = np.array(sizes), counts, percent
 
     def links(self) -> Iterator[tuple[int, int]]:
