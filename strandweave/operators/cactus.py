@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.graph import oriented_components
+from strandweave.plans.runtime import global_index
 
 
 def renamed(segments: DataFrame, number: int, suffix: str = "", merge_on: str | None = None) -> DataFrame:
@@ -30,13 +31,13 @@ def merge(files: list[DataFrame], suffixes: list[str], merge_on: str) -> tuple[D
     """(segments with sequence numbers, merges of bases (a, b, opposite)).
 
     A top segment's bases are one with those of the bottom segment of its block;
-    the shared event's sequences are the same bases in every file. Bases are
-    64-bit hashes of (event, sequence) plus an offset in the low 31 bits.
+    the shared event's sequences are the same bases in every file. A base is the
+    number of its sequence among all, and its offset in the low 32 bits.
     """
     rows = reduce(DataFrame.unionByName, [renamed(f, i, s, merge_on) for i, (f, s) in enumerate(zip(files, suffixes))])
     numbered = rows.join(sequence_numbers(rows), ["event", "sequence"])
-    home = F.shiftleft(F.xxhash64("event", "sequence").bitwiseAND(2**31 - 1), 31)
-    placed = numbered.withColumn("base", home + F.col("start"))
+    ids = global_index(rows.select("event", "sequence").distinct(), ["event", "sequence"], "_id")
+    placed = numbered.join(ids, ["event", "sequence"]).withColumn("base", F.shiftleft("_id", 32) + F.col("start"))
     bottom = placed.filter("is_bottom").select("file", "block", F.col("base").alias("b"), F.col("length").alias("n"))
     top = placed.filter("not is_bottom and block is not null").select("file", "block", F.col("base").alias("a"), "orientation")
     pairs = top.join(bottom, ["file", "block"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))

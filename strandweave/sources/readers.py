@@ -165,7 +165,7 @@ def gene_sets(spark: SparkSession, path: str) -> DataFrame:
 
 def hal_stats(spark: SparkSession, path: str) -> DataFrame:
     """(genome, children, length, sequences, top, bottom) rows of a stats listing."""
-    f = F.transform(F.split("value", ","), F.trim)
+    f = F.transform(F.split("value", ","), lambda x: F.trim(x))
     rows = spark.read.text(path).withColumn("f", f).filter((F.size("f") == 6) & F.col("f")[2].rlike("^[0-9]+$"))
     return rows.select(F.col("f")[0].alias("genome"), *[F.col("f")[i + 1].cast("long").alias(n) for i, n in enumerate(("children", "length", "sequences", "top", "bottom"))])
 

@@ -74,16 +74,18 @@ def c2h_reference(segments: DataFrame, reference_event: str) -> DataFrame:
     where the reference has them. A block it lacks, or has twice, raises."""
     own = segments.filter(F.col("event") == reference_event)
     counted = segments.filter("block is not null").groupBy("block").agg(F.count_if(F.col("event") == reference_event).alias("n"))
-    good = F.when(F.col("n") == 1, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("block not once in the reference: "), F.col("block").cast("string"))))
-    checked = counted.select(good.alias("block"))
+    message = F.concat(F.lit("block not once in the reference: "), F.col("block").cast("string"))
+    none = F.lit(None).cast("string")
+    # rows that raise when they are read; there are none if all is well
+    bad = counted.filter("n <> 1").select(none.alias("event"), none.alias("sequence"), F.lit(0).cast("long").alias("row"), F.raise_error(message).cast("string").alias("value"))
     text = lambda *c: F.concat_ws("\t", *[x if not isinstance(x, str) else F.lit(x) for x in c])
     cast = lambda c: F.col(c).cast("string")
-    bottom = own.join(checked, "block").select("event", F.col("name").alias("sequence"), F.col("start").alias("row"), text("a", cast("block"), cast("start"), cast("length")).alias("value"))
+    bottom = own.filter("block is not null").select("event", F.col("name").alias("sequence"), F.col("start").alias("row"), text("a", cast("block"), cast("start"), cast("length")).alias("value"))
     rest = c2h_root(segments.filter(F.col("event") != reference_event)).filter("event <> 'rootSeq'")
     heads = own.select("event", F.col("name").alias("sequence")).distinct().select(
         "event", "sequence", F.lit(-1).cast("long").alias("row"), F.concat(F.lit("s\t'"), "event", F.lit("'\t'"), "sequence", F.lit("'\t1")).alias("value")
     )
-    return heads.unionByName(bottom).unionByName(rest)
+    return heads.unionByName(bottom).unionByName(rest).unionByName(bad)
 
 
 def keep_events(segments: DataFrame, events: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def last_graph(segments: DataFrame, sequences: DataFrame) -> DataFrame:
     w = Window.partitionBy("contig").orderBy("start")
     signed = segments.filter("block is not null").withColumn("a", F.when(F.col("orientation"), F.col("block")).otherwise(-F.col("block")))
     arcs = signed.withColumn("b", F.lead("a").over(w)).filter("b is not null")
-    same = F.least(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct((-F.col("b")).alias("x"), (-F.col("a")).alias("y")))
+    same = F.greatest(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct((-F.col("b")).alias("x"), (-F.col("a")).alias("y")))
     counted = arcs.groupBy(same.alias("k")).agg(F.count("*").alias("n"))
     return node.unionByName(counted.select(F.concat_ws("\t", F.lit("ARC"), *[F.col(c).cast("string") for c in ("k.x", "k.y", "n")]).alias("value")))
 
