@@ -4,7 +4,7 @@ Only documents carry labels. Each sentence gets a probability from the words
 in it, a document is toxic if any sentence is (noisy-or: 1 - prod(1 - p)), and
 the sentence model is trained through that combination by gradient descent, so
 that it learns which sentences offend. Words weigh by themselves and by their
-character 5-grams, which carries over to unseen inflections.
+beginnings and character 5-grams, which carries over to unseen inflections.
 
 Edge cases: null, empty or wordless texts have no sentence and score 0;
 repeated label rows count once, toxic if any says so; null labels are not
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from strandweave.llm.common import map_batches
 
 #: Labelled documents that are learned from, at most.
-SAMPLE = 5000
+SAMPLE = 6000
 #: Fewest sample documents of a feature; steps, their size, and the shrinkage
 #: (in documents) that keeps rare features at nought.
 MIN_DOCS, EPOCHS, RATE, SHRINK = 3, 80, 0.3, 0.8
@@ -38,9 +38,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def grams(word: str) -> list[str]:
-    """A word's features: itself, and its 5-grams between end marks."""
+    """A word's features: itself, its beginnings of 3 to 5 letters, and its
+    5-grams between end marks."""
     marked = f"^{word}$"
-    return [marked, *{marked[i : i + 5] for i in range(len(marked) - 4)} - {marked}]
+    return [marked, *({marked[i : i + 5] for i in range(len(marked) - 4)} | {marked[:4] + "*", marked[:5] + "*", marked[:6] + "*"}) - {marked}]
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -62,7 +63,7 @@ def sample(documents: DataFrame, labels: DataFrame, usable: Column, n: int = SAM
     return [(r.text, int(r.toxic)) for r in rows.distinct().orderBy("doc_id").collect()]
 
 
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, shrink: float = SHRINK) -> tuple[dict[str, float], float]:
+def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, shrink: float = SHRINK, bias_rate: float = 0.05, start: float = 400.0) -> tuple[dict[str, float], float]:
     """Feature weights and bias that maximise the noisy-or likelihood."""
     word_no: dict[str, int] = {}
     p_sent, p_word, doc_of, docs_with = array("q"), array("q"), array("q"), {}
@@ -92,7 +93,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
         f_word.extend([no] * len(own))
         f_gram.extend(own)
     f_word, f_gram, p_sent, p_word, doc_of = (np.asarray(a, dtype=np.int64) for a in (f_word, f_gram, p_sent, p_word, doc_of))
-    weight, bias = np.zeros(len(kept)), -np.log(20 * n_sent / len(rows))
+    weight, bias = np.zeros(len(kept)), -np.log(start * n_sent / len(rows))
     square, square_b = np.full(len(kept), 1e-6), 1e-6
     shrink = shrink / len(y)
     balance = np.where(y > 0, (y == 0).sum() / max(1, y.sum()), 1.0) / len(y)
@@ -108,7 +109,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
         weight -= rate * dw / np.sqrt(square)
         weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * shrink / np.sqrt(square), 0)
         square_b += dz.sum() ** 2
-        bias -= 0.05 * dz.sum() / np.sqrt(square_b)
+        bias -= bias_rate * dz.sum() / np.sqrt(square_b)
     names = sorted(kept)
     return {names[i]: float(weight[i]) for i in np.flatnonzero(np.abs(weight) > 1e-3)}, float(bias)
 
