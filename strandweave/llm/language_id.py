@@ -28,6 +28,8 @@ ROWS, DICTIONARY_BYTES = 96, 64_000
 #: Texts are compressed in pieces of this many bytes, so that the dictionary
 #: counts as much at the end of a long text as at its start.
 PIECE = 2048
+#: Texts below SHORT bytes are compressed behind LEAD bytes of each language.
+SHORT, LEAD = 400, 2000
 #: Relative gap between the two smallest sizes below which a text is rejected.
 MARGIN = 0.003
 _LETTER = re.compile(r"[^\W\d_]")
@@ -89,17 +91,24 @@ class Classifier:
             )
             shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             shared.precompute_compress(compression_params=params)
-            self.coders.append((lang, zstandard.ZstdCompressor(dict_data=shared, compression_params=params)))
+            coder = zstandard.ZstdCompressor(dict_data=shared, compression_params=params)
+            lead = content[-LEAD:] + b" "
+            self.coders.append((lang, coder, lead, len(coder.compress(lead))))
 
     def __call__(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         if not text or not self.coders or not _LETTER.search(text):
             return "und", 0.0, True
         data = letters(text)
         n = len(data)
-        pieces = [data[i : i + PIECE] for i in range(0, n, PIECE)]
-        if n < 400:  # sizes are whole bytes: several cuts of a short text tell near ties apart
-            pieces += [data[n * i // 8 :] for i in range(1, 5)] + [data[: n * i // 8] for i in range(4, 8)]
-        sizes = [sum(len(coder.compress(p)) for p in pieces) for _, coder in self.coders]
+        if n < SHORT:
+            # too short for matches or a table of letters: what it adds to a stretch of the
+            # language is compared; sizes are whole bytes, so several cuts are summed
+            pieces = [data, *(data[n * i // 8 :] for i in range(1, 5)), *(data[: n * i // 8] for i in range(4, 8))]
+            sizes = [sum(len(coder.compress(lead + p)) - alone for p in pieces) for _, coder, lead, alone in self.coders]
+            sizes = [max(z, 1) for z in sizes]
+        else:
+            pieces = [data[i : i + PIECE] for i in range(0, n, PIECE)]
+            sizes = [sum(len(coder.compress(p)) for p in pieces) for _, coder, _, _ in self.coders]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best = order[0]
         if len(sizes) == 1:
