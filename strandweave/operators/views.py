@@ -30,10 +30,14 @@ def merged_runs(view: DataFrame, canon: str = "canon") -> DataFrame:
     return running_count(marked, "i", F.col("new"), "n").select("rank", "canon", (F.col("n") - 1).alias("range_no"))
 
 
-def interval_summary(view: DataFrame, intervals: DataFrame) -> DataFrame:
+def interval_summary(view: DataFrame, intervals: DataFrame, bin_size: int = 4096) -> DataFrame:
     """For each (id, lo, hi): masked rows, ranges touched, and whether the
-    interval is empty, unique (one range) or ambiguous."""
-    inside = intervals.join(view.filter("in_mask"), F.col("rank").between(F.col("lo"), F.col("hi")), "left")
+    interval is empty, unique (one range) or ambiguous. The bins of rows that an
+    interval touches are the key of the join."""
+    bins = F.explode(F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size)))
+    rows = view.filter("in_mask").select("rank", "range_no", F.floor(F.col("rank") / bin_size).alias("_b"))
+    asked = intervals.select("id", "lo", "hi", bins.alias("_b")).alias("q")
+    inside = asked.join(rows.alias("r"), (F.col("q._b") == F.col("r._b")) & F.col("rank").between(F.col("lo"), F.col("hi")), "left")
     found = inside.groupBy("id", "lo", "hi").agg(
         F.count("rank").alias("masked_rows"), F.count_distinct("range_no").alias("ranges"),
         F.min("range_no").alias("first_range"), F.max("range_no").alias("last_range"),

@@ -248,11 +248,6 @@ def lcp(spark, d):
     return suffixes.with_lcp(suffix_table(spark, d)).select("rank", "lcp")
 
 
-@query()
-def psv_nsv(spark, d):
-    return suffixes.previous_next_smaller(suffixes.with_lcp(suffix_table(spark, d)).select("rank", "lcp"))
-
-
 @query(f"""WITH {SUFFIX_SQL}, b AS (SELECT a.rank, l.rank AS lf FROM sa a JOIN sa l ON a.text = l.text AND a."offset" = l."offset" + 1)
 SELECT rank, lf FROM b UNION ALL SELECT rank, row_number() OVER (ORDER BY rank) - 1 FROM sa WHERE bwt = '$'""")
 def lf_mapping(spark, d):
@@ -578,21 +573,6 @@ def spectrum(spark, d):
     return graph.component_spectrum(graph.connected_components(_edges(spark, d)))
 
 
-@query()
-def adjacency_spectrum(spark, d):
-    return graph.component_spectrum(graph.adjacency_components(segments(spark, d)))
-
-
-@query()
-def indel_lengths(spark, d):
-    return graph.indel_lengths(segments(spark, d))
-
-
-@query()
-def tandem_dups(spark, d):
-    return graph.tandem_duplications(segments(spark, d))
-
-
 @query("""WITH l AS (SELECT c_mktsegment AS genome, c_custkey AS contig, 40 AS length FROM customer), p AS (SELECT DISTINCT c_mktsegment AS genome, c_custkey AS contig, o_orderkey % 40 AS base FROM orders JOIN customer ON o_custkey = c_custkey),
 a AS (SELECT genome, count(*) AS aligned FROM p GROUP BY 1), t AS (SELECT genome, CAST(sum(length) AS BIGINT) AS bases FROM l GROUP BY 1)
 SELECT genome, bases, coalesce(aligned, 0) AS aligned, coalesce(aligned, 0) / bases AS coverage FROM t LEFT JOIN a USING (genome)""")
@@ -622,3 +602,129 @@ def telomeres(spark, d):
     sides = load(spark, d, "supplier").select((F.col("s_suppkey") + 100).alias("side"))
     adj = load(spark, d, "customer").filter("c_nationkey < 10").select(F.col("c_nationkey").cast("long").alias("left_side"), (F.col("c_custkey") % 97 + 100).alias("right_side"))
     return store.telomeres(sides, adj)
+
+
+# ---- look-ups and constructed graphs ------------------------------------------
+
+
+@query("""SELECT p_partkey AS gene_id, p_brand AS contig, p_partkey - 100 AS start, p_partkey + p_size - 100 AS "end", s_name AS name
+FROM part LEFT JOIN supplier ON s_suppkey = p_partkey WHERE p_brand = 'Brand#2' AND p_partkey >= 100 AND p_partkey + p_size <= 1900""")
+def known_genes(spark, d):
+    from strandweave.operators import lookup
+
+    g = genes(spark, d).drop("name", "strand").withColumn("gene_id", F.col("start"))
+    names = load(spark, d, "supplier").select(F.col("s_suppkey").alias("gene_id"), F.col("s_name").alias("name"))
+    return lookup.known_genes(g, names, "Brand#2", 100, 1900)
+
+
+@query("""SELECT o_orderkey AS read, s_name AS sample FROM orders LEFT JOIN supplier ON o_orderkey >= s_suppkey * 50 AND o_orderkey <= s_suppkey * 50 + 30""")
+def population_lookup(spark, d):
+    from strandweave.operators import lookup
+
+    pop = load(spark, d, "supplier").select((F.col("s_suppkey") * 50).alias("start"), (F.col("s_suppkey") * 50 + 30).alias("end"), F.col("s_name").alias("sample"))
+    return lookup.population_of(load(spark, d, "orders").select(F.col("o_orderkey").alias("read")), pop)
+
+
+@query(f"""WITH {READS_SQL}, k AS (SELECT DISTINCT left(seq, 8) AS kmer FROM reads), p AS (SELECT DISTINCT right(seq, 8) AS pattern FROM reads)
+SELECT pattern, kmer, CAST(hamming(pattern, kmer) AS INTEGER) AS mismatches FROM p, k WHERE hamming(pattern, kmer) <= 2""")
+def hamming_neighbourhood(spark, d):
+    from strandweave.operators import lookup
+
+    r = reads(spark, d)
+    k, p = r.select(F.left("seq", F.lit(8)).alias("kmer")).distinct(), r.select(F.right("seq", F.lit(8)).alias("pattern")).distinct()
+    return lookup.neighbourhood(k, p, 8, 2)
+
+
+@query(f"""WITH {READS_SQL}, h AS (SELECT doc_id, n, left(seq, n) AS p FROM (SELECT doc_id, seq, unnest(range(1, 13)) AS n FROM reads)),
+a AS (SELECT p, min(doc_id) AS id, min(n) AS n FROM h GROUP BY p HAVING count(*) = 1)
+SELECT id, CAST(min(n) AS INTEGER) AS n FROM a GROUP BY id""")
+def unique_prefix(spark, d):
+    from strandweave.operators import lookup
+
+    return lookup.unique_prefixes(reads(spark, d).select(F.col("doc_id").alias("id"), "seq"), 12)
+
+
+@query(f"""WITH {VIEW_SQL}, i AS (SELECT s_suppkey AS id, s_suppkey * 97 AS lo, s_suppkey * 97 + s_nationkey AS hi FROM supplier),
+x AS (SELECT id, lo, hi, count(rank) AS masked_rows, count(DISTINCT range_no) AS ranges, min(range_no) AS first_range, max(range_no) AS last_range
+  FROM i LEFT JOIN runs ON rank BETWEEN lo AND hi GROUP BY ALL)
+SELECT *, CASE WHEN masked_rows = 0 THEN 'empty' WHEN ranges = 1 THEN 'unique' ELSE 'ambiguous' END AS state FROM x""")
+def interval_states(spark, d):
+    asked = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 97).alias("lo"), (F.col("s_suppkey") * 97 + F.col("s_nationkey")).alias("hi"))
+    return views.interval_summary(views.merged_runs(view(spark, d)).withColumn("in_mask", F.lit(True)), asked)
+
+
+@query(f"""WITH {LCP_SQL}, x AS (SELECT rank, lcp, l FROM lcp, (SELECT unnest(range(0, 34)) AS l)),
+y AS (SELECT rank, lcp, l, max(CASE WHEN lcp < l THEN rank END) OVER (PARTITION BY l ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+ min(CASE WHEN lcp < l THEN rank END) OVER (PARTITION BY l ORDER BY rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM x)
+SELECT rank, CAST(lcp AS BIGINT) AS lcp, coalesce(p, 0) AS psv, coalesce(n, (SELECT count(*) FROM sa)) AS nsv FROM y WHERE l = lcp""")
+def psv_nsv(spark, d):
+    return suffixes.previous_next_smaller(suffixes.with_lcp(suffix_table(spark, d)).select("rank", "lcp"))
+
+
+def pair_segments(spark, d):
+    """Contigs in pairs that share two blocks with a gap of their own between."""
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("contig"), (F.col("c_nationkey") % 5).cast("long").alias("gap"))
+    k = F.floor(F.col("contig") / 2) * 2
+    part = lambda block, start: F.struct(block.cast("long").alias("block"), start.cast("long").alias("start"), F.lit(8).alias("length"))
+    rows = c.withColumn("s", F.explode(F.array(part(k, F.lit(0)), part(k + 1, F.col("gap") + 8))))
+    return rows.select("contig", "s.start", "s.length", "s.block", F.lit(True).alias("orientation"))
+
+
+@query("""WITH c AS (SELECT c_custkey // 2 AS k, c_nationkey % 5 AS gap FROM customer)
+SELECT CAST(4 * k + 1 AS BIGINT) AS component, CAST(max(gap) - min(gap) AS BIGINT) AS length FROM c GROUP BY k HAVING count(*) = 2""")
+def indel_lengths(spark, d):
+    return graph.indel_lengths(pair_segments(spark, d))
+
+
+def tandem_segments(spark, d):
+    """A contig a supplier: blocks A B C, with B twice where the nation is even."""
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("contig"), (F.col("s_nationkey") % 2 == 0).alias("twice"))
+    b = F.col("contig") * 3
+    rows = s.withColumn("p", F.when(F.col("twice"), F.array(b, b + 1, b + 1, b + 2)).otherwise(F.array(b, b + 1, b + 2)))
+    rows = rows.select("contig", F.posexplode("p").alias("i", "block"))
+    return rows.select("contig", (F.col("i") * 8).cast("long").alias("start"), F.lit(8).alias("length"), "block", F.lit(True).alias("orientation"))
+
+
+@query("SELECT 6 * s_suppkey + 1 AS component, 3 * s_suppkey + 1 AS block FROM supplier WHERE s_nationkey % 2 = 0")
+def tandem_dups(spark, d):
+    return graph.tandem_duplications(tandem_segments(spark, d))
+
+
+@query("""WITH n AS (SELECT count(*) AS every, count(*) FILTER (s_nationkey % 2 = 0) AS twice FROM supplier),
+x AS (SELECT 1 AS size, 2 * every AS count FROM n UNION ALL SELECT 2, 2 * (every - twice) FROM n UNION ALL SELECT 4, twice FROM n)
+SELECT CAST(size AS BIGINT) AS size, count FROM x WHERE count > 0""")
+def adjacency_spectrum(spark, d):
+    return graph.component_spectrum(graph.adjacency_components(tandem_segments(spark, d)))
+
+
+@query("""SELECT 6 * s_suppkey + 1 AS component, CAST(4 AS BIGINT) AS size, array_to_string(list_sort([(3 * s_suppkey) || 'R', (3 * s_suppkey + 1) || 'L',
+ (3 * s_suppkey + 1) || 'R', (3 * s_suppkey + 2) || 'L']), ' ') AS ends FROM supplier WHERE s_nationkey % 2 = 0""")
+def rearrangements(spark, d):
+    return graph.rearrangements(tandem_segments(spark, d))
+
+
+@query("""WITH e AS (SELECT DISTINCT c_custkey AS a, c_custkey // 7 * 7 AS b, c_custkey % 2 = 1 AS opposite FROM customer WHERE c_custkey % 7 <> 0)
+SELECT x AS node, r AS component, reversed, FALSE AS inverted FROM (SELECT a AS x, b AS r, opposite AS reversed FROM e
+ UNION SELECT b, b, FALSE FROM e)""")
+def oriented_blocks(spark, d):
+    c = load(spark, d, "customer").filter("c_custkey % 7 <> 0")
+    merges = c.select(F.col("c_custkey").alias("a"), (F.floor(F.col("c_custkey") / 7) * 7).alias("b"), (F.col("c_custkey") % 2 == 1).alias("opposite"))
+    return graph.oriented_components(merges)
+
+
+@query(f"""WITH {READS_SQL}, b AS (SELECT source, unnest(range(1, 33)) AS i, unnest(string_split(seq, '')) AS base FROM reads),
+p AS (SELECT source, i, count(*) AS depth, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t FROM b GROUP BY ALL)
+SELECT source, bool_or(list_sort([a, c, g, t], 'DESC')[2] > 14) AS conflicted, count(*) FILTER (depth > 1) AS covered, avg(depth) AS mean_depth FROM p GROUP BY source""")
+def conflicts(spark, d):
+    rows = reads(spark, d).select("source", F.posexplode(seq.letters("seq")).alias("i", "base"))
+    return evaluate.conflicted(evaluate.pileup(rows, ["source", "i"]), ["source"], 14)
+
+
+@query(f"""WITH {READS_SQL}, n AS (SELECT doc_id, length(seq) - length(replace(seq, 'A', '')) AS a, length(seq) - length(replace(seq, 'C', '')) AS c,
+ length(seq) - length(replace(seq, 'G', '')) AS g, length(seq) - length(replace(seq, 'T', '')) AS t FROM reads)
+SELECT doc_id, a + 1 AS a, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS top FROM n""")
+def letter_counts(spark, d):
+    from strandweave.operators import lookup
+
+    n = reads(spark, d).select("doc_id", lookup.letter_counts(F.col("seq")).alias("n"), lookup.letter_counts(F.lit("A")).alias("one"))
+    return n.select("doc_id", lookup.combine_counts(F.col("n"), F.col("one"))["a"].cast("long").alias("a"), lookup.largest_letter(F.col("n")).alias("top"))
