@@ -180,3 +180,52 @@ def unitig_components(unitigs: DataFrame, overlaps_only: bool = False) -> DataFr
     if not overlaps_only:
         edges = edges.unionByName(unitigs.select(l_end.alias("a"), r_end.alias("b")))
     return connected_components(edges)
+
+
+def base_table(contigs: DataFrame) -> DataFrame:
+    """(base, contig, offset, genome, letter) of contigs (contig, seq, genome):
+    bases are numbered through all contigs in order."""
+    lengths = contigs.select("contig", F.length("seq").cast("long").alias("n"))
+    starts = lengths.withColumn("cum", F.sum("n").over(Window.orderBy("contig")) - F.col("n"))  # one short row a contig
+    rows = contigs.select("contig", "genome", F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("offset", "letter"))
+    rows = rows.join(starts.select("contig", "cum"), "contig")
+    return rows.select((F.col("cum") + F.col("offset")).alias("base"), "contig", F.col("offset").cast("long").alias("offset"), "genome", "letter")
+
+
+def segments_of(bases: DataFrame, canon: DataFrame) -> DataFrame:
+    """(contig, start, length, block, orientation, block_start) of a merged graph.
+
+    ``canon``: (base, canon, reversed) of merged bases. Two neighbouring canonical
+    bases are in one block if each base of the first is followed, in its own
+    orientation, by one of the second and both have as many: boundaries that no
+    base needs are joined. Bases merged with none form segments without block.
+    """
+    own = bases.join(canon, "base", "left").select(
+        "base", "contig", "offset", F.coalesce("canon", "base").alias("canon"), F.coalesce("reversed", F.lit(False)).alias("rev")
+    )
+    own = materialize(own)
+    size = own.groupBy("canon").agg(F.count("*").alias("members"))
+    after = own.select(
+        F.col("contig").alias("c2"), F.col("offset").alias("o2"), F.col("canon").alias("canon2"), F.col("rev").alias("rev2")
+    )
+    step = F.when(F.col("rev"), -1).otherwise(1)
+    near = own.withColumn("o2", F.col("offset") + step).withColumn("c2", F.col("contig")).join(after, ["c2", "o2"], "left")
+    follows = F.coalesce((F.col("canon2") == F.col("canon") + 1) & (F.col("rev2") == F.col("rev")), F.lit(False))
+    going = near.groupBy("canon").agg(F.bool_and(follows).alias("all"), F.count("*").alias("members"))
+    nxt = size.select((F.col("canon") - 1).alias("canon"), F.col("members").alias("members2"))
+    going = going.join(nxt, "canon", "left").select("canon", "members", F.coalesce(F.col("all") & (F.col("members") == F.col("members2")), F.lit(False)).alias("joins"))
+    home = own.filter("base = canon").select("canon", F.col("contig").alias("home"))
+    w = Window.partitionBy("home").orderBy("canon")
+    runs = going.join(home, "canon").withColumn("new", (~F.coalesce(F.lag("joins").over(w), F.lit(False)) | (F.lag("canon").over(w) + 1 != F.col("canon"))).cast("int"))
+    first = F.when(F.col("new") == 1, F.col("canon"))
+    runs = runs.withColumn("block", F.last(first, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    members = own.join(runs.select("canon", "block", "members"), "canon")
+    # a base may stand in a block more than once on a contig: its place along the diagonal tells
+    diagonal = F.when(F.col("rev"), F.col("offset") + F.col("canon")).otherwise(F.col("offset") - F.col("canon"))
+    out = members.groupBy("contig", "block", "rev", diagonal.alias("_d")).agg(
+        F.min("offset").alias("start"), F.count("*").alias("length"), F.min(F.col("canon") - F.col("block")).alias("block_start"), F.max("members").alias("members")
+    )
+    return out.select(
+        "contig", "start", "length", F.when(F.col("members") > 1, F.col("block")).alias("block"),
+        F.when(F.col("members") > 1, ~F.col("rev")).alias("orientation"), "block_start",
+    )

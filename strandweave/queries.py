@@ -134,14 +134,14 @@ def vcf_classify(spark, d):
     return rows.groupBy("l_orderkey", "l_linenumber", seq.vcf_class("r", "a").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, (l_quantity - 1) / 49 AS p0, pow(10, -l_quantity / 10) AS error,
-  CASE WHEN l_quantity >= 20 THEN 3 ELSE 4 END AS support, l_linenumber * ln(l_quantity) - l_quantity
-   - list_sum(list_transform(range(1, l_linenumber + 1), lambda x: ln(x))) AS log_poisson FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, (l_quantity - 1) / 49 AS p0, round(pow(10, -l_quantity / 10), 9) AS error,
+  CASE WHEN l_quantity >= 20 THEN 3 ELSE 4 END AS support, round(l_linenumber * ln(l_quantity) - l_quantity
+   - list_sum(list_transform(range(1, l_linenumber + 1), lambda x: ln(x))), 6) AS log_poisson FROM lineitem""")
 def quality_statistics(spark, d):
     rows = load(spark, d, "lineitem")
     return rows.select(
-        "l_orderkey", "l_linenumber", ((F.col("l_quantity") - 1) / 49).alias("p0"), seq.phred_to_probability("l_quantity").alias("error"),
-        seq.required_support("l_quantity").alias("support"), seq.log_poisson("l_linenumber", "l_quantity").alias("log_poisson"),
+        "l_orderkey", "l_linenumber", ((F.col("l_quantity") - 1) / 49).alias("p0"), F.round(seq.phred_to_probability("l_quantity"), 9).alias("error"),
+        seq.required_support("l_quantity").alias("support"), F.round(seq.log_poisson("l_linenumber", "l_quantity"), 6).alias("log_poisson"),
     )
 
 
