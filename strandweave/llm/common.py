@@ -79,6 +79,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def packed(df: DataFrame, *also: Column) -> DataFrame:
+    """A table's columns as one struct ``row`` beside others made from them:
+    names that a caller's table has can then clash with none of ours."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *also)
+
+
 def map_batches(
     df: DataFrame, columns: Iterable[str | Column], fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str
 ) -> DataFrame:

@@ -144,5 +144,5 @@ def classify(documents: DataFrame, dictionaries: dict[str, bytes], margin: float
 
 def kept(documents: DataFrame, usable: Column, margin: float = MARGIN) -> DataFrame:
     """The rows whose language is told, with the table's columns."""
-    rows = classify(documents, learn(documents, usable), margin, prefix="_lid_")
-    return rows.filter(~F.col("_lid_rejected")).select(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = classify(documents, learn(documents, usable), margin, prefix="__lid_")
+    return rows.filter(~F.col("__lid_rejected")).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandweave.llm.common import broadcast_if_small, persisted, prepare
+from strandweave.llm.common import broadcast_if_small, packed, persisted, prepare
 
 LEVELS = ("domain", "lang", "source")
 NONE = "(none)"
@@ -100,7 +100,8 @@ def plan(
     """
     prepare(documents.sparkSession)
     leaf = [f"_{k}" for k in LEVELS]
-    narrow = persisted(with_leaf(documents, domain).select("doc_id", *leaf, tokens_of().alias("_tokens")))
+    rows = documents.select("doc_id", "text", "lang", "source", domain.alias("_of"))
+    narrow = persisted(with_leaf(rows, F.col("_of")).select("doc_id", *leaf, tokens_of().alias("_tokens")))
     totals = {tuple(r[:3]): int(r[3]) for r in narrow.groupBy(*leaf).agg(F.sum("_tokens")).collect()}
     budget = int(fraction * sum(totals.values())) if budget is None else budget
     got = quotas(totals, weights, budget, max_epochs)
@@ -141,6 +142,6 @@ def copies(leaves: DataFrame, rows: DataFrame, seed: int = 1) -> DataFrame:
 def mixed(documents: DataFrame, domain: Column, weights: Mapping[tuple[str, ...], float], seed: int = 1, **how) -> DataFrame:
     """The rows taken, repeated for further epochs, with the table's columns."""
     leaves, _ = plan(documents, domain, weights, seed=seed, **how)
-    taken = copies(leaves, with_leaf(documents, domain), seed).filter("_copies > 0")
-    repeated = taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return repeated.select(*documents.columns)
+    rows = with_leaf(packed(documents, F.col("doc_id"), F.col("lang"), F.col("source"), domain.alias("_of")), F.col("_of"))
+    taken = copies(leaves, rows, seed).filter("_copies > 0")
+    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("row.*")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import discard, map_batches, mix, persisted, prepare, window_hashes, word_hashes
+from strandweave.llm.common import discard, map_batches, mix, packed, persisted, prepare, window_hashes, word_hashes
 from strandweave.llm.components import components
 
 #: A gram in this share of documents is ordered by frequency; how many at most.
@@ -409,6 +409,5 @@ def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
     found = join(documents, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     absent = F.lit(-(2**63))
     keep = found.select(F.coalesce("doc_id", absent).alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    rows = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), absent), "_text": F.xxhash64("text")})
-    rows = rows.join(keep, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
-    return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = packed(documents, F.coalesce(F.col("doc_id").cast("long"), absent).alias("_id"), F.xxhash64("text").alias("_text"))
+    return rows.join(keep, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import map_batches, mix, prepare, run_hashes, window_hashes, word_hashes
+from strandweave.llm.common import map_batches, mix, packed, prepare, run_hashes, window_hashes, word_hashes
 
 WINDOW, GRAM = 35, 8
 #: Documents are factored in stretches of at most this many words.
@@ -71,15 +71,6 @@ def context_hashes(anchor: np.ndarray, windows: np.ndarray, first: np.ndarray, c
     return mix(run_hashes(mix(windows), first, first + count) + anchor)
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text and a key that tells rows with different texts apart."""
-    doc_id = F.col("doc_id").cast("long")
-    return documents.select(
-        doc_id.alias("doc_id"), F.col("text"),
-        F.coalesce(doc_id, F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_text"),
-    )
-
-
 def contexts(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(anchor, context, n): the contexts of each anchor, those of one batch of
     documents counted before they leave the task."""
@@ -215,15 +206,14 @@ def covered(n: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarra
 
 
 def with_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Every row with ``_spans``, the repeated windows (null: none)."""
+    """Every row as ``row`` with ``spans``, its repeated windows (null: none)."""
     masks = repeated(contexts(documents, window, gram))
-    own = documents.columns
-    rows = documents.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_text": F.xxhash64("text"),
-    })
-    found = positions(rows, window, gram).join(masks, "context_id")
-    spans = found.groupBy("_id", "_text").agg(F.collect_set(F.struct("first", "mask")).alias("_spans"))
-    return rows.join(spans, ["_id", "_text"], "left").select(*own, "_spans")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    rows = packed(documents, doc_id.alias("_id"), F.xxhash64("text").alias("_text"))
+    narrow = documents.select("text", doc_id.alias("_id"), F.xxhash64("text").alias("_text"))
+    found = positions(narrow, window, gram).join(masks, "context_id")
+    spans = found.groupBy("_id", "_text").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
+    return rows.join(spans, ["_id", "_text"], "left").select("row", "spans")
 
 
 def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -241,7 +231,7 @@ def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         yield {"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": sha}
 
     rows = with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
-    return map_batches(rows, ["doc_id", "text", "_spans"], run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_batches(rows, ["row.doc_id", "row.text", "spans"], run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -262,4 +252,4 @@ def cleaned(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_spans(documents, window).mapInArrow(run, documents.schema)
+    return with_spans(documents, window).select("row.*", "spans").mapInArrow(run, documents.schema)

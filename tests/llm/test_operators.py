@@ -20,7 +20,7 @@ from strandweave.llm import (  # noqa: E402
 )
 
 WORDS = ["alpha", "beta", "gamma", "delta", "Épsilon", "zeta", "eta", "theta", "IOTA", "kappa", "lambda", "mu", "nu", "xi", "om,"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, _id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _lang long, _id long"
 
 
 def words(r, n):
@@ -112,6 +112,7 @@ def test_ngram_join_of_many_near_copies_and_tiles(spark, monkeypatch):
 def test_ngram_join_keeps_columns_and_one_of_each_group(docs, empty):
     kept = ngram_join.deduplicated(docs, 5, 80)
     assert kept.columns == docs.columns
+    assert all((r["n_chars"], r["_lang"], r["_id"]) == (1, 3, 4) for r in kept.collect())
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(7) <= 1 and 1000 in ids and 1001 in ids
     assert ngram_join.join(empty, 5, 80).collect() == [] and ngram_join.deduplicated(empty).collect() == []
@@ -213,7 +214,7 @@ def test_cleaned_leaves_unique_texts_alone(docs):
     after = substring_dedup.cleaned(docs, 50)
     assert after.columns == docs.columns
     rows = after.collect()
-    assert len(rows) == docs.count()
+    assert len(rows) == docs.count() and all((r["_lang"], r["_id"], r["score"]) == (3, 4, 0.5) for r in rows)
     assert sum((r.doc_id, r.text) in before for r in rows) > 30
 
 
@@ -513,5 +514,5 @@ def test_mixing_prefixes(spark, empty):
                 want.append(whole + (peers <= rest and rest > 0))
             assert [x._copies for x in own if x._tokens] == [w for x, w in zip(own, want) if x._tokens]
     out = mixing.mixed(df, domain, {}, fraction=1.4, max_epochs=2.0)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and all((r["_lang"], r["_id"]) == (1, 1) for r in out.collect())
     assert mixing.mixed(empty, domain, {}, fraction=0.5).collect() == []
