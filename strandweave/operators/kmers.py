@@ -82,3 +82,26 @@ def interval_cache(suffixes: DataFrame, k: int) -> DataFrame:
     """(kmer, lo, hi) rank interval of each k-mer in a suffix table."""
     rows = suffixes.filter(F.length("suffix") >= k)
     return rows.groupBy(F.left("suffix", F.lit(k)).alias("kmer")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+
+
+def dense(spectrum_: DataFrame, top: int = 1000) -> DataFrame:
+    """The spectrum with a row for every count from 1 to ``top``."""
+    counts_ = spectrum_.sparkSession.range(1, top + 1).withColumnRenamed("id", "count")
+    return counts_.join(spectrum_.select(F.col("count").cast("long").alias("count"), "kmers"), "count", "left").fillna(0, ["kmers"])
+
+
+def error_boundary(spectrum_: DataFrame, ratio: float = 2.0, trusted: int = 5) -> DataFrame:
+    """One row: the trusted mode (of counts from ``trusted`` on); the count below
+    it that adds the smallest share to the k-mers so far; the first count below
+    it with less than ``ratio`` times the k-mers of the next; and all k-mers.
+    Null where there is none. A spectrum has at most 1000 rows."""
+    rows = dense(spectrum_)
+    best = F.max_by("count", F.when((F.col("count") >= trusted) & (F.col("kmers") > 0), F.struct("kmers", -F.col("count"))))
+    total = rows.agg(best.alias("mode"), F.sum("kmers").alias("total"))
+    w = Window.orderBy("count")
+    marked = rows.withColumns({"sofar": F.sum("kmers").over(w), "next": F.lead("kmers").over(w)}).join(F.broadcast(total))
+    share = F.when((F.col("count") < F.col("mode")) & (F.col("sofar") > 0), F.col("kmers") / F.col("sofar"))
+    falls = (F.col("count") < F.col("mode") - 1) & (F.col("kmers") < F.lit(ratio) * F.col("next"))
+    return marked.groupBy("mode", "total").agg(
+        F.min_by("count", F.when(share.isNotNull(), F.struct(share, "count"))).alias("by_contribution"), F.min(F.when(falls, F.col("count"))).alias("by_ratio")
+    )

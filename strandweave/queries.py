@@ -189,6 +189,15 @@ def kmer_error_boundary(spark, d):
     return one.join(two, "_k").join(three, "_k").drop("_k")
 
 
+@query(SPECTRUM_SQL + """, d AS (SELECT c AS count, coalesce(kmers, 0) AS kmers FROM (SELECT unnest(range(1, 1001)) AS c) LEFT JOIN t ON t.count = c),
+m AS (SELECT (SELECT count FROM d WHERE count >= 5 AND kmers > 0 ORDER BY kmers DESC, count LIMIT 1) AS mode, (SELECT CAST(sum(kmers) AS BIGINT) FROM d) AS total),
+x AS (SELECT count, kmers, sum(kmers) OVER (ORDER BY count) AS sofar, lead(kmers) OVER (ORDER BY count) AS nxt FROM d)
+SELECT mode, total, (SELECT count FROM x WHERE count < mode AND sofar > 0 ORDER BY kmers / sofar, count LIMIT 1) AS by_contribution,
+ (SELECT min(count) FROM x WHERE count < mode - 1 AND kmers < 2 * nxt) AS by_ratio FROM m""")
+def kmer_trust(spark, d):
+    return kmers.error_boundary(kmers.spectrum(kmers.counts(texts(spark, d), 6)))
+
+
 @query(f"""WITH {TEXTS_SQL}, w AS (SELECT {KMERS.format(k=7)} AS w FROM texts)
 SELECT left(w, 6) AS kmer, count(*) FILTER (w LIKE '%A') AS a, count(*) FILTER (w LIKE '%C') AS c, count(*) FILTER (w LIKE '%G') AS g,
  count(*) FILTER (w LIKE '%T') AS t FROM w GROUP BY 1""")
