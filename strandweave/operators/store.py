@@ -54,3 +54,48 @@ def uniform_edges(**kinds: DataFrame) -> DataFrame:
         part = df.select(F.lit(kind).alias("kind"), "id", "left_side", "right_side")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ---- sequence graph stores -----------------------------------------------------
+
+
+def allele_group(groups: DataFrame, group_id: int) -> DataFrame:
+    return groups.filter(F.col("edge.id") == group_id)
+
+
+def allele_groups_at(groups: DataFrame, side: int) -> DataFrame:
+    """Allele groups with an end at a side."""
+    return groups.filter((F.col("edge.left") == side) | (F.col("edge.right") == side))
+
+
+def adjacencies_of(adjacencies: DataFrame, group: DataFrame) -> DataFrame:
+    """Adjacencies that touch an end of any of the groups."""
+    ends = group.select(F.explode(F.array("edge.left", "edge.right")).alias("side")).distinct()
+    a = adjacencies.withColumn("side", F.explode(F.array("edge.left", "edge.right")))
+    return a.join(ends, "side", "left_semi").drop("side").distinct()
+
+
+def transmissions_of(transmissions: DataFrame, group_ids: DataFrame) -> DataFrame:
+    """Transmissions that start or end at the groups (id)."""
+    t = transmissions.withColumn("id", F.explode(F.array("parent", "child")))
+    return t.join(group_ids.select("id"), "id", "left_semi").drop("id").distinct()
+
+
+def variant_groups_between(groups: DataFrame, places: DataFrame, contig: str, start: int, end: int, reference) -> DataFrame:
+    """Allele groups whose place (id, contig, position) lies in [start, end] and
+    whose allele is not the reference's."""
+    here = places.filter((F.col("contig") == contig) & F.col("position").between(start, end)).select("id")
+    not_reference = F.coalesce(F.col("allele_string"), F.col("allele_int").cast("string")) != F.lit(str(reference))
+    return groups.filter(not_reference).withColumn("id", F.col("edge.id")).join(here, "id", "left_semi").drop("id")
+
+
+def spans_longer(adjacencies: DataFrame, places: DataFrame, contig: str, start: int, end: int, inserted: bool) -> DataFrame:
+    """Adjacencies in a region whose ends are further apart than neighbours
+    (deletions), or that touch what has no place there (insertions)."""
+    at = lambda side: places.select(F.col("side").alias(f"_{side}"), F.col("contig").alias(f"_{side}c"), F.col("position").alias(f"_{side}p"))
+    a = adjacencies.withColumns({"_left": F.col("edge.left"), "_right": F.col("edge.right")}).join(at("left"), "_left", "left").join(at("right"), "_right", "left")
+    within = lambda s: (F.col(f"_{s}c") == contig) & F.col(f"_{s}p").between(start, end)
+    one = F.coalesce(within("left"), F.lit(False)) != F.coalesce(within("right"), F.lit(False))
+    unplaced = F.col("_leftp").isNull() | F.col("_rightp").isNull()
+    both = F.coalesce(within("left") & within("right") & (F.abs(F.col("_leftp") - F.col("_rightp")) > 1), F.lit(False))
+    return a.filter(one & unplaced if inserted else both).select(*adjacencies.columns)

@@ -247,3 +247,46 @@ def test_global_index(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert [(r.x, r.i) for r in global_index(df, ["x"], "i").collect() if r.x != r.i] == []
     assert global_index(df.limit(0), ["x"], "i").count() == 0
+
+
+def test_graph_store(spark):
+    from strandweave.sources import schemas
+
+    ploidy = (1, None, None)
+    groups = spark.createDataFrame([((1, 10, 11), 0, None, ploidy, "g"), ((2, 12, 13), None, "ACG", ploidy, None)], schemas.ALLELE_GROUP)
+    adj = spark.createDataFrame([((7, 11, 12), ploidy, None), ((8, 13, 90), ploidy, None), ((9, 10, 13), ploidy, None)], schemas.SG_ADJACENCY)
+    places = spark.createDataFrame([(10, "c", 1), (11, "c", 2), (12, "c", 3), (13, "c", 4)], "side long, contig string, position long")
+    assert store.allele_group(groups, 2).first().allele_string == "ACG"
+    assert [r.edge.id for r in store.allele_groups_at(groups, 11).collect()] == [1]
+    assert sorted(r.edge.id for r in store.adjacencies_of(adj, store.allele_group(groups, 1)).collect()) == [7, 9]
+    sent = spark.createDataFrame([(1, 2, ploidy), (3, 4, ploidy)], schemas.TRANSMISSION)
+    assert store.transmissions_of(sent, spark.createDataFrame([(2,)], "id long")).count() == 1
+    where = spark.createDataFrame([(1, "c", 1), (2, "c", 3)], "id long, contig string, position long")
+    assert [r.edge.id for r in store.variant_groups_between(groups, where, "c", 1, 9, 0).collect()] == [2]
+    assert [r.edge.id for r in store.spans_longer(adj, places, "c", 0, 9, inserted=False).collect()] == [9]
+    assert [r.edge.id for r in store.spans_longer(adj, places, "c", 0, 9, inserted=True).collect()] == [8]
+    rules = spark.createDataFrame([([("a", 1.0), ("b", 2.0)], 3)], schemas.CONSTRAINT)
+    assert store.constraints_on(rules, "b").count() == 1 and store.constraints_on(rules, "z").count() == 0
+    both = schemas.flat_edges(groups, "allele").unionByName(schemas.flat_edges(adj, "adjacency"))
+    assert both.groupBy("kind").count().count() == 2
+    with pytest.raises(Exception, match="no face"):
+        schemas.checked_faces(spark.createDataFrame([(1, "UP")], schemas.SIDE)).collect()
+
+
+def test_lookups(spark):
+    from strandweave.operators import lookup
+
+    found = spark.createDataFrame([("p", "a", 0), ("p", "b", 1), ("q", "c", 1)], "pattern string, kmer string, mismatches int")
+    assert table(lookup.greedy_matches(found), "pattern", "kmer") == [("p", "a"), ("q", "c")]
+    mapped = spark.createDataFrame([("r", 0, 5, 9), ("r", 1, 6, 2)], "read string, i int, range_no long, context int")
+    ranges = spark.createDataFrame([(5, 40, "LEFT"), (6, 41, "RIGHT")], "range_no long, coordinate long, face string")
+    faces = lookup.faces(mapped, ranges, 3)
+    assert table(faces, "i", "coordinate", "face") == [(0, 40, "LEFT")]
+    assert table(lookup.map_levels([faces, faces]), "level") == [(0,), (1,)]
+    n = spark.createDataFrame([("AACG",), ("TT",), ("",)], "s string").select(lookup.letter_counts(F.col("s")).alias("n"))
+    got = n.select(lookup.largest_letter(F.col("n")).alias("top"), lookup.has_one_letter(F.col("n")).alias("one")).collect()
+    assert [(r.top, r.one) for r in got] == [("A", False), ("T", True), (None, False)]
+    a = spark.createDataFrame([(0, 9, "x")], "start long, end long, sample string")
+    merged = readers.merge_populations(a, spark.createDataFrame([(0, 4, "y")], "start long, end long, sample string"))
+    assert table(merged, "start", "end", "sample") == [(0, 9, "x"), (10, 14, "y")]
+    assert table(lookup.population_of(spark.createDataFrame([(3,), (12,), (99,)], "read long"), merged), "read", "sample") == [(12, "y"), (3, "x"), (99, None)]
