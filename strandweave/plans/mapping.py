@@ -13,7 +13,7 @@ from strandweave.operators import graph
 from strandweave.operators.index import MAX_BASES, Position, ViewIndex
 from strandweave.operators.matching import Natural, matching_statistics, max_matchings, min_matchings, minimum_contexts, natural_map
 from strandweave.operators.zipmap import Zip, zip_map
-from strandweave.plans.runtime import materialize
+from strandweave.plans.runtime import materialize, prepare
 
 #: Named factories of mapping schemes: (query, index) -> positions.
 SCHEMES: dict[str, Callable] = {
@@ -41,6 +41,7 @@ def map_reads(
     The checked-size reference goes to each task once; reads are mapped where
     they lie, without a shuffle. A mapped base that differs raises.
     """
+    prepare(reads.sparkSession)
     names = [str(r[0]) for r in reference]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +73,7 @@ def map_reads(
 def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataFrame:
     """(read, start, length, text, offset): unique matches that extend neither
     way, or (``shortest``) with no shorter one inside."""
+    prepare(reads.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ViewIndex([r[1] for r in reference], [r[2] for r in reference])
@@ -126,6 +128,7 @@ def relational_statistics(reads: DataFrame, texts: DataFrame, seed: int = 4) ->
 
 def evaluate_mapability(contigs: DataFrame, reference: list[tuple], min_edit_bound: int = 0) -> DataFrame:
     """(contig, base, length): the shortest context that maps each base."""
+    prepare(contigs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ViewIndex([r[1] for r in reference], [r[2] for r in reference])

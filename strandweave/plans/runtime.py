@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; on a
+    cluster without that folder it is shipped with ``--py-files``."""
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, path) if p)
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the folder in ``spark.checkpoint.dir`` (a local one only where

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import seq
 from strandweave.operators import contigs, evaluate, graph, intervals, kmers, store, suffixes, views
-from strandweave.plans.runtime import global_index
+from strandweave.plans.runtime import global_index, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,7 @@ def query(oracle: str | None = None):
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
