@@ -10,8 +10,8 @@ Work is laid out on a grid: slices of the blocks times slices of the queries,
 each slice of bounded size, so no task holds all of either. Each cell returns
 its k best for each query, and the k best of those are the answer.
 
-Edge cases: vectors that are null, empty or hold null or non-finite components
-take no part; vectors of unequal length count as padded with zeros; equal
+Edge cases: vectors that are null, empty or hold null or non-finite components,
+and rows with a null id, take no part; vectors of unequal length count as padded with zeros; equal
 scores go to the smaller id; repeated ids are separate rows, none of which is
 returned for a query of that id; with fewer candidates than k all are returned.
 """
@@ -38,7 +38,7 @@ def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     v = F.col("embedding")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     terms = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    return embeddings.filter(v.isNotNull() & (F.size(v) > 0) & ok).select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms"))
+    return embeddings.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ok).select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms"))
 
 
 class Block:

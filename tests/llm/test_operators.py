@@ -420,9 +420,9 @@ def test_topk_matches_brute_force(spark):
     r = np.random.default_rng(3)
     rows = [(i, r.normal(size=8).round(2).tolist(), 1) for i in range(700)]
     rows += [(700 + i, rows[5][1], 1) for i in range(30)]
-    rows += [(800, None, 1), (900, [1.0, None], 1), (1000, [float("nan")] * 8, 1), (1100, [], 1), (1200, [1.0, 2.0], 1), (1300, [float("inf")] * 8, 1)]
+    rows += [(800, None, 1), (900, [1.0, None], 1), (1000, [float("nan")] * 8, 1), (1100, [], 1), (1200, [1.0, 2.0], 1), (1300, [float("inf")] * 8, 1), (None, [9.0] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
-    good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = set()
     for q, a in good:
         if q % 100 == 0:
