@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.plans.runtime import materialize
+from strandweave.plans.runtime import materialize, running_sum
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def base_table(contigs: DataFrame) -> DataFrame:
     """(base, contig, offset, genome, letter) of contigs (contig, seq, genome):
     bases are numbered through all contigs in order."""
     lengths = contigs.select("contig", F.length("seq").cast("long").alias("n"))
-    starts = lengths.withColumn("cum", F.sum("n").over(Window.orderBy("contig")) - F.col("n"))  # one short row a contig
+    starts = running_sum(lengths, ["contig"], {"upto": F.col("n")}).withColumn("cum", F.col("upto") - F.col("n"))
     rows = contigs.select("contig", "genome", F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("offset", "letter"))
     rows = rows.join(starts.select("contig", "cum"), "contig")
     return rows.select((F.col("cum") + F.col("offset")).alias("base"), "contig", F.col("offset").cast("long").alias("offset"), "genome", "letter")

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import seq
-from strandweave.plans.runtime import global_index, global_lag
+from strandweave.plans.runtime import global_index, global_lag, running_sum
 
 
 def suffixes(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -104,16 +104,10 @@ def lf(table: DataFrame) -> DataFrame:
     return bases.unionByName(ends)
 
 
-def occurrence_counts(table: DataFrame, block: int = 4096) -> DataFrame:
-    """(rank, a, c, g, t): BWT letters up to and with each row, by block sums."""
-    marks = table.select("rank", F.floor(F.col("rank") / block).alias("b"), *[(F.col("bwt") == x).cast("long").alias(x.lower()) for x in "ACGT"])
-    sums = marks.groupBy("b").agg(*[F.sum(x).alias(f"s_{x}") for x in "acgt"])
-    upto = Window.orderBy("b")
-    sums = sums.select("b", *[(F.sum(f"s_{x}").over(upto) - F.col(f"s_{x}")).alias(f"s_{x}") for x in "acgt"])
-    inside = Window.partitionBy("b").orderBy("rank")
-    return marks.select("rank", "b", *[F.sum(x).over(inside).alias(x) for x in "acgt"]).join(sums, "b").select(
-        "rank", *[(F.col(x) + F.col(f"s_{x}")).alias(x) for x in "acgt"]
-    )
+def occurrence_counts(table: DataFrame) -> DataFrame:
+    """(rank, a, c, g, t): BWT letters up to and with each row."""
+    marks = table.select("rank", "bwt")
+    return running_sum(marks, ["rank"], {x.lower(): (F.col("bwt") == x).cast("long") for x in "ACGT"}).drop("bwt")
 
 
 def locate(table: DataFrame, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.plans.runtime import global_index
+from strandweave.plans.runtime import global_index, running_sum
 
 
-def running_count(rows: DataFrame, index: str, flag: Column, name: str, block: int = 4096) -> DataFrame:
-    """Flags set up to and with each row: sums within blocks plus block sums."""
-    marked = rows.withColumns({"_b": F.floor(F.col(index) / block), "_f": flag.cast("long")})
-    sums = marked.groupBy("_b").agg(F.sum("_f").alias("_s"))
-    sums = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_s"))
-    inside = F.sum("_f").over(Window.partitionBy("_b").orderBy(index))
-    return marked.withColumn("_w", inside).join(sums, "_b").withColumn(name, F.col("_w") + F.col("_s")).drop("_b", "_f", "_s", "_w")
+def running_count(rows: DataFrame, index: str, flag: Column, name: str) -> DataFrame:
+    """Flags set up to and with each row."""
+    return running_sum(rows, [index], {name: flag.cast("long")})
 
 
 def masked(table: DataFrame, genomes: list) -> DataFrame:

@@ -44,6 +44,20 @@ def global_index(df: DataFrame, order: list[Column | str], name: str = "rank") -
     return ordered.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_r")).drop("_m", "_p", "_r", "_before")
 
 
+def running_sum(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums (each row included) in a total order, by name.
+
+    Rows are range-partitioned; a partition's rows are summed among themselves,
+    and only one total for each partition is summed in one place.
+    """
+    ordered = materialize(df.repartitionByRange(*order).withColumns({"_p": F.spark_partition_id(), **{f"_v_{k}": v for k, v in sums.items()}}))
+    totals = ordered.groupBy("_p").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    before = totals.select("_p", *[(F.sum(f"_t_{k}").over(Window.orderBy("_p")) - F.col(f"_t_{k}")).alias(f"_b_{k}") for k in sums])
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ordered.withColumns({f"_w_{k}": F.sum(f"_v_{k}").over(inside) for k in sums}).join(F.broadcast(before), "_p")
+    return out.withColumns({k: F.col(f"_w_{k}") + F.col(f"_b_{k}") for k in sums}).drop("_p", *[f"_{x}_{k}" for x in "vwb" for k in sums])
+
+
 def global_lag(df: DataFrame, index: str, columns: list[str], by: int = 1) -> DataFrame:
     """Columns of the row ``by`` places before (negative: after), by an equi join
     on a contiguous index; names get a ``prev_`` prefix."""

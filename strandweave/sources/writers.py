@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.plans.runtime import global_index, running_sum
+
 
 def lines(df: DataFrame, path: str) -> None:
     """One text column, a value a line."""
@@ -39,10 +41,9 @@ def alignment_fasta(records: DataFrame, root_length) -> DataFrame:
 
 def first_renamed(records: DataFrame, order: str) -> DataFrame:
     """The first record becomes ``ref``, others ``GI`` and their number."""
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order))  # record heads of one file
-    heads = records.select(order, n.alias("_n"))
+    heads = global_index(records.select(order), [order], "_n")
     gi = F.concat(F.lit("GI"), F.regexp_extract("name", r"gi\|([0-9]+)", 1))
-    return records.join(heads, order).withColumn("name", F.when(F.col("_n") == 1, "ref").otherwise(gi)).drop("_n")
+    return records.join(heads, order).withColumn("name", F.when(F.col("_n") == 0, "ref").otherwise(gi)).drop("_n")
 
 
 def c2h_root(segments: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def c2h_root(segments: DataFrame) -> DataFrame:
     block without a block field. ``segments``: event, name, contig, start,
     length, block, orientation."""
     blocks = segments.filter("block is not null").groupBy("block").agg(F.max("length").alias("length"))
-    at = F.sum("length").over(Window.partitionBy(F.lit(0)).orderBy("block")) - F.col("length")
-    bottom = blocks.select("block", "length", at.alias("at"))
+    placed = running_sum(blocks, ["block"], {"upto": F.col("length")})
+    bottom = placed.select("block", "length", (F.col("upto") - F.col("length")).alias("at"))
     text = lambda *c: F.concat_ws("\t", *[x if not isinstance(x, str) else F.lit(x) for x in c])
     cast = lambda c: F.col(c).cast("string")
     root = bottom.select(F.lit("rootSeq").alias("event"), F.lit("rootSeq").alias("sequence"), F.col("at").alias("row"), text("a", cast("block"), cast("at"), cast("length")).alias("value"))
