@@ -22,18 +22,21 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def fasta(spark: SparkSession, path: str, genome: int | None = None, keep_case: bool = False, validate: bool = False) -> DataFrame:
     """(genome, name, seq). A name ends at the first comma, space, tab or VT;
     white space inside sequences goes. Text before the first ``>`` raises."""
-    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r"), F.input_file_name().alias("file"), F.col("value").startswith(">").alias("marked"))
-    w = Window.partitionBy("file").orderBy("_n")
-    first = records.withColumn("_n", F.monotonically_increasing_id()).withColumn("_first", F.row_number().over(w) == 1)
+    records = spark.read.text(path, lineSep="\n>").select(
+        F.regexp_replace("value", "^>", "").alias("r"), F.input_file_name().alias("file"), F.col("value").startswith(">").alias("marked")
+    )
     head = F.split_part("r", F.lit("\n"), F.lit(1))
     body = F.regexp_replace(F.expr("substring(r, length(split_part(r, '\n', 1)) + 1)"), r"\s", "")
-    body = body if keep_case else F.upper(body)
-    ok = first.filter(F.length(F.trim("r")) > 0).withColumn(
-        "seq", F.when(F.col("_first") & ~F.col("marked"), F.raise_error(F.lit("record does not begin with >"))).otherwise(body)
+    ok = records.filter(F.length(F.trim("r")) > 0).withColumn("seq", body if keep_case else F.upper(body))
+    # the separator takes every mark but the one a file begins with
+    unmarked = records.groupBy("file").agg(F.bool_or("marked").alias("ok")).filter("not ok")
+    bad = unmarked.select(
+        F.lit(genome).cast("int").alias("genome"), F.raise_error(F.lit("record does not begin with >")).cast("string").alias("name"), F.lit("").alias("seq")
     )
     if validate:
         ok = ok.withColumn("seq", F.when(F.col("seq").rlike("^[ACGTN]*$"), F.col("seq")).otherwise(F.raise_error(F.lit("sequence holds other letters"))))
-    return ok.select(F.lit(genome).cast("int").alias("genome"), F.regexp_extract(head, r"^[^, \t\x0B\r]*", 0).alias("name"), "seq")
+    found = ok.select(F.lit(genome).cast("int").alias("genome"), F.regexp_extract(head, r"^[^, \t\x0B\r]*", 0).alias("name"), "seq")
+    return found.unionByName(bad)
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
