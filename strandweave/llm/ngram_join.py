@@ -96,6 +96,13 @@ def needed(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
+def most_apart(total: int, percent: int) -> int:
+    """In how many elements two linked sets of ``total`` elements or fewer differ
+    at most. The bound for one total has its parity, so it falls between some
+    totals and the next; the greatest is that of ``total`` or of the one before."""
+    return max(t - 2 * needed(t, percent) for t in (total, total - 1))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -196,8 +203,7 @@ class Trie:
             missed = past + depth - 2 * hits
             left, low_left, high_left = size - past, max(branch.low, low) - depth, min(branch.high, high) - depth
             gap = max(0, low_left - left, left - high_left)
-            most = min(branch.high, high)
-            if missed + gap > size + most - 2 * needed(size + most, self.percent):
+            if missed + gap > most_apart(size + min(branch.high, high), self.percent):
                 continue
             for y in branch.entries:
                 if y in allowed and self.root_of[x] != self.root_of[y] and hits >= needed(size + self.sizes[y], self.percent):

@@ -146,6 +146,35 @@ def test_trie_links_equal_pairs():
     assert len(set(root)) > 1
 
 
+@pytest.mark.parametrize("percent, common", [(90, 18), (80, 8)])
+def test_trie_links_a_set_below_a_larger_one(percent, common):
+    # x and y link, y and z link, x and z do not; z stands below y in the trie
+    c = np.arange(100, 100 + common, dtype=np.uint64)
+    x, y = (np.concatenate((np.array([k], np.uint64), c)) for k in (5, 6))
+    z = np.concatenate((y, np.array([500], np.uint64)))
+    trie = ngram_join.Trie([x, y, z], percent)
+    list(trie.links())
+    assert len(set(trie.root_of.tolist())) == 1
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90, 95, 100])
+def test_trie_components_equal_brute_force(percent):
+    r = np.random.default_rng(percent)
+    for _ in range(60):
+        base = np.arange(100, 100 + r.integers(4, 45), dtype=np.uint64)
+        sets = [np.unique(np.concatenate((base[r.random(len(base)) < 0.97], r.integers(0, 200, r.integers(0, 3)).astype(np.uint64)))) for _ in range(12)]
+        trie = ngram_join.Trie(sets, percent)
+        list(trie.links())
+        root = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                n = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                    root = [root[j] if x == root[i] else x for x in root]
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+        assert [trie.root_of[i] == trie.root_of[j] for i, j in pairs] == [root[i] == root[j] for i, j in pairs]
+
+
 def test_components(spark):
     r = random.Random(5)
     pairs = [(r.randrange(80), r.randrange(80)) for _ in range(60)]
