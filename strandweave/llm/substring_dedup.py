@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from strandweave.llm.common import map_batches, mix, packed, prepare, run_hashes, window_hashes, word_hashes
 
 WINDOW, GRAM = 35, 8
-#: Documents are factored in stretches of at most this many words.
-STRETCH = 1 << 20
 _BITS = np.uint64(20)
+#: Documents are factored in stretches of at most this many windows, so few that
+#: the index of each gram of a stretch (there are window - gram more) fits _BITS.
+STRETCH = (1 << 20) - (1 << 12)
 _HASH_BYTES = 6
 
 
@@ -46,6 +47,8 @@ def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
         none = np.zeros(0, np.uint64)
         return none, none.astype(np.int64), none.astype(np.int64), none
     grams = window_hashes(words, gram)
+    if len(grams) > 1 << int(_BITS):
+        raise ValueError(f"a stretch has {len(grams)} grams, more than {_BITS} bits can number")
     span = window - gram + 1
     key = (grams >> _BITS << _BITS) | np.arange(len(grams), dtype=np.uint64)
     size = 1

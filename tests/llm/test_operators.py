@@ -238,6 +238,22 @@ def test_substring_dedup_across_stretches(spark, monkeypatch):
     assert df.count() == 3
 
 
+def test_windows_at_the_end_of_a_full_stretch_meet_their_equals(spark):
+    # each short row is one window of a row of more than 2**20 words, near where a stretch may end
+    border = 1 << 20
+    long = [f"w{i}" for i in range(border + 100)]
+    starts = [*range(border - 40, border + 5), *range(substring_dedup.STRETCH - 40, substring_dedup.STRETCH + 5)]
+    rows = [(0, long), *((1 + i, long[i : i + 35]) for i in dict.fromkeys(starts)), (-1, [f"x{i}" for i in range(35)])]
+    seen = collections.Counter(tuple(w[i : i + 35]) for _, w in rows[1:] for i in range(len(w) - 34))
+    seen.update(t for i in range(border + 66) if (t := tuple(long[i : i + 35])) in seen)
+    want = collections.Counter()
+    for i, w in rows:
+        gone = {k for at in range(len(w) - 34) if seen[tuple(w[at : at + 35])] > 1 for k in range(at, at + 35)}
+        want[(i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())] += 1
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert collections.Counter(tuple(r) for r in substring_dedup.digests(df).collect()) == want
+
+
 def test_cleaned_leaves_unique_texts_alone(docs):
     before = {(r.doc_id, r.text) for r in docs.collect()}
     after = substring_dedup.cleaned(docs, 50)
