@@ -53,9 +53,12 @@ def greedy_matches(found: DataFrame) -> DataFrame:
     return found.withColumn("_b", least).filter((F.col("mismatches") > 0) == F.col("_b.inexact")).drop("_b")
 
 
-def unique_prefixes(strings: DataFrame, longest: int) -> DataFrame:
-    """(id, n): length of the shortest prefix that no other string starts with."""
-    heads = strings.select("id", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("seq")))).alias("n"), "seq")
+def unique_prefixes(strings: DataFrame, longest: int | None = None) -> DataFrame:
+    """(id, n): length of the shortest prefix that no other string starts with,
+    up to the whole string or ``longest``."""
+    most = F.length("seq") if longest is None else F.least(F.lit(longest), F.length("seq"))
+    strings = strings.filter(F.length("seq") > 0)  # sequence(1, 0) would count down
+    heads = strings.select("id", F.explode(F.sequence(F.lit(1), most)).alias("n"), "seq")
     heads = heads.select("id", "n", F.expr("left(seq, n)").alias("p"))
     alone = heads.groupBy("p").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("n").alias("n")).filter("c = 1")
     return alone.groupBy("id").agg(F.min("n").alias("n"))

@@ -290,3 +290,12 @@ def test_lookups(spark):
     merged = readers.merge_populations(a, spark.createDataFrame([(0, 4, "y")], "start long, end long, sample string"))
     assert table(merged, "start", "end", "sample") == [(0, 9, "x"), (10, 14, "y")]
     assert table(lookup.population_of(spark.createDataFrame([(3,), (12,), (99,)], "read long"), merged), "read", "sample") == [(12, "y"), (3, "x"), (99, None)]
+
+
+def test_unique_prefixes_reach_the_whole_string(spark):
+    from strandweave.operators import lookup
+
+    a, b = "ACGT" * 5 + "A", "ACGT" * 5 + "C"
+    df = spark.createDataFrame([(1, a), (2, b), (3, "T"), (4, ""), (5, a[:16])], "id long, seq string")
+    assert table(lookup.unique_prefixes(df), "id", "n") == [(1, 21), (2, 21), (3, 1)]
+    assert table(lookup.unique_prefixes(df, 12), "id", "n") == [(3, 1)]
