@@ -25,6 +25,8 @@ from strandweave.llm.common import prepare
 
 #: Sample bounds: rows taken for each language, and bytes of each dictionary.
 ROWS, DICTIONARY_BYTES = 96, 64_000
+#: Bytes of a piece of a long text in a dictionary, at least.
+STRIP = 200
 #: Texts are compressed in pieces of this many bytes, so that the dictionary
 #: counts as much at the end of a long text as at its start.
 PIECE = 2048
@@ -42,10 +44,12 @@ def letters(text: str) -> bytes:
 
 
 def learn(documents: DataFrame, usable: Column, rows: int = ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw-content dictionaries from at most ``rows`` whole texts a language.
+    """Raw-content dictionaries from at most ``rows`` texts a language.
 
     Ids are chosen first from two narrow columns; only the chosen texts (at
-    most ``rows`` times the number of languages) are then fetched.
+    most ``rows`` times the number of languages) are then fetched. A dictionary
+    has at most ``size`` bytes, so of long texts it holds a bounded part: every
+    chosen text has a share in it, spread over the text.
     """
     ids = documents.filter(usable & F.col("lang").isNotNull()).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
@@ -68,17 +72,26 @@ def contents(texts: dict[str, list[str]], size: int = DICTIONARY_BYTES) -> dict[
                 langs.setdefault(line, set()).add(lang)
     out = {}
     for lang, own in texts.items():
-        share, parts, left = 2 * size // max(1, min(len(own), 40)), [], size
-        for text in own:
-            part = letters("\n".join(x for x in text.split("\n") if len(langs[x]) == 1))[: min(share, left)]
-            parts.append(part)
-            left -= len(part)
-            if left <= 0:
-                break
-        out[lang] = b"".join(parts)
+        seen = [letters("\n".join(x for x in text.split("\n") if len(langs[x]) == 1)) for text in own]
+        share, left = {}, size
+        for n, i in enumerate(sorted(range(len(seen)), key=lambda i: len(seen[i]))):  # what short texts leave is for longer ones
+            share[i] = min(len(seen[i]), left // (len(seen) - n))
+            left -= share[i]
+        out[lang] = b"".join(spread(text, share[i]) for i, text in enumerate(seen))
     return {k: v for k, v in out.items() if v}
 
 
+def spread(data: bytes, size: int) -> bytes:
+    """``size`` bytes of a text, in pieces of STRIP bytes or more that are spread
+    evenly from its start to its end; a shorter text whole."""
+    if len(data) <= size:
+        return data
+    n = max(1, size // STRIP)
+    cuts = [size * i // n for i in range(n + 1)]
+    starts = [(len(data) - size) * i // max(1, n - 1) for i in range(n)]
+    return b"".join(data[at + a : at + b] for at, a, b in zip(starts, cuts, cuts[1:]))
+
+
 class Classifier:
     """Compresses with every dictionary; made once for each Python worker."""
 

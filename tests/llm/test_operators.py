@@ -397,6 +397,17 @@ def test_language_id(spark, empty):
     assert language_id.kept(empty, F.lit(True)).collect() == []
 
 
+def test_dictionaries_hold_a_share_of_every_text():
+    texts = [" ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}{'uvwxyz'[k * 6 // 9000]}" for k in range(9000)) for i in range(96)]
+    own = language_id.contents({"xx": [*texts, "short and whole"]})["xx"]
+    assert 0.99 * language_id.DICTIONARY_BYTES < len(own) <= language_id.DICTIONARY_BYTES and b"short and whole" in own
+    for i in range(96):  # from the start and the end of each
+        stem = f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"
+        assert f"{stem}u".encode() in own and f"{stem}z".encode() in own
+    assert language_id.spread(b"abc", 5) == b"abc" and len(language_id.spread(bytes(9999), 1234)) == 1234
+    assert language_id.contents({"xx": [], "yy": ["", "12"]}, 10).keys() <= {"yy"}
+
+
 def test_toxicity_learns_sentences_from_document_labels(spark, empty):
     r = random.Random(2)
     rows, labels = [], []
