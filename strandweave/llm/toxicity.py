@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
 from math import exp, expm1, log1p
 
 import numpy as np
@@ -31,8 +32,9 @@ SAMPLE = 6000
 #: (in documents) that keeps rare features at nought.
 MIN_DOCS, EPOCHS, RATE, SHRINK = 3, 80, 0.3, 0.8
 THRESHOLD = 0.3
-#: Words whose scores a worker remembers.
-REMEMBERED = 300_000
+#: Words whose scores a worker remembers; those of LONG letters or more weigh
+#: like others but are not remembered.
+REMEMBERED, LONG = 300_000, 200
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -121,11 +123,19 @@ class Scorer:
     def word(self, w: str) -> float:
         got = self.words.get(w)
         if got is None:
+            if len(w) >= LONG:
+                return self.long_word(w)
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
-            got = self.words[w] = sum(self.weights.get(g, 0.0) for g in grams(w)) if len(w) < 200 else 0.0
+            got = self.words[w] = sum(self.weights.get(g, 0.0) for g in grams(w))
         return got
 
+    def long_word(self, w: str) -> float:
+        """As of other words, but only features that have a weight are held."""
+        marked = f"^{w}$"
+        parts = chain((marked, *(marked[:n] + "*" for n in (4, 5, 6))), (marked[i : i + 5] for i in range(len(marked) - 4)))
+        return sum(self.weights[g] for g in {g for g in parts if g in self.weights})
+
     def __call__(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or score, and sentences whose own probability is high."""
         if not text:
@@ -140,7 +150,7 @@ class Scorer:
                     v = known.get(w)
                     z += word(w) if v is None else v
                 z = max(-60.0, min(60.0, z))
-                clean += log1p(exp(z)) if z > -12 else 0.0
+                clean += log1p(exp(z))
                 if z > -0.85:
                     spans.append((m.start(), m.end(), 1 / (1 + exp(-z))))
         return -expm1(-clean), spans

@@ -408,6 +408,19 @@ def test_dictionaries_hold_a_share_of_every_text():
     assert language_id.contents({"xx": [], "yy": ["", "12"]}, 10).keys() <= {"yy"}
 
 
+def test_toxicity_scores_long_words_and_very_many_sentences():
+    scorer = toxicity.Scorer({"rasca": 8.0}, -4.0)
+    for n in (10, 300):
+        score, spans = scorer("x" * n + "rascal")
+        assert score > 0.9 and len(spans) == 1
+    assert not any(len(w) >= toxicity.LONG for w in scorer.words)
+    long = "abcde" * 30 + "xyzzy" * 20
+    every = toxicity.Scorer({g: 0.5 for g in toxicity.grams(long)} | {"other": 9.0}, -4.0)
+    assert every.word(long) == 0.5 * len(toxicity.grams(long))
+    many = toxicity.Scorer({}, -13.0)("word. " * 100_000)[0]
+    assert math.isclose(many, -math.expm1(-100_000 * math.log1p(math.exp(-13.0))), rel_tol=1e-6)
+
+
 def test_toxicity_learns_sentences_from_document_labels(spark, empty):
     r = random.Random(2)
     rows, labels = [], []
