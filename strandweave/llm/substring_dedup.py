@@ -5,18 +5,29 @@ of 35 words (a window) the 8-word gram with the smallest hash is the window's
 anchor, so equal windows have equal anchors at equal offsets, and windows of one
 anchor lie side by side. An index block is the set of anchors that hash to it; it
 holds, for each anchor, the distinct contexts (hashes of its windows) and how
-often each occurs. A document is factored from left to right against the blocks
-of its anchors: a factor is the longest run of windows that occur elsewhere. All
-windows at a factor's borders are looked up too, not only those a greedy parse
-starts at, so no repeated window is lost between two factors.
+often each occurs. A document is looked up in the blocks of its anchors and parsed
+greedily from left to right: a factor starts at the first window that occurs
+elsewhere and is extended word by word as long as the next window does too; the
+parse goes on behind it. Factors of a window or more are the duplicate spans. All
+windows that straddle a factor's borders have been looked up too, not only those
+a parse starts at, so no repeated window is lost between two factors.
 
 Equal contexts of a batch are counted before they are shuffled, and positions only meet
 the contexts that repeat: a passage in a third of all documents is a handful of
-rows in its index block, and the join with positions can be split.
+rows in its index block, and the join with positions can be split. A common gram
+in many different surroundings would put all of them into one block: such anchors
+(found in every 64th document, which decides the layout and never a result) are
+filed window by window instead.
+
+Windows are told apart by 56 bits of a hash beside the 64 bits of their anchor's,
+so n different windows of one anchor are confused with a probability of about
+n * n / 2**57; words themselves are not compared.
 
 Edge cases: null, empty and short texts have no window and lose nothing; rows
 that repeat (same id and text) count as occurrences of their own; rows of one
-id with different texts are told apart; a table without rows gives none.
+id with different texts are told apart; very long texts are read in stretches
+that overlap by a window; a table's own columns are kept in a struct, so names
+never clash; a table without rows gives none; a window above 70 words is refused.
 """
 
 from __future__ import annotations
@@ -36,12 +47,21 @@ _BITS = np.uint64(20)
 #: Documents are factored in stretches of at most this many windows, so few that
 #: the index of each gram of a stretch (there are window - gram more) fits _BITS.
 STRETCH = (1 << 20) - (1 << 12)
-_HASH_BYTES = 6
+#: Bytes of a window's hash in its anchor's index block.
+_HASH_BYTES = 7
+#: Anchors of about this many contexts are split, found in one document of SAMPLED;
+#: the most frequent HOTTEST of them at most are named to all tasks.
+HOT, SAMPLED, HOTTEST = 20_000, 64, 100_000
+
+
+NONE = np.zeros(0, np.uint64)
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, number of windows) of each anchor of a
-    stretch, in order, and the 48-bit hash of each window."""
+    stretch, in order, and the 56-bit hash of each window."""
+    if window - gram + 1 > 63:
+        raise ValueError(f"a mask has no room for windows of {window} words")
     n = len(words) - window + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
@@ -60,7 +80,45 @@ def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     at = (key & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(first, n))
-    return grams[at[first]], first, count, window_hashes(words, window) >> np.uint64(16)
+    return grams[at[first]], first, count, window_hashes(words, window) >> np.uint64(64 - 8 * _HASH_BYTES)
+
+
+Split = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def split_hot(anchor: np.ndarray, first: np.ndarray, count: np.ndarray, windows: np.ndarray, hot: np.ndarray) -> Split:
+    """The contexts with those of hot anchors as one context for each window,
+    under a key of anchor and window that equal windows share."""
+    if not len(hot) or not len(anchor):
+        return anchor, first, count
+    found = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+    if not found.any():
+        return anchor, first, count
+    n = count[found]
+    at = np.repeat(first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    keys = mix(np.repeat(anchor[found], n) ^ mix(windows[at]))
+    return np.concatenate((anchor[~found], keys)), np.concatenate((first[~found], at)), np.concatenate((count[~found], np.ones(len(at), count.dtype)))
+
+
+def hot_anchors(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Anchors with very many contexts, from a share of the documents: a layout,
+    without effect on results. Its size is bounded by HOTTEST."""
+
+    def run(batch: pa.RecordBatch):
+        found = []
+        for text in batch.column(0).to_pylist():
+            for _, words in stretches(text, window):
+                anchor, first, count, windows = anchors(words, window, gram)
+                if len(anchor):
+                    found.append(np.stack((anchor, context_hashes(anchor, windows, first, count))))
+        if found:
+            anchor, n = np.unique(np.unique(np.concatenate(found, axis=1), axis=1)[0], return_counts=True)
+            yield {"anchor": pa.array(anchor.view(np.int64)), "n": pa.array(n)}
+
+    some = documents.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(SAMPLED)) == 0)
+    counts = map_batches(some, ["text"], run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") * SAMPLED >= HOT).orderBy(F.desc("n"), "anchor").limit(HOTTEST).select("anchor").toArrow()
+    return np.sort(top["anchor"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def stretches(text: str | None, window: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,7 +132,7 @@ def context_hashes(anchor: np.ndarray, windows: np.ndarray, first: np.ndarray, c
     return mix(run_hashes(mix(windows), first, first + count) + anchor)
 
 
-def contexts(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def contexts(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: np.ndarray = NONE) -> DataFrame:
     """(anchor, context, n): the contexts of each anchor, those of one batch of
     documents counted before they leave the task."""
 
@@ -83,6 +141,7 @@ def contexts(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
         for text in batch.column(0).to_pylist():
             for _, words in stretches(text, window):
                 anchor, first, count, windows = anchors(words, window, gram)
+                anchor, first, count = split_hot(anchor, first, count, windows, hot)
                 if len(anchor):
                     id_parts.append(context_hashes(anchor, windows, first, count))
                     anchor_parts.append(anchor)
@@ -177,13 +236,14 @@ def repeated(index: DataFrame) -> DataFrame:
     return index.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "context_id long, mask long")
 
 
-def positions(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def positions(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: np.ndarray = NONE) -> DataFrame:
     """(context_id, _id, _text, first): where each context stands."""
 
     def run(batch: pa.RecordBatch):
         for text, own, hashed in zip(*(c.to_pylist() for c in batch.columns)):
             for start, words in stretches(text, window):
                 anchor, first, count, windows = anchors(words, window, gram)
+                anchor, first, count = split_hot(anchor, first, count, windows, hot)
                 if len(anchor):
                     ids = context_hashes(anchor, windows, first, count).view(np.int64)
                     yield {
@@ -194,27 +254,35 @@ def positions(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     return map_batches(rows, ["text", "_id", "_text"], _joined(run), "context_id long, _id long, _text long, first int")
 
 
-def covered(n: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
-    """Which of n words the repeated windows cover."""
-    edge = np.zeros(n + 1, np.int64)
+def factors(n: int, spans: list[dict] | None, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(start, end) words of the factors of a text of n words, by a greedy parse:
+    each is the longest from where it starts, and the next one starts behind the
+    last window of it."""
+    often = np.zeros(max(0, n - window + 1) + 2, np.int8)  # with an end mark on both sides
     for span in spans or ():
-        start, mask = span["first"], span["mask"]
-        while mask:
-            skip = (mask & -mask).bit_length() - 1  # a factor: a run of set bits
-            length = ((mask >> skip) ^ ((mask >> skip) + 1)).bit_length() - 1
-            edge[start + skip] += 1
-            edge[start + skip + length - 1 + window] -= 1
-            start, mask = start + skip + length, mask >> skip + length
-    return np.cumsum(edge[:n]) > 0
+        bits = np.array([span["mask"]], np.int64).view(np.uint8)
+        at = span["first"] + np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+        often[at + 1] = 1
+    edge = np.diff(often)
+    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + window - 1).tolist()))
+
+
+def covered(n: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
+    """Which of n words the factors cover."""
+    gone = np.zeros(n, bool)
+    for start, end in factors(n, spans, window):
+        gone[start:end] = True
+    return gone
 
 
 def with_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Every row as ``row`` with ``spans``, its repeated windows (null: none)."""
-    masks = repeated(contexts(documents, window, gram))
+    hot = hot_anchors(documents, window, gram)
+    masks = repeated(contexts(documents, window, gram, hot))
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = packed(documents, doc_id.alias("_id"), F.xxhash64("text").alias("_text"))
     narrow = documents.select("text", doc_id.alias("_id"), F.xxhash64("text").alias("_text"))
-    found = positions(narrow, window, gram).join(masks, "context_id")
+    found = positions(narrow, window, gram, hot).join(masks, "context_id")
     spans = found.groupBy("_id", "_text").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
     return rows.join(spans, ["_id", "_text"], "left").select("row", "spans")
 
