@@ -31,10 +31,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import persisted, prepare, shared_dir
+from strandweave.llm.common import broadcast_if_small, persisted, prepare, shared_dir
 
 #: Largest record block, largest chunk of the transfer framing, and file size.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 16_384, 4_096, 64_000_000
+#: Repeated digests (of 28 bytes each) that may be sent to every executor.
+KEEPER_ROWS = 500_000
+#: Tasks that read archives, at most; each then reads a few files.
+READ_TASKS = 50_000
 _DATE = "2024-01-01T00:00:00Z"
 PARSED = (
     "record_id string, origin string, segment int, total long, page_id long, record_type string, refers_to long,"
@@ -50,14 +54,16 @@ def with_keeper(pages: DataFrame, payload: str = "html", key: str = "page_id", l
     """(page_id, payload, refers_to): who keeps the payload, null for keepers.
 
     Only digests with more than one page go to the other side of the join, and
-    their largest id is aggregated before the shuffle.
+    their largest id is aggregated before the shuffle. That side is broadcast if
+    its counted rows are few, and then no payload moves; else a hot digest's
+    payloads can be split by the shuffled join.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), body.alias("payload"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     counted = keyed.filter(F.octet_length("payload") >= least).groupBy("sha")
     keepers = counted.agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = keyed.join(keepers, "sha", "left")
+    joined = keyed.join(broadcast_if_small(persisted(keepers), KEEPER_ROWS), "sha", "left")
     refers = F.when((F.octet_length("payload") >= least) & (F.col("keeper") != F.coalesce("page_id", F.lit(None))), F.col("keeper"))
     null_id = F.when(F.col("page_id").isNull() & (F.octet_length("payload") >= least), F.col("keeper"))
     return joined.select("page_id", "payload", F.coalesce(refers, null_id).alias("refers_to"))
@@ -119,12 +125,19 @@ def records(page_id: int | None, payload: bytes, refers_to: int | None, segment:
         )
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder and the path in it. Local, HDFS, S3 and GCS
+    addresses are known; credentials are the environment's, not Spark's."""
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri("s3" + colon + rest if scheme in ("s3a", "s3n") else folder)
+
+
 def write(rows: DataFrame, folder: str, segment: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write (page_id, payload, refers_to) rows; returns (file, n_records)."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = file_system(folder)
         store.create_dir(root, recursive=True)
         done, out, held, n = [], None, 0, 0
         for batch in batches:
@@ -216,7 +229,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     kinds = dict(zip(names, [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = file_system(folder)
 
         def pack(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in names], names=names)
@@ -233,7 +246,14 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pack(rows)
 
-    return files.select("file").repartition("file").mapInArrow(run, schema)
+    return spread(files).mapInArrow(run, schema)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """File names dealt to as many tasks as there are files. The number is given,
+    as names are so short that a task would otherwise get all of them."""
+    n = files.count()
+    return files.select("file").repartitionByRange(max(1, min(n, READ_TASKS)), "file")
 
 
 def join_segments(segments: list[tuple[int, bytes]], total: int | None) -> bytes:
