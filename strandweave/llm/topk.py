@@ -13,13 +13,17 @@ its k best for each query, and the k best of those are the answer.
 Edge cases: vectors that are null, empty or hold null or non-finite components,
 and rows with a null id, take no part; vectors of unequal length count as padded with zeros; equal
 scores go to the smaller id; repeated ids are separate rows, none of which is
-returned for a query of that id; with fewer candidates than k all are returned.
+returned for a query of that id; with fewer candidates than k all are returned;
+components of any size give exact scores, and a returned score that 64 bits
+cannot hold raises ``OverflowError``; columns beside ``vec_id`` and ``embedding``
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +38,38 @@ CANDIDATES, QUERIES = 65_536, 8_192
 
 
 def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, terms array<long>) of the vectors that take part."""
+    """(vec_id, terms array<double>: whole numbers) of the vectors that take part."""
     v = F.col("embedding")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    terms = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    # doubles hold these whole numbers exactly; beyond 2**52 there is nothing to round down
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    terms = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < 2.0**52, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     return embeddings.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ok).select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms"))
 
 
+#: Sums of products below this are exact in doubles, in any order.
+EXACT = 2.0**53
+
+
 class Block:
     """A document range: ids, forward index, and term maxima and minima."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.matrix = ids, matrix
         self.high, self.low = matrix.max(axis=0), matrix.min(axis=0)
+        self.size = np.maximum(np.abs(self.high), np.abs(self.low))
+
+    def scores(self, queries: np.ndarray) -> np.ndarray:
+        """Inner products, exact: doubles where every partial sum is below 2**53,
+        else Python's whole numbers."""
+        if (np.abs(queries) @ self.size < EXACT).all():
+            return queries @ self.matrix.T
+        whole = [[int(x) for x in row] for row in self.matrix]
+        out = np.empty((len(queries), len(whole)), dtype=object)
+        for i, query in enumerate(queries):
+            own = [int(x) for x in query]
+            out[i] = [sum(map(mul, own, row)) for row in whole]
+        return out
 
 
 def blocks(ids: np.ndarray, matrix: np.ndarray, size: int = BLOCK) -> list[Block]:
@@ -60,6 +83,8 @@ def search(query_ids: np.ndarray, queries: np.ndarray, parts: list[Block], k: in
     n = len(query_ids)
     high, low = np.array([b.high for b in parts]), np.array([b.low for b in parts])
     bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    most = np.abs(queries) @ np.array([b.size for b in parts]).T
+    bounds += np.where(most < EXACT, 0.0, most * 1e-9)  # rounding must not lower a bound
     order = np.argsort(-bounds, axis=1, kind="stable")
     best_ids = [np.zeros(0, np.int64)] * n
     best = [np.zeros(0)] * n
@@ -73,15 +98,16 @@ def search(query_ids: np.ndarray, queries: np.ndarray, parts: list[Block], k: in
             break
         for b in np.unique(chosen):
             rows, part = active[chosen == b], parts[b]
-            scores = queries[rows] @ part.matrix.T
+            scores = part.scores(queries[rows])
             scores[part.ids[None, :] == query_ids[rows][:, None]] = -np.inf
             for i, q in enumerate(rows):
                 good = np.flatnonzero((scores[i] >= kth[q]) & (scores[i] > -np.inf))
                 ids, s = np.concatenate((best_ids[q], part.ids[good])), np.concatenate((best[q], scores[i, good]))
-                top = np.lexsort((ids, -s))[:k]
-                best_ids[q], best[q] = ids[top], s[top]
-                if len(top) == k:
-                    kth[q] = best[q][-1]
+                top = np.lexsort((ids, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], ids[j])), dtype=np.int64)
+                best_ids[q], best[q] = ids[top[:k]], s[top[:k]]
+                if len(best[q]) == k:
+                    last = best[q][-1]  # rounded down where a double cannot hold it
+                    kth[q] = last if abs(last) < EXACT else np.nextafter(float(last), -np.inf)
     for i in range(n):
         yield int(query_ids[i]), best_ids[i], best[i]
 
