@@ -1,27 +1,34 @@
 """Language identification by compression with per-language dictionaries.
 
-A text is compressed once with each language's zstandard raw-content
-dictionary; the language whose dictionary makes it smallest wins. Where the
-two smallest sizes are almost equal the answer is rejected.
-
-Edge cases: a null text, an empty one or one without a letter is ``und`` with
-score 0 and rejected; equal sizes go to the language first in order; rows with
-null ``lang`` are never learned; a table without labelled rows gives ``und``
-everywhere; repeated rows get equal answers; other columns are not looked at.
+A text is cut in pieces, and each is compressed with each language's zstandard
+raw-content dictionary, behind a stretch of that language which makes the coder's
+letter statistics those of the language from the first byte on. The language whose
+dictionary makes the sum smallest wins. Sizes are whole bytes, so of a short text
+further cuts are weighed too, until PIECE bytes have been seen: one rule for texts
+of every length. Where the two smallest sums are almost equal the answer is rejected.
+
+Edge cases: a null text, an empty one or one without a letter (Unicode's category
+L: digits, fractions and circled numbers are none) is ``und`` with score 0 and
+rejected; equal sizes go to the language first in order; rows with null ``lang`` or
+null id are never learned; of an id with several texts in one language one text is
+learned from; a table without labelled rows gives ``und`` everywhere; one language
+alone is always the answer; a very long text is compressed piece by piece; repeated
+rows get equal answers; other columns are not looked at, and names of the new ones
+that clash are refused; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandweave.llm.common import prepare
+from strandweave.llm.common import map_batches, prepare
 
 #: Sample bounds: rows taken for each language, and bytes of each dictionary.
 ROWS, DICTIONARY_BYTES = 96, 64_000
@@ -30,12 +37,15 @@ STRIP = 200
 #: Texts are compressed in pieces of this many bytes, so that the dictionary
 #: counts as much at the end of a long text as at its start.
 PIECE = 2048
-#: Texts below SHORT bytes are compressed behind LEAD bytes of each language.
-SHORT, LEAD = 400, 2000
+#: Bytes of the language that every piece is compressed behind, and how many cuts
+#: of a last piece are weighed at most.
+LEAD, CUTS = 1000, 9
 #: Relative gap between the two smallest sizes below which a text is rejected.
 MARGIN = 0.003
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+#: Characters of a sampled text that are fetched, as a multiple of its even share.
+FETCHED = 8
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}]+")
 
 
 def letters(text: str) -> bytes:
@@ -46,20 +56,26 @@ def letters(text: str) -> bytes:
 def learn(documents: DataFrame, usable: Column, rows: int = ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries from at most ``rows`` texts a language.
 
-    Ids are chosen first from two narrow columns; only the chosen texts (at
-    most ``rows`` times the number of languages) are then fetched. A dictionary
-    has at most ``size`` bytes, so of long texts it holds a bounded part: every
-    chosen text has a share in it, spread over the text.
+    Ids are chosen first from two narrow columns; of the chosen texts (at most
+    ``rows`` times the number of languages) at most FETCHED * size / rows characters
+    each, spread over the text, are then fetched: about half a megabyte a language. A
+    dictionary has at most ``size`` bytes; every chosen text has a share in it.
     """
-    ids = documents.filter(usable & F.col("lang").isNotNull()).select("doc_id", "lang")
+    labelled = documents.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).drop("n").collect()
-    wanted = sorted({r.doc_id for r in chosen if r.doc_id is not None})
+    ids = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order))
+    chosen = ids.filter(F.col("n") <= rows).select("doc_id", "lang").distinct()
+    found = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).filter(F.length("text") > 0)
+    one = found.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    most = FETCHED * size // rows
+
+    def run(batch: pa.RecordBatch):
+        yield {"doc_id": batch.column(0), "lang": batch.column(1), "text": [spread(t, most) for t in batch.column(2).to_pylist()]}
+
+    fetched = map_batches(one, (F.col("doc_id").cast("long"), "lang", "text"), run, "doc_id long, lang string, text string")
     texts: dict[str, list[tuple[int, str]]] = {}
-    found = documents.filter(F.col("doc_id").isin(wanted) & usable & F.col("lang").isNotNull())
-    for r in found.select("doc_id", "lang", "text").distinct().collect() if wanted else []:
-        if r.text:
-            texts.setdefault(r.lang, []).append((r.doc_id, r.text))
+    for r in fetched.collect():
+        texts.setdefault(r.lang, []).append((r.doc_id, r.text))
     return contents({k: [t for _, t in sorted(v)] for k, v in sorted(texts.items())}, size)
 
 
@@ -81,15 +97,26 @@ def contents(texts: dict[str, list[str]], size: int = DICTIONARY_BYTES) -> dict[
     return {k: v for k, v in out.items() if v}
 
 
-def spread(data: bytes, size: int) -> bytes:
-    """``size`` bytes of a text, in pieces of STRIP bytes or more that are spread
+def spread[T: (str, bytes)](data: T, size: int) -> T:
+    """``size`` bytes (or characters) of a text, in pieces of STRIP bytes or more that are spread
     evenly from its start to its end; a shorter text whole."""
     if len(data) <= size:
         return data
     n = max(1, size // STRIP)
     cuts = [size * i // n for i in range(n + 1)]
     starts = [(len(data) - size) * i // max(1, n - 1) for i in range(n)]
-    return b"".join(data[at + a : at + b] for at, a, b in zip(starts, cuts, cuts[1:]))
+    return data[:0].join(data[at + a : at + b] for at, a, b in zip(starts, cuts, cuts[1:]))
+
+
+def cuts(data: bytes) -> list[bytes]:
+    """A text's pieces, and cuts of the last one (tails and heads that grow shorter
+    by eighths) until they and the text have PIECE bytes or CUTS are made."""
+    pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+    last = pieces[-1]
+    for i in range(1, min(CUTS, PIECE // len(data))):
+        size = len(last) - len(last) * ((i + 1) // 2) // 8
+        pieces.append(last[len(last) - size :] if i % 2 else last[:size])
+    return pieces
 
 
 class Classifier:
@@ -111,17 +138,8 @@ class Classifier:
     def __call__(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         if not text or not self.coders or not _LETTER.search(text):
             return "und", 0.0, True
-        data = letters(text)
-        n = len(data)
-        if n < SHORT:
-            # too short for matches or a table of letters: what it adds to a stretch of the
-            # language is compared; sizes are whole bytes, so several cuts are summed
-            pieces = [data, *(data[n * i // 8 :] for i in range(1, 5)), *(data[: n * i // 8] for i in range(4, 8))]
-            sizes = [sum(len(coder.compress(lead + p)) - alone for p in pieces) for _, coder, lead, alone in self.coders]
-            sizes = [max(z, 1) for z in sizes]
-        else:
-            pieces = [data[i : i + PIECE] for i in range(0, n, PIECE)]
-            sizes = [sum(len(coder.compress(p)) for p in pieces) for _, coder, _, _ in self.coders]
+        pieces = cuts(letters(text))
+        sizes = [max(1, sum(len(coder.compress(lead + p)) - alone for p in pieces)) for _, coder, lead, alone in self.coders]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best = order[0]
         if len(sizes) == 1:
