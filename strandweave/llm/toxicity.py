@@ -6,14 +6,19 @@ the sentence model is trained through that combination by gradient descent, so
 that it learns which sentences offend. Words weigh by themselves and by their
 beginnings and character 5-grams, which carries over to unseen inflections.
 
-Edge cases: null, empty or wordless texts have no sentence and score 0;
-repeated label rows count once, toxic if any says so; null labels are not
-learned from; with no labelled row, or one class only, every score is 0 or the
-prior; other columns never enter a score.
+Edge cases: null, empty or wordless texts have no sentence and score 0; words of
+any length weigh by all their features, and every sentence of a text of any
+length enters its score; repeated label rows count once, toxic if any says so;
+null labels are not learned from; of an id with several texts the one with the
+smallest hash is learned from; with no labelled row, or one class only, every
+score is 0 or the prior; equal texts have equal scores; repeated rows are scored
+each by itself; columns other than ``doc_id`` and ``text`` are not read, so their
+names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from itertools import chain
@@ -62,7 +67,8 @@ def sample(documents: DataFrame, labels: DataFrame, usable: Column, n: int = SAM
     judged = judged.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = judged.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(n)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") > 0)
-    return [(r.text, int(r.toxic)) for r in rows.distinct().orderBy("doc_id").collect()]
+    one = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return [(r.text, int(r.toxic)) for r in one.orderBy("doc_id").collect()]
 
 
 def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, shrink: float = SHRINK, bias_rate: float = 0.05, start: float = 400.0) -> tuple[dict[str, float], float]:
@@ -160,9 +166,13 @@ def score(documents: DataFrame, model: tuple[dict[str, float], float]) -> DataFr
     """doc_id, score, and the offending sentences (start, end, probability) of
     every row, in one narrow stage."""
     weights, bias = model
+    key = hashlib.sha256(repr((bias, sorted(weights.items()))).encode()).hexdigest()
 
     def run(batch: pa.RecordBatch):
-        scorer = _SCORERS.setdefault(hash((bias, len(weights))), Scorer(weights, bias))
+        if key not in _SCORERS:  # a reused worker keeps the scorer of one model
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(weights, bias)
+        scorer = _SCORERS[key]
         got = [scorer(t) for t in batch.column(1).to_pylist()]
         spans = [[{"start": a, "end": b, "probability": p} for a, b, p in s] for _, s in got]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
@@ -173,4 +183,4 @@ def score(documents: DataFrame, model: tuple[dict[str, float], float]) -> DataFr
     return map_batches(documents, columns, run, schema)
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
