@@ -1,9 +1,11 @@
 """Mixing sources to target weights by hierarchical budgets.
 
-A token budget flows down a domain-language-source tree by weight. A subtree
-that holds fewer tokens than its share (times the epochs allowed) takes what it
-has; the shortage goes to its siblings by weight, and only what all siblings
-together cannot take is settled further up. Each leaf's quota becomes whole
+A token budget flows down a domain-language-source tree by weight. What a subtree
+can take is worked out from its leaves up: a leaf its tokens times the epochs
+allowed, a branch the sum over its children, and nothing where the weight is 0.
+A subtree that can take less than its share takes that; the shortage goes to its
+siblings by weight, and only what all siblings together cannot take is settled
+further up. Each leaf's quota becomes whole
 epochs and a token prefix of one more, in an order seeded for that epoch.
 
 The prefix needs no sort of a leaf: token sums over 4096 ranges of the order's
@@ -13,7 +15,9 @@ row. A leaf then has one cut value, and choosing rows is a narrow stage.
 Edge cases: null domain, language or source count as the value ``(none)``;
 null or empty texts have no tokens and come along wherever the prefix reaches
 them; rows with equal ids share their fate, so a prefix never splits repeated
-rows; unknown branches weigh 1; an empty table or a zero budget selects nothing.
+rows; unknown branches weigh 1, those of weight 0 or below get nothing; a table's own
+columns are kept in a struct, so names never clash; a very long text is taken or
+left whole; an empty table or a zero budget selects nothing.
 """
 
 from __future__ import annotations
@@ -58,6 +62,15 @@ def quotas(
     """Whole-token quota of each leaf path; weights are keyed by path prefix."""
     out: dict[tuple[str, ...], int] = {}
 
+    def weight(n: tuple[str, ...]) -> float:
+        return weights.get(n, weights.get(("*", *n[1:]), 1.0))
+
+    room: dict[tuple[str, ...], float] = {}
+    for path, n in sorted(leaves.items()):
+        if all(weight(path[: d + 1]) > 0 for d in range(len(path))):
+            for d in range(len(path)):
+                room[path[: d + 1]] = room.get(path[: d + 1], 0.0) + max_epochs * n
+
     def down(prefix: tuple[str, ...], own: list[tuple[str, ...]], budget: float) -> None:
         depth = len(prefix)
         if own and depth == len(own[0]):
@@ -67,7 +80,7 @@ def quotas(
         for path in own:
             children.setdefault(path[: depth + 1], []).append(path)
         names = sorted(children)
-        parts = [(weights.get(n, weights.get(("*", *n[1:]), 1.0)), max_epochs * sum(leaves[p] for p in children[n])) for n in names]
+        parts = [(weight(n), room.get(n, 0.0)) for n in names]
         for name, part in zip(names, share_out(budget, parts)):
             down(name, children[name], part)
 
