@@ -4,9 +4,17 @@ Mu-law and A-law bytes are expanded by 256-entry lookup tables. ADPCM blocks
 are decoded by numpy in step with each other: one pass over the samples of a
 block, each step a vector over all blocks of a group of rows. Files are WAV.
 
+The query stores each text as the samples of a mu-law WAV file in a table of the
+shared folder, reads that table back, decodes it, stores the samples resampled
+as a PCM WAV file, and reads its features from there. Long files are decoded in
+pieces, so a task holds a few times the bytes of one file and no more.
+
 Edge cases: a null payload counts as empty; an empty one still gives a file
 with no samples; a step index above 88 is read as 88; a trailing partial ADPCM
-block is refused; a broken or foreign file raises ``ValueError``.
+block is refused; a broken or foreign file raises ``ValueError``; a file above
+2**32 bytes is refused, as WAV cannot state its size; equal texts have equal
+values, and repeated rows are kept; columns other than the key and the payload
+are not read, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,14 +22,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import map_batches
+from strandweave.llm.common import map_batches, persisted
 
 MULAW, ALAW, ADPCM, PCM = 7, 6, 0x11, 1
 RATE, RESAMPLED = 8000, 16000
@@ -29,6 +37,8 @@ RATE, RESAMPLED = 8000, 16000
 BLOCK = 192
 #: Payload bytes that are decoded together.
 GROUP_BYTES = 4_000_000
+#: Samples that are resampled at a time.
+PIECE = 1 << 20
 
 # Fixed values of IMA ADPCM: quantiser steps and index changes.
 STEPS = np.array([
@@ -92,18 +102,29 @@ def decode_adpcm(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 def resample(pcm: np.ndarray, rate: int = RATE, to: int = RESAMPLED) -> np.ndarray:
     """Linear interpolation in whole numbers; the last sample is held."""
-    n = len(pcm) * to // rate
-    at = np.arange(n, dtype=np.int64) * rate
-    left, part = at // to, at % to
-    x = pcm.astype(np.int64)
-    right = np.minimum(left + 1, len(pcm) - 1)
-    return (x[left] + (x[right] - x[left]) * part // to).astype(np.int16) if n else np.zeros(0, np.int16)
+    parts = list(resampled(pcm, lambda x: x, rate, to))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int16)
+
+
+def resampled(raw: np.ndarray, decode: Callable[[np.ndarray], np.ndarray], rate: int = RATE, to: int = RESAMPLED) -> Iterator[np.ndarray]:
+    """The same in pieces, from stored samples that ``decode`` expands piece by piece."""
+    n, step = len(raw) * to // rate, PIECE
+    for start in range(0, n, step):
+        at = np.arange(start, min(n, start + step), dtype=np.int64) * rate
+        left, part = at // to, at % to
+        low, high = int(left[0]), min(int(left[-1]) + 2, len(raw))
+        x = decode(raw[low:high]).astype(np.int64)
+        left -= low
+        right = np.minimum(left + 1, len(x) - 1)
+        yield (x[left] + (x[right] - x[left]) * part // to).astype(np.int16)
 
 
 def wav(data: bytes, kind: int, rate: int = RATE) -> bytes:
     """A mono WAV file; mu-law and A-law have 8 bits a sample, PCM 16."""
     bits, align = {PCM: (16, 2), ADPCM: (4, BLOCK)}.get(kind, (8, 1))
     extra = {PCM: b"", ADPCM: struct.pack("<HH", 2, 2 * (BLOCK - 4) + 1)}.get(kind, struct.pack("<H", 0))
+    if len(data) > 0xFFFF_FF00:
+        raise ValueError("too long for a WAV file")
     per_s = rate * BLOCK // (2 * (BLOCK - 4) + 1) if kind == ADPCM else rate * align
     fmt = struct.pack("<HHIIHH", kind, 1, rate, per_s, align, bits) + extra
     body = b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
@@ -140,72 +161,97 @@ def to_pcm(file: bytes) -> np.ndarray:
     raise ValueError(f"unknown WAV format {kind}")
 
 
-def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > GROUP_BYTES:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
-def _features(payloads: list[bytes]) -> list[str]:
-    """Whole-number features of each payload under each codec."""
-    raw = np.frombuffer(b"".join(payloads), dtype=np.uint8)
-    starts = np.cumsum([0, *map(len, payloads)])
-    per = []
-    for kind in (MULAW, ALAW):
-        pcm = TABLES[kind][raw].astype(np.int64)
-        per.append((np.add.reduceat(np.abs(pcm), starts[:-1]), np.maximum.reduceat(np.abs(pcm), starts[:-1])))
-    blocks = decode_adpcm(raw)
-    out = []
+def pcm_file(file: bytes, to: int = RESAMPLED) -> bytes:
+    """A PCM WAV file with the samples of another, resampled."""
+    kind, rate, data = unwav(file)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    if kind in TABLES:
+        parts = resampled(raw, TABLES[kind].__getitem__, rate, to)
+    else:
+        parts = resampled(to_pcm(file), lambda x: x, rate, to)
+    return wav(b"".join(p.astype("<i2").tobytes() for p in parts), PCM, to)
+
+
+def adpcm_crcs(payloads: list[bytes]) -> list[int]:
+    """crc32 of each payload's ADPCM samples. Blocks of many payloads are decoded
+    together, and those of a long one in several groups."""
+    most = GROUP_BYTES // BLOCK * BLOCK
+    crcs, group, held = [0] * len(payloads), [], 0
+
+    def flush() -> None:
+        out = decode_adpcm(np.frombuffer(b"".join(part for _, part in group), dtype=np.uint8))
+        at = 0
+        for i, part in group:
+            rows = len(part) // BLOCK
+            crcs[i] = zlib.crc32(np.ascontiguousarray(out[at : at + rows]), crcs[i])
+            at += rows
+
     for i, payload in enumerate(payloads):
-        a, b = starts[i], starts[i + 1]
-        stored = resample(TABLES[MULAW][raw[a:b]])
-        adpcm = np.ascontiguousarray(blocks[a // BLOCK : b // BLOCK])
-        out.append(
-            f"mulaw={per[0][0][i] // len(payload)}/{per[0][1][i]};alaw={per[1][0][i] // len(payload)}/{per[1][1][i]}"
-            f";adpcm={zlib.crc32(adpcm):08x};pcm16k={zlib.crc32(stored):08x}"
-        )
-    return out
+        for at in range(0, len(payload), most):
+            part = payload[at : at + most]
+            if held + len(part) > most:
+                flush()
+                group, held = [], 0
+            group.append((i, part))
+            held += len(part)
+    if group:
+        flush()
+    return crcs
+
+
+def features(file: bytes, adpcm_crc: int) -> str:
+    """Whole-number features of a stored file's bytes under each codec, and of the
+    PCM file that it gives."""
+    raw = np.frombuffer(unwav(file)[2], dtype=np.uint8)
+    said = []
+    for name, kind in (("mulaw", MULAW), ("alaw", ALAW)):
+        size = np.abs(TABLES[kind].astype(np.int64))
+        counts = np.bincount(raw, minlength=256)  # the bytes are many, their values 256
+        said.append(f"{name}={int(counts @ size) // len(raw)}/{int(size[counts > 0].max())}")
+    stored = pcm_file(file)
+    return ";".join([*said, f"adpcm={adpcm_crc:08x}", f"pcm16k={zlib.crc32(unwav(stored)[2]):08x}"])
 
 
 def store(payloads: DataFrame, key: str, payload: str, kind: int = MULAW, to: int = RESAMPLED) -> DataFrame:
     """Decode a column of telephony samples and store it as PCM WAV files."""
 
     def run(batch: pa.RecordBatch):
-        files = []
-        for data in batch.column(1).to_pylist():
-            pcm = to_pcm(wav(data or b"", kind))
-            files.append(wav(resample(pcm, RATE, to).astype("<i2").tobytes(), PCM, to))
+        files = [pcm_file(wav(data or b"", kind), to) for data in batch.column(1).to_pylist()]
         yield {"key": batch.column(0), "pcm_wav": pa.array(files, pa.binary())}
 
     columns = (F.col(key).cast("long").alias("key"), F.col(payload).cast("binary"))
     return map_batches(payloads, columns, run, "key long, pcm_wav binary")
 
 
-def digests(documents: DataFrame) -> DataFrame:
-    """Each text, padded with spaces to a positive multiple of 192 bytes, kept
-    as the samples of a mu-law WAV file, read back, and described."""
+def recorded(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and ``media``: each text, padded with spaces to a positive
+    multiple of 192 bytes, as the samples of a mu-law WAV file."""
 
     def run(batch: pa.RecordBatch):
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        ids = batch.column(0)
-        for a, b in _groups([len(t) for t in texts]):
-            files = [wav(t + b" " * ((-len(t)) % BLOCK if t else BLOCK), MULAW) for t in texts[a:b]]
-            payloads = [unwav(f)[2] for f in files]
-            yield {
-                "doc_id": ids.slice(a, b - a),
-                "n_bytes": pa.array([len(t) for t in texts[a:b]], pa.int64()),
-                "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
-                "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-                "tail_crc32": pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
-                "media_bytes": pa.array([len(f) for f in files], pa.int64()),
-                "media_sha256": [hashlib.sha256(f).hexdigest() for f in files],
-                "feature": _features(payloads),
-            }
+        files = [wav(t + b" " * ((-len(t)) % BLOCK if t else BLOCK), MULAW) for t in texts]
+        yield {"doc_id": batch.column(0), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array(files, pa.binary())}
+
+    columns = (F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(documents, columns, run, "doc_id long, n_bytes long, media binary")
+
+
+def digests(documents: DataFrame) -> DataFrame:
+    """What is read back from the table of recorded texts, file by file."""
+
+    def run(batch: pa.RecordBatch):
+        files = batch.column(2).to_pylist()
+        payloads = [unwav(f)[2] for f in files]
+        yield {
+            "doc_id": batch.column(0),
+            "n_bytes": batch.column(1),
+            "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
+            "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
+            "tail_crc32": pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
+            "media_bytes": pa.array([len(f) for f in files], pa.int64()),
+            "media_sha256": [hashlib.sha256(f).hexdigest() for f in files],
+            "feature": [features(f, c) for f, c in zip(files, adpcm_crcs(payloads))],
+        }
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_batches(documents, (F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    return map_batches(persisted(recorded(documents)), ("doc_id", "n_bytes", "media"), run, schema)
