@@ -3,14 +3,21 @@
 A rolling hash over a text's bytes cuts it into chunks whose borders depend on
 content alone, so copies and shared passages give the same chunks wherever they
 stand. A worker encodes each chunk once and keeps it in a cache of bounded
-bytes. Cutting changes tokens near a cut only. Each join is repaired: the text
-between an anchor on the left (a non-space character before a space always ends
-a pre-token) and one on the right is encoded again, and the window grows until
-its outer tokens agree with those of both chunks, up to the whole neighbour.
+bytes (README has the figures on why reuse ends at the worker). Cutting changes
+tokens near a cut only. Each join is repaired: the text between an anchor on the
+left (a non-space character before a space always ends a pre-token) and one on the
+right is encoded again, and the window grows until its outer tokens agree with
+those of both chunks, up to the whole neighbour.
+
+Chunks are cut only for vocabularies that are checked when loaded to be plain
+byte-level BPE with ids in the order of merges; with any other file the library
+itself encodes and decodes whole texts.
 
 Edge cases: a null text counts as empty, an empty one has no tokens; special
 tokens in a text become their ids; texts without ASCII spaces have no anchor
-and are encoded whole; ids are unaffected by batch, order or cache state.
+and are encoded whole; ids are unaffected by batch, order or cache state; repeated
+rows are kept and equal texts have equal ids; columns other than ``doc_id`` and
+``text`` are not read, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,6 +55,26 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def is_plain_byte_bpe(spec: dict) -> bool:
+    """Whether a vocabulary file means what this module does: byte-level pre-tokens
+    by the usual pattern, no normalizer, ids that rise with the merges, and special
+    tokens that are split off as they stand."""
+    model, pre, added = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    if spec.get("normalizer") or model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        return False
+    if pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        return False
+    vocab, shown = model.get("vocab") or {}, set(_byte_of())
+    special = {t["content"] for t in added}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges") or []]
+    single = [v for k, v in vocab.items() if len(k) == 1 and k not in special]
+    if None in merged or any(a >= b for a, b in zip(merged, merged[1:])) or len(single) != 256 or (merged and max(single) > merged[0]):
+        return False
+    return len(vocab) == len(merged) + 256 + sum(s in vocab for s in special) and all(shown.issuperset(k) for k in vocab if k not in special)
+
+
 def cut_points(data: bytes) -> list[int]:
     """Chunk ends: content-defined, on character borders."""
     n = len(data)
@@ -82,10 +109,13 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self._exact, self.whole_texts = path, None, not is_plain_byte_bpe(spec)
+        if self.whole_texts:
+            return
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-        self.path, self.special, self._exact = path, special, None
+        self.special = special
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.tokens = [b""] * (1 + max([*ranks.values(), *special.values()]))
         for k, v in ranks.items():
@@ -102,11 +132,14 @@ class Encoder:
         text = data.decode()
         if _PLAIN.fullmatch(text):
             return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
+        return np.array(self.library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def library(self) -> Tokenizer:
         if self._exact is None:
             self._exact = Tokenizer.from_file(self.path)
             self._exact.no_truncation()
             self._exact.no_padding()
-        return np.array(self._exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return self._exact
 
     def chunk(self, data: bytes) -> np.ndarray:
         key = hashlib.blake2b(data, digest_size=16).digest()
@@ -126,6 +159,8 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
+        if self.whole_texts:
+            return np.array(self.library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if self._split is None or not any(s in text for s in self.special):
             return self._segment(text.encode())
         parts = [
@@ -187,6 +222,8 @@ class Encoder:
             reach *= 2
 
     def decode(self, ids: np.ndarray) -> str:
+        if self.whole_texts:
+            return self.library().decode(ids.tolist(), skip_special_tokens=False)
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
