@@ -7,9 +7,15 @@ confidence are pruned, and the rest judge the urls that no listed rule fits.
 Each mined rule is indexed under its rarest token; a url looks up its tokens
 and keeps the rules whose other tokens it has too.
 
+Tokens that stand in the very same labelled urls imply the same, so they are one
+item when rules are mined (n of them would make 2**n combinations of equal
+support), and a url has the item if it has one of them.
+
 Edge cases: a null url or one without ``://`` has empty host and path and no
 tokens; no mined rule fits, nothing labelled, or an empty table: the default
-verdict; equal confidence: higher support, then more tokens, then text order.
+verdict; equal confidence: higher support, then more items, then text order; urls
+of any length are parsed whole; repeated rows are judged alike and kept; columns
+other than ``page_id`` and ``url`` are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -57,6 +63,25 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(every)), F.array().cast("array<string>"))
 
 
+def items(examples: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(token, item): frequent tokens, each with the first of those that stand in
+    the same examples. At most as many as the tokens of one example over the
+    support. Examples are told apart by their tokens' hash and their count."""
+    sets = examples.groupBy("tokens").agg(F.count("*").alias("n"))
+    n = sets.agg(F.sum("n")).first()[0] or 0
+    by = [F.xxhash64(F.lit(i), "tokens") for i in (0, 1)]
+    marked = sets.select("n", F.explode("tokens").alias("token"), by[0].alias("h0"), by[1].alias("h1"))
+    found = marked.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1")).filter(F.col("n") >= support * n)
+    first = found.groupBy("n", "h0", "h1").agg(F.min("token").alias("item"))
+    return found.join(first, ["n", "h0", "h1"]).select("token", "item")
+
+
+def with_items(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """(tokens, items) of distinct token sets; sets without an item have none."""
+    looked_up = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(known), "token")
+    return looked_up.groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
 def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (tokens, verdict, confidence, support, indexed) from (tokens, verdict)."""
     spark = examples.sparkSession
@@ -86,6 +111,17 @@ def mined_verdicts(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("tokens").agg(best.alias("mined"))
 
 
+def verdicts(examples: DataFrame, sets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(tokens, mined) for the distinct token sets that rules mined from the
+    examples (tokens, verdict) fit."""
+    known = persisted(items(examples, support))
+    labelled = examples.join(with_items(examples.select("tokens").distinct(), known), "tokens", "left")
+    rules = mine(labelled.select(F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "verdict"), support, confidence)
+    named = with_items(sets, known)
+    mined = mined_verdicts(named.select(F.col("items").alias("tokens")).distinct(), rules)
+    return named.join(mined.withColumnRenamed("tokens", "items"), "items").select("tokens", "mined")
+
+
 def judge(
     pages: DataFrame, rules: Sequence[Rule], support: float = SUPPORT, confidence: float = CONFIDENCE, default: str = DEFAULT
 ) -> DataFrame:
@@ -101,9 +137,8 @@ def judge(
         "page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"),
         tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"),
     )
-    mined_rules = mine(parsed.filter(F.col("listed").isNotNull()).select("tokens", F.col("listed").alias("verdict")), support, confidence)
-    sets = parsed.filter(F.col("listed").isNull()).select("tokens").distinct()
-    found = mined_verdicts(sets, mined_rules)
+    examples = parsed.filter(F.col("listed").isNotNull()).select("tokens", F.col("listed").alias("verdict"))
+    found = verdicts(examples, parsed.filter(F.col("listed").isNull()).select("tokens").distinct(), support, confidence)
     # written first: the join's sides are then plain tables, and a hot set can be split
     out = parsed.join(broadcast_if_small(persisted(found)), "tokens", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
