@@ -40,8 +40,8 @@ from strandweave.llm.components import components
 
 #: A gram in this share of documents is ordered by frequency; how many at most.
 FREQUENT, ORDERED = 1e-3, 1 << 18
-#: Grams, or bytes of signatures, of one cell of the grid at most, about.
-CELL = 8_000_000
+#: Grams, or bytes of signatures, of one tile at most, about; and sets of one.
+CELL, SETS = 8_000_000, 8_192
 _HEAVY = np.uint64(1 << 63)
 
 
@@ -127,8 +127,8 @@ class Trie:
     that lead to those.
     """
 
-    def __init__(self, keys: list[np.ndarray], percent: int):
-        self.keys, self.sizes, self.percent = keys, [len(k) for k in keys], percent
+    def __init__(self, keys: list[np.ndarray], percent: int, tiles: np.ndarray | None = None):
+        self.keys, self.sizes, self.percent, self.tiles = keys, [len(k) for k in keys], percent, tiles
         self.root_of = np.arange(len(keys))
         self.home: list[_Branch] = [None] * len(keys)  # type: ignore[list-item]
         order = sorted(range(len(keys)), key=lambda i: keys[i].astype(">u8").tobytes())
@@ -173,6 +173,8 @@ class Trie:
             end = np.searchsorted(ranked, 100 * sizes[x] // self.percent, side="right")
             others = order[at + 1 : end]  # larger sets; smaller ones have looked at x
             others = others[self.root_of[others] != self.root_of[x]]
+            if self.tiles is not None:  # sets of one tile have met in its own cell
+                others = others[self.tiles[others] != self.tiles[x]]
             near = []
             for part in (others[i : i + 4096] for i in range(0, len(others), 4096)):
                 differ = np.bitwise_count(self.parity[part] ^ self.parity[x]).sum(axis=1, dtype=np.int64)
@@ -215,13 +217,14 @@ class Trie:
 class Signatures:
     """Sets of one group by their sizes and bucket counts."""
 
-    def __init__(self, sizes: list[int], counts: list[np.ndarray], percent: int):
-        self.sizes, self.counts, self.percent = np.array(sizes), counts, percent
+    def __init__(self, sizes: list[int], counts: list[np.ndarray], percent: int, tiles: np.ndarray | None = None):
+        self.sizes, self.counts, self.percent, self.tiles = np.array(sizes), counts, percent, tiles
 
     def links(self) -> Iterator[tuple[int, int]]:
         """Pairs that connect all sets that may be linked."""
         order = np.argsort(self.sizes, kind="stable")
         sizes, percent = self.sizes[order], self.percent
+        tiles = None if self.tiles is None else self.tiles[order]
         widths = np.array([len(self.counts[i]) for i in order])
         stacks = {w: np.stack([self.counts[i] for i in order[widths == w]]).astype(np.int32) for w in np.unique(widths)}
         row = np.zeros(len(order), np.int64)
@@ -232,6 +235,8 @@ class Signatures:
             end = np.searchsorted(sizes, 100 * sizes[x] // percent, side="right")
             others = np.arange(x + 1, end)
             others = others[root[others] != root[x]]
+            if tiles is not None:
+                others = others[tiles[others] != tiles[x]]
             own = stacks[widths[x]][row[x]]
             for w in np.unique(widths[others]):
                 at = others[widths[others] == w]
@@ -253,12 +258,18 @@ def signature(keys: np.ndarray) -> np.ndarray:
 # ---- the join --------------------------------------------------------------
 
 
-def _cells(rows: DataFrame, key: str, total: str) -> DataFrame:
-    """Rows with the cells (``_i``, ``_j``) of their group's grid of tiles."""
-    tiles = F.greatest(F.lit(1), F.ceil(F.col(total) / CELL)).cast("int")
+def _cells(rows: DataFrame, total: str, n: str) -> DataFrame:
+    """Rows with the cells (``_i``, ``_j``) of their group's grid of tiles, and
+    their own tile ``_t``."""
+    tiles = F.greatest(F.lit(1), F.ceil(F.col(total) / CELL), F.ceil(F.col(n) / SETS)).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     rows = rows.withColumn("_t", own).withColumn("_u", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    return rows.withColumns({"_i": F.least("_t", "_u"), "_j": F.greatest("_t", "_u")}).drop("_t", "_u")
+    return rows.withColumns({"_i": F.least("_t", "_u"), "_j": F.greatest("_t", "_u")}).drop("_u", total, n)
+
+
+def _tiles_of(cell: pa.Table) -> np.ndarray | None:
+    """The rows' tiles where two tiles meet; none in a tile's own cell."""
+    return cell["_t"].to_numpy() if cell["_i"][0] != cell["_j"][0] else None
 
 
 def _by_cell(rows: DataFrame, key: str, solve: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
@@ -301,10 +312,10 @@ def _candidate_edges(rows: DataFrame, signatures: DataFrame, percent: int) -> Da
     def solve(cell: pa.Table) -> list[tuple[int, int]]:
         nodes = cell["node"].to_pylist()
         counts = [np.frombuffer(c, np.uint16) for c in cell["signature"].to_pylist()]
-        return [(nodes[x], nodes[y]) for x, y in Signatures(cell["size"].to_pylist(), counts, percent).links()]
+        return [(nodes[x], nodes[y]) for x, y in Signatures(cell["size"].to_pylist(), counts, percent, _tiles_of(cell)).links()]
 
     held = rows.join(signatures, "node")
-    return _by_cell(_cells(held, "gram", "_total").drop("_total"), "gram", solve)
+    return _by_cell(_cells(held, "_total", "_n"), "gram", solve)
 
 
 def sets(documents: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
@@ -343,11 +354,11 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     nodes_hash = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"_h{i}") for i in (0, 1)]
     groups = exploded.groupBy("gram").agg(F.count("*").alias("_n"), F.sum("_len").alias("_total"), F.min("pos").alias("_first"), *nodes_hash)
     same = groups.filter("_n > 1").groupBy("_n", "_h0", "_h1").agg(F.min(F.struct("gram", "_total", "_first")).alias("g"))
-    rows = persisted(exploded.join(same.select("g.*"), "gram"))
-    first = _candidate_edges(rows.filter("pos < 3").select("gram", "node", "_total"), signatures, percent)
+    rows = persisted(exploded.join(same.select("_n", "g.*"), "gram"))
+    first = _candidate_edges(rows.filter("pos < 3").select("gram", "node", "_total", "_n"), signatures, percent)
     first = persisted(first)
     found = components(first)
-    labelled = rows.select("gram", "node", "_total").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = rows.select("gram", "node", "_total", "_n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("gram").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("gram")
     rest = labelled.drop("root").join(mixed, "gram", "left_semi")
     second = _candidate_edges(rest, signatures, percent)
@@ -368,9 +379,9 @@ def links(documents: DataFrame, nodes: DataFrame, order: Order, size: int, perce
     """True links (a, b) between nodes; enough to connect every component."""
     found = candidates(nodes, percent)
     totals = found.join(nodes.select("node", "key", "doc_id", "size"), "node")
-    sums = totals.groupBy("root").agg(F.sum("size").alias("_total"))
+    sums = totals.groupBy("root").agg(F.sum("size").alias("_total"), F.count("*").alias("_n"))
     absent = F.lit(-(2**63))  # stands for a null id
-    wanted = totals.join(sums, "root").select(F.coalesce("doc_id", absent).alias("doc_id"), "node", "key", "root", "_total")
+    wanted = totals.join(sums, "root").select(F.coalesce("doc_id", absent).alias("doc_id"), "node", "key", "root", "_total", "_n")
     wanted = persisted(wanted)
     # few documents are wanted as a rule: Spark's runtime filter (of bounded size,
     # and without effect on results) keeps the others' texts from the shuffle
@@ -380,17 +391,19 @@ def links(documents: DataFrame, nodes: DataFrame, order: Order, size: int, perce
     texts = rows.join(wanted.filter("_total > 0"), "doc_id")
 
     def solve(cell: pa.Table) -> list[tuple[int, int]]:
-        nodes, keys, seen = [], [], set()
-        for node, key, text in zip(cell["node"].to_pylist(), cell["key"].to_pylist(), cell["text"].to_pylist()):
+        nodes, keys, at, seen = [], [], [], set()
+        for i, (node, key, text) in enumerate(zip(cell["node"].to_pylist(), cell["key"].to_pylist(), cell["text"].to_pylist())):
             own = order.keys(grams(text, size)) if node not in seen else None
             if own is not None and key_of(own) == key:  # else a row of the same id with another text
                 seen.add(node)
                 nodes.append(node)
                 keys.append(own)
-        trie = Trie(keys, percent)
+                at.append(i)
+        tiles = _tiles_of(cell)
+        trie = Trie(keys, percent, None if tiles is None else tiles[at])
         return [(nodes[x], nodes[y]) for x, y in trie.links()]
 
-    return _by_cell(_cells(texts, "root", "_total").drop("_total", "doc_id"), "root", solve)
+    return _by_cell(_cells(texts, "_total", "_n").drop("doc_id"), "root", solve)
 
 
 def join(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
