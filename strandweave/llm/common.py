@@ -41,11 +41,14 @@ def id_crc(column: str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that is unset (tests, one machine) a local folder is chosen.
+    Only where that is unset and the session runs on one machine, a local folder
+    is chosen; on a cluster an unset folder raises.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/strandweave-checkpoints"
     return f"{base.rstrip('/')}/strandweave-{uuid.uuid4().hex}"
 

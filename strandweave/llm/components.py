@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import persisted
+from strandweave.llm.common import discard, persisted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = persisted(least.select("a", F.col("m").alias("b")).unionByName(small).filter("a <> b").distinct())
+        before, edges = edges, persisted(least.select("a", F.col("m").alias("b")).unionByName(small).filter("a <> b").distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -107,6 +107,10 @@ def test_ngram_join_of_many_near_copies_and_tiles(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join(df, 3, 90).collect())
     assert got == brute_components(rows, 3, 90)
+    monkeypatch.setattr(ngram_join, "CELL", 8_000_000)
+    monkeypatch.setattr(ngram_join, "SETS", 6)  # by their number instead
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join(df, 3, 90).collect())
+    assert got == brute_components(rows, 3, 90)
 
 
 def test_ngram_join_keeps_columns_and_one_of_each_group(docs, empty):
@@ -585,3 +589,256 @@ def test_mixing_prefixes(spark, empty):
     out = mixing.mixed(df, domain, {}, fraction=1.4, max_epochs=2.0)
     assert out.columns == df.columns and all((r["_lang"], r["_id"]) == (1, 1) for r in out.collect())
     assert mixing.mixed(empty, domain, {}, fraction=0.5).collect() == []
+
+
+# ---- rules that hold at every size ---------------------------------------------------------
+
+
+def test_substring_dedup_splits_hot_anchors(spark, monkeypatch):
+    r = random.Random(21)
+    common = words(r, 8)  # one gram in many different surroundings
+    lead = [f"l{i}" for i in range(27)]
+    rows = []
+    for i in range(120):
+        tail = [f"t{i}_{k}" for k in range(20)]
+        rows.append((i, " ".join((lead[r.randrange(20) :] if i % 3 else [f"o{i}_{k}" for k in range(27)]) + common + (words(random.Random(i // 4), 27) if i % 2 else tail))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_removed(rows, 35)
+    assert any(x[2] for x in want)
+    assert collections.Counter(tuple(x) for x in substring_dedup.digests(df).collect()) == want
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    hot = substring_dedup.hot_anchors(df)
+    assert len(hot) and (np.diff(hot.astype(float)) > 0).all()
+    counted = substring_dedup.contexts(df, hot=hot).groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert counted < substring_dedup.contexts(df).groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert collections.Counter(tuple(x) for x in substring_dedup.digests(df).collect()) == want
+
+
+def test_factors_are_longest_from_their_start():
+    spans = [{"first": 3, "mask": 0b0110}, {"first": 6, "mask": 0b1}, {"first": 20, "mask": 0b1}, {"first": 21, "mask": 0b1}]
+    assert substring_dedup.factors(30, spans, 5) == [(4, 11), (20, 26)]
+    assert np.flatnonzero(substring_dedup.covered(30, spans, 5)).tolist() == [*range(4, 11), *range(20, 26)]
+    assert substring_dedup.factors(3, None, 5) == [] and not substring_dedup.covered(0, None).any()
+    with pytest.raises(ValueError):
+        substring_dedup.anchors(np.arange(100, dtype=np.uint64), 71)
+
+
+def test_topk_is_exact_for_large_components(spark):
+    rows = [(0, [1e6, 1e6, 1e6]), (1, [1e6, 1e6, 1e6]), (2, [1e6, 1e6, 1e6 + 0.001]), (3, [1e6, 1e6, -1e6]), (4, [0.5, 0.25, 0.125]), (5, [2e5, 1.0, 7e6])]
+    rows += [(10 + i, [i / 7, -i / 3, 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = sorted(((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i))
+    got = topk.top_k(topk.quantised(df), F.col("vec_id") % 100 == 0, 50).orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in got] == [(i, -s) for s, i in want]
+    assert 2**53 < -want[0][0] < 2**63 and len({s for s, _ in want}) == len(want)
+    huge = spark.createDataFrame([(0, [1e10]), (1, [1e10]), (2, [-1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large|OverflowError"):
+        topk.top_k(topk.quantised(huge), F.col("vec_id") % 100 == 0).collect()
+
+
+def test_numbers_are_no_letters():
+    decide = language_id.Classifier({"de": b"der hund und die katze " * 50, "en": b"the dog and the cat " * 50})
+    for text in ("½", "²", "①", "123 _ !", "", None, "́"):
+        assert decide(text) == ("und", 0.0, True)
+    assert decide("½ der hund")[0] == "de" and decide("é")[0] in ("de", "en")
+    assert language_id.letters("A½b²c①d_é") == "a b c d é".encode()
+
+
+def test_one_rule_for_texts_of_every_length():
+    for n in (1, 7, 39, 400, 1023, 1024, 2047, 2048, 2049, 10_000):
+        parts = language_id.cuts(bytes(i % 251 for i in range(n)))
+        whole = -(-n // language_id.PIECE)
+        assert sum(map(len, parts[:whole])) == n
+        assert len(parts) - whole == max(0, min(language_id.CUTS, language_id.PIECE // n) - 1)
+
+
+def test_language_sample_is_bounded_under_repeated_ids(spark):
+    rows = [(i % 3, f"the house number {'abcdefghij'[i % 10]} {'klmnop'[i % 6]}" * (1 + i % 4), "en") for i in range(200)] + [(None, "der hund", "de")]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert set(learned) == {"en"} and len(learned["en"]) < 3 * 120
+    long = spark.createDataFrame([(1, "wort " * 200_000, "de")], "doc_id long, text string, lang string")
+    assert len(language_id.learn(long, F.lit(True))["de"]) <= language_id.FETCHED * language_id.DICTIONARY_BYTES // language_id.ROWS + 1
+
+
+def test_toxicity_sample_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "a"), (2, "a"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, marks, F.lit(True))
+    assert len(got) == 2 and got[0][1] == 1 and got[1] == ("a", 0)
+
+
+def test_scorers_of_two_models_differ(spark):
+    df = spark.createDataFrame([(1, "rascal"), (1, "rascal"), (None, ""), (2, None)], "doc_id long, text string").coalesce(1)
+    low = {(x.doc_id, round(x.score, 3)) for x in toxicity.score(df, ({"^rascal$": -9.0}, -3.0)).collect()}
+    high = {(x.doc_id, round(x.score, 3)) for x in toxicity.score(df, ({"^rascal$": 9.0}, -3.0)).collect()}
+    assert low == {(1, 0.0), (None, 0.0), (2, 0.0)} and high == {(1, 0.998), (None, 0.0), (2, 0.0)}
+
+
+def brute_score(text, weights, bias):
+    clean = 1.0
+    for part in text.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+        found = {w for w in "".join(c if c.isalpha() else " " for c in part.lower()).split()}
+        if found:
+            z = bias + sum(weights.get(g, 0.0) for w in found for g in set(toxicity.grams(w)))
+            clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    r = random.Random(13)
+    rows = [(i, r.choice([" ", ". ", "! "]).join(words(r, r.randrange(1, 30)))) for i in range(60)]
+    weights = {g: r.uniform(-2, 2) for _, t in rows for w in t.split() for g in toxicity.grams(w.lower()) if r.random() < 0.3}
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), (weights, -2.0)).collect()}
+    for i, text in rows:
+        assert got[i] == pytest.approx(brute_score(text, weights, -2.0), abs=1e-9)
+
+
+def slow_budget(leaves, weights, budget, epochs):
+    """Pour tokens in small drops down the tree: each to the child that has got
+    least for its weight among those below which there is room."""
+    weight = lambda n: weights.get(n, weights.get(("*", *n[1:]), 1.0))
+    got = dict.fromkeys(leaves, 0.0)
+
+    def room(prefix):
+        return any(got[p] < epochs * leaves[p] - 1e-9 and all(weight(p[: d + 1]) > 0 for d in range(len(prefix), len(p))) for p in leaves if p[: len(prefix)] == prefix)
+
+    drop = budget / 4000
+    for _ in range(4000):
+        at = ()
+        while at not in leaves:
+            below = {p[: len(at) + 1] for p in leaves if p[: len(at)] == at}
+            open_ = [n for n in below if weight(n) > 0 and room(n)]
+            if not open_:
+                return got
+            at = min(open_, key=lambda n: (sum(got[p] for p in leaves if p[: len(n)] == n) / weight(n), n))
+        got[at] += drop
+    return got
+
+
+def test_budgets_go_where_tokens_are():
+    leaves = {("d", "a", "x"): 90, ("d", "a", "y"): 10, ("d", "b", "z"): 1000}
+    got = mixing.quotas(leaves, {("d", "a", "x"): 0.0}, 100, 1)
+    assert got == {("d", "a", "x"): 0, ("d", "a", "y"): 10, ("d", "b", "z"): 90}
+    r = random.Random(4)
+    for _ in range(25):
+        leaves = {(f"d{r.randrange(3)}", r.choice("ab"), r.choice("xyz")): r.choice([0, 5, 50, 500]) for _ in range(8)}
+        weights = {p[:d]: r.choice([0.0, 0.5, 1.0, 3.0]) for p in leaves for d in (1, 2, 3) if r.random() < 0.5}
+        budget = r.choice([40, 300, 900])
+        want, got = slow_budget(leaves, weights, budget, 2.0), mixing.quotas(leaves, weights, budget, 2.0)
+        for p in leaves:
+            assert abs(got[p] - want[p]) <= 1 + budget / 200, (leaves, weights, budget, got, want)
+
+
+def test_archives_are_read_by_as_many_tasks_as_files(spark):
+    files = spark.createDataFrame([(f"{i:032x}.warc.gz",) for i in range(20)], "file string").coalesce(1)
+    dealt = warc.spread(files).select("file", F.spark_partition_id().alias("p")).collect()
+    assert len(dealt) == 20 and len({x.p for x in dealt}) >= 15
+    assert warc.spread(files.limit(0)).collect() == []
+    assert warc.file_system("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_warc_with_very_long_pages_null_ids_and_shuffled_keepers(spark, monkeypatch):
+    rows = [(1, "é" * 700_000), (2, "é" * 700_000), (None, "x"), (None, "x"), (3, None), (3, ""), (4, ""), (5, "only")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    want = collections.Counter()
+    for i, html in rows:
+        same = [j for j, h in rows if (h or "") == (html or "") and j is not None]
+        top = max(same, default=None)
+        payload = (html or "").encode()
+        sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        refers = top if len([1 for _, h in rows if (h or "") == (html or "")]) > 1 and top is not None and i != top else None
+        want[(i, len(payload), sha, "revisit" if refers is not None else "response", refers)] += 1
+    assert collections.Counter(tuple(x) for x in warc.round_trip(spark, df).collect()) == want
+    monkeypatch.setattr(warc, "KEEPER_ROWS", 0)  # a shuffled join instead of a broadcast
+    assert collections.Counter(tuple(x) for x in warc.round_trip(spark, df).collect()) == want
+
+
+def test_long_files_are_decoded_in_pieces(monkeypatch):
+    raw = np.random.default_rng(5).integers(0, 256, 50 * audio.BLOCK, dtype=np.uint8)
+    file = audio.wav(raw.tobytes(), audio.MULAW)
+    want = audio.features(file, audio.adpcm_crcs([raw.tobytes()])[0])
+    whole = audio.resample(audio.TABLES[audio.MULAW][raw])
+    assert audio.unwav(audio.pcm_file(file)) == (audio.PCM, 16000, whole.astype("<i2").tobytes())
+    mu, a = (np.abs(audio.TABLES[k][raw].astype(int)) for k in (audio.MULAW, audio.ALAW))
+    adpcm = np.array([slow_adpcm(bytes(b)) for b in raw.reshape(-1, audio.BLOCK)], "<i2")
+    assert want == (
+        f"mulaw={mu.sum() // len(raw)}/{mu.max()};alaw={a.sum() // len(raw)}/{a.max()}"
+        f";adpcm={zlib.crc32(adpcm.tobytes()):08x};pcm16k={zlib.crc32(whole.astype('<i2').tobytes()):08x}"
+    )
+    monkeypatch.setattr(audio, "PIECE", 1000)
+    monkeypatch.setattr(audio, "GROUP_BYTES", 5 * audio.BLOCK + 7)
+    parts = [raw.tobytes(), b"", raw[: 7 * audio.BLOCK].tobytes()]
+    assert audio.features(file, audio.adpcm_crcs(parts)[0]) == want
+    assert audio.adpcm_crcs(parts)[2] == zlib.crc32(adpcm[:7].tobytes()) and audio.adpcm_crcs([]) == []
+    for to in (8000, 11025, 16000):
+        pcm = np.arange(-4000, 4000, 3).astype(np.int16)
+        n = np.arange(len(pcm) * to // 8000, dtype=np.int64) * 8000
+        right = pcm[np.minimum(n // to + 1, len(pcm) - 1)].astype(int)
+        left = pcm[n // to].astype(int)
+        assert audio.resample(pcm, 8000, to).tolist() == (left + (right - left) * (n % to) // to).tolist()
+
+
+def test_bpe_leaves_other_vocabularies_to_the_library(tmp_path, tokenizer):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    assert bpe.is_plain_byte_bpe(spec)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    assert not bpe.is_plain_byte_bpe(spec)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    coder, want = bpe.Encoder(str(other)), Tokenizer.from_file(str(other))
+    text = "hello wide world " * 300
+    assert coder.encode(text).tolist() == want.encode(text, add_special_tokens=False).ids != tokenizer.encode(text, add_special_tokens=False).ids
+    assert coder.decode(coder.encode(text)) == want.decode(want.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def brute_mined(examples, sets, support, confidence):
+    """Every combination of items as a rule."""
+    import itertools
+
+    where = collections.defaultdict(set)
+    for n, (tokens, _) in enumerate(examples):
+        for t in tokens:
+            where[t].add(n)
+    item = {t: min(u for u in where if where[u] == where[t]) for t in where if len(where[t]) >= support * len(examples)}
+    names = sorted(set(item.values()))
+    out = {}
+    for tokens in sets:
+        own = {item[t] for t in tokens if t in item}
+        best = None
+        for size in range(1, len(names) + 1):
+            for needed in itertools.combinations(names, size):
+                fits = set.intersection(*(where[t] for t in needed))
+                for verdict in ("allow", "block"):
+                    n = sum(examples[k][1] == verdict for k in fits)
+                    if set(needed) <= own and n >= support * len(examples) and n >= confidence * len(fits):
+                        rank = (n / len(fits), n / len(examples), size, " ".join(needed), verdict)
+                        best = max(best or rank, rank)
+        if best:
+            out[tuple(tokens)] = best[-1]
+    return out
+
+
+def test_mined_verdicts_match_brute_force(spark):
+    r = random.Random(17)
+    pool = ["h:a", "h:b", "p:x", "p:y", "q:z", "p:always", "p:twin"]
+    pick = lambda: sorted({t for t in pool[:5] if r.random() < 0.5} | ({"p:always", "p:twin"} if r.random() < 0.4 else set()))
+    examples = [(t, "block" if ("p:x" in t) != (r.random() < 0.1) else "allow") for t in (pick() for _ in range(120))]
+    sets = [list(t) for t in {tuple(pick()) for _ in range(40)} | {("p:twin",), ("other",), ()}]
+    df = spark.createDataFrame(examples, "tokens array<string>, verdict string")
+    asked = spark.createDataFrame([(s,) for s in sets], "tokens array<string>")
+    for support, confidence in ((0.05, 0.8), (0.2, 0.6)):
+        got = {tuple(x.tokens): x.mined for x in url_filter.verdicts(df, asked, support, confidence).collect()}
+        assert got == brute_mined(examples, sets, support, confidence)
+
+
+def test_equal_tokens_are_one_item(spark):
+    many = [f"p:t{i}" for i in range(40)]  # 2**40 combinations of them
+    df = spark.createDataFrame([(many, "block")] * 30 + [(["h:b"], "allow")] * 30, "tokens array<string>, verdict string")
+    asked = spark.createDataFrame([(["p:t7"],), (["h:b"],)], "tokens array<string>")
+    assert {x.tokens[0]: x.mined for x in url_filter.verdicts(df, asked).collect()} == {"p:t7": "block", "h:b": "allow"}
