@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.functions.seq import shared_prefix
 from strandweave.operators import graph
-from strandweave.operators.index import MAX_BASES, Position, ViewIndex
+from strandweave.operators.index import MAX_BASES, Position, held, reverse_complement
 from strandweave.operators.matching import Natural, matching_statistics, max_matchings, min_matchings, minimum_contexts, natural_map
 from strandweave.operators.zipmap import Zip, zip_map
-from strandweave.plans.runtime import materialize, prepare
+from strandweave.plans.runtime import materialize, prepare, running_sum
 
-#: Named factories of mapping schemes: (query, index) -> positions.
+
+def _natural(q: str, index, p: Natural) -> tuple[list, dict[str, int]]:
+    mapped = natural_map(q, index, p)
+    return mapped.positions, mapped.stats
+
+
+#: Named factories of mapping schemes: (query, index) -> positions and counters.
 SCHEMES: dict[str, Callable] = {
-    "natural": lambda **k: lambda q, index: natural_map(q, index, Natural(**k)).positions,
-    "zip": lambda **k: lambda q, index: zip_map(q, index, Zip(**k))[0],
+    "natural": lambda **k: lambda q, index: _natural(q, index, Natural(**k)),
+    "zip": lambda **k: lambda q, index: zip_map(q, index, Zip(**k)),
 }
 MAPPED = "read string, i int, ref string, ref_off long, text long, offset long, backwards boolean"
 
@@ -31,6 +40,32 @@ def collect_reference(contigs: DataFrame, key: str = "contig") -> list[tuple]:
     return [(r[0], r[1], r[2]) for r in contigs.select(key, "seq", "genome").orderBy(key).collect()]
 
 
+def index_arguments(reference: list[tuple], mask: list | None = None, canon: dict[Position, Position] | None = None) -> tuple:
+    """A key of what an index is made from, and the arguments to make it."""
+    arguments = ([r[1] for r in reference], [r[2] for r in reference], mask, canon)
+    return hashlib.sha256(repr((*arguments[:3], sorted((canon or {}).items()))).encode()).hexdigest(), *arguments
+
+
+def map_counters(
+    reads: DataFrame, reference: list[tuple], scheme: str = "natural", mask: list | None = None,
+    canon: dict[Position, Position] | None = None, **parameters,
+) -> DataFrame:
+    """(stat, value): what a scheme counts while it maps: bases mapped, credited,
+    conflicted, unmapped and the like. Summed in each task before the shuffle."""
+    prepare(reads.sparkSession)
+    made = index_arguments(reference, mask, canon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, mapper, total = held(*made), SCHEMES[scheme](**parameters), Counter()
+        for batch in batches:
+            for q in batch.column(0).to_pylist():
+                if q and "N" not in q.upper():
+                    total.update(mapper(q, index)[1])
+        yield pa.RecordBatch.from_pydict({"stat": pa.array(list(total), pa.string()), "value": pa.array(list(total.values()), pa.int64())})
+
+    return reads.select("seq").mapInArrow(run, "stat string, value long").groupBy("stat").agg(F.sum("value").alias("value"))
+
+
 def map_reads(
     reads: DataFrame, reference: list[tuple], scheme: str = "natural", mask: list | None = None,
     canon: dict[Position, Position] | None = None, **parameters,
@@ -43,16 +78,17 @@ def map_reads(
     """
     prepare(reads.sparkSession)
     names = [str(r[0]) for r in reference]
+    made = index_arguments(reference, mask, canon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ViewIndex([r[1] for r in reference], [r[2] for r in reference], mask, canon)
+        index = held(*made)
         mapper = SCHEMES[scheme](**parameters)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for name, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not q or "N" in q.upper():
                     continue
-                for i, p in enumerate(mapper(q, index)):
+                for i, p in enumerate(mapper(q, index)[0]):
                     row: tuple = (name, i, None, None, None, None, None)
                     if p is not None:
                         text, offset = p
@@ -74,9 +110,10 @@ def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataF
     """(read, start, length, text, offset): unique matches that extend neither
     way, or (``shortest``) with no shorter one inside."""
     prepare(reads.sparkSession)
+    made = index_arguments(reference)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ViewIndex([r[1] for r in reference], [r[2] for r in reference])
+        index = held(*made)
         pick = min_matchings if shortest else max_matchings
         for batch in batches:
             rows = [
@@ -95,43 +132,84 @@ def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataF
 def relational_statistics(reads: DataFrame, texts: DataFrame, seed: int = 4) -> DataFrame:
     """(read, i, longest, unique): matching statistics for any reference size.
 
-    Suffixes of reads and of texts are sorted together inside partitions by
-    their first ``seed`` bases; the nearest two reference rows on each side hold
-    the longest and the second longest match. Exact for matches of at least
-    ``seed`` bases; shorter ones are null.
+    Suffixes of reads and of texts are range-partitioned and sorted together, and
+    reference rows are numbered through; the nearest two on each side hold the
+    longest and the second longest match. A match is no longer than a read, so no
+    suffix is carried beyond the longest read. Matches of less than ``seed`` bases
+    are left out, and no shortest unique match below it is given.
     """
     s = F.col("seq")
-    cut = lambda df, *keep: df.select(*keep, F.explode(F.sequence(F.lit(1), F.length(s) - seed + 1)).alias("i"), s)
-    tail = F.substring("seq", F.col("i"), F.length("seq"))
-    ref = cut(texts.filter(F.length(s) >= seed)).select(tail.alias("s"), F.lit(None).cast("string").alias("read"), F.lit(None).cast("int").alias("i"))
-    ask = cut(reads.filter(F.length(s) >= seed), F.col("read").cast("string")).select(tail.alias("s"), "read", (F.col("i") - 1).alias("i"))
-    both = ref.unionByName(ask).withColumn("k", F.left("s", F.lit(seed)))
-    own = F.when(F.col("read").isNull(), F.col("s"))
-    order = [F.col("s"), F.col("read").isNotNull()]
-    w = Window.partitionBy("k").orderBy(*order)
-    first = both.withColumn("n", F.sum(F.col("read").isNull().cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    table = materialize(first)
-    numbered = table.filter("read is null").select("k", "n", own.alias("r"))
-    out = table.filter("read is not null")
-    from strandweave.functions.seq import shared_prefix
-
+    most = reads.agg(F.coalesce(F.max(F.length(s)), F.lit(0))).first()[0]
+    tails = F.explode(F.sequence(F.lit(1), F.length(s)))
+    tail = F.substring("seq", F.col("i"), F.lit(max(1, most)))
+    ref = texts.filter(F.length(s) > 0).select(tails.alias("i"), s).select(tail.alias("s"), F.lit(None).cast("string").alias("read"), F.lit(None).cast("int").alias("i"))
+    ask = reads.filter(F.length(s) >= seed).select(F.col("read").cast("string"), tails.alias("i"), s).select(tail.alias("s"), "read", (F.col("i") - 1).alias("i"))
+    both = ref.unionByName(ask.filter(F.length("s") >= seed)).withColumn("asks", F.col("read").isNotNull())
+    table = materialize(running_sum(both, ["s", "asks"], {"n": (~F.col("asks")).cast("long")}))
+    numbered = table.filter("not asks").select("n", F.col("s").alias("r"))
+    out = table.filter("asks")
     lcps = []
     for name, by in (("b1", 0), ("b2", -1), ("a1", 1), ("a2", 2)):
-        out = out.join(numbered.select("k", (F.col("n") - by).alias("n"), F.col("r").alias(name)), ["k", "n"], "left")
+        out = out.join(numbered.select((F.col("n") - by).alias("n"), F.col("r").alias(name)), "n", "left")
         lcps.append(F.coalesce(shared_prefix("s", name), F.lit(0)))
     ordered = F.sort_array(F.array(*lcps), asc=False)
     out = out.withColumn("l", ordered).withColumn("longest", F.col("l")[0]).withColumn("second", F.col("l")[1])
-    return out.filter("longest > 0").select(
+    return out.filter(F.col("longest") >= seed).select(
         "read", "i", "longest", F.when(F.col("second") < F.col("longest"), F.greatest(F.col("second") + 1, F.lit(seed))).alias("unique")
     )
 
 
+SIDES = "read string, i int, base string, `left` string, `both` string, `right` string"
+
+
+def map_sides(reads: DataFrame, reference: list[tuple], least: int = 0) -> DataFrame:
+    """(read, i, base, left, both, right): for each base the side (a base's number
+    among all, L or R) that the context to its left, to its right, or both single
+    out. A context must be unique and have ``least`` bases or more."""
+    prepare(reads.sparkSession)
+    made = index_arguments(reference)
+    starts = [0]
+    for r in reference:
+        starts.append(starts[-1] + len(r[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held(*made)
+
+        def ahead(q: str) -> list[Position | None]:
+            return [at if unique is not None and longest >= least else None for longest, unique, at in matching_statistics(q, index)]
+
+        def side(at: Position | None, name: str) -> tuple[int, str] | None:
+            if at is None:
+                return None
+            text, offset = at
+            if text & 1:
+                return starts[text // 2] + index.length(text) - offset - 1, "LR"[name == "L"]
+            return starts[text // 2] + offset, name
+
+        shown = lambda s: None if s is None else f"{s[0]}{s[1]}"
+        for batch in batches:
+            rows = []
+            for name, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                q = (q or "").upper()
+                behind = [None if x is None else index.flip(x) for x in reversed(ahead(reverse_complement(q)))]
+                for i, (x, y) in enumerate(zip(behind, ahead(q))):
+                    left, right = side(x, "L"), side(y, "R")
+                    both = left if right is None else (right[0], "LR"[right[1] == "L"]) if left is None else left if left[0] == right[0] and left[1] != right[1] else None
+                    rows.append((name, i, q[i], shown(left), shown(both), shown(right)))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.string(), pa.int32(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["read", "i", "base", "left", "both", "right"])
+
+    return reads.select(F.col("read").cast("string"), "seq").mapInArrow(run, SIDES)
+
+
 def evaluate_mapability(contigs: DataFrame, reference: list[tuple], min_edit_bound: int = 0) -> DataFrame:
     """(contig, base, length): the shortest context that maps each base."""
     prepare(contigs.sparkSession)
+    made = index_arguments(reference)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ViewIndex([r[1] for r in reference], [r[2] for r in reference])
+        index = held(*made)
         for batch in batches:
             for name, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = minimum_contexts(q, index, min_edit_bound)
