@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.plans.runtime import materialize, running_sum
+from strandweave.plans.runtime import discard, materialize, running_sum
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        edges = materialize(_star_round(edges))
+        before, edges = edges, materialize(_star_round(edges))
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

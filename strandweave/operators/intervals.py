@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.plans.runtime import materialize
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, key: str, value: str, direction: str = "backward") -> DataFrame:
     """For each left row the right row with the nearest ``key``: at or before
     ``at`` (backward) or at or after it (forward). Both sides are merged in key
-    order once; no pair is ever formed. Right keys are unique within ``by``."""
+    order once; no pair is ever formed. Right keys are unique within ``by``; without
+    ``by`` the order is range-partitioned, and the last right row of each partition
+    is carried into the next."""
     forward = direction == "forward"
     l_rows = left.withColumns({"_at": F.col(at), "_side": F.lit(0 if forward else 1), "_v": F.lit(None).cast("struct<k:bigint,v:string>")})
     r_cols = [F.col(c) for c in by] + [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in by]
@@ -18,6 +21,8 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, key: str, v
         F.struct(F.col(key).cast("long").alias("k"), F.col(value).cast("string").alias("v")).alias("_v"),
     )
     marked = l_rows.withColumn("_left", F.lit(True)).unionByName(r_rows.withColumn("_left", F.lit(False)))
+    if not by:
+        return _as_of_everywhere(marked, forward).filter("_left").select(*left.columns, F.col("_f.k").alias("match_key"), F.col("_f.v").alias("match"))
     w = Window.partitionBy(*by).orderBy("_at", "_side")
     if forward:
         found = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -27,6 +32,21 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, key: str, v
     return out.select(*left.columns, F.col("_f.k").alias("match_key"), F.col("_f.v").alias("match"))
 
 
+def _as_of_everywhere(marked: DataFrame, forward: bool) -> DataFrame:
+    """``_f``: the nearest ``_v`` in order of ``_at`` and ``_side``."""
+    rows = materialize(marked.repartitionByRange("_at", "_side").withColumn("_p", F.spark_partition_id()))
+    place = F.when(F.col("_v").isNotNull(), F.struct("_at", "_side"))
+    edge = rows.groupBy("_p").agg((F.min_by("_v", place) if forward else F.max_by("_v", place)).alias("_e"))
+    inside, across = Window.partitionBy("_p").orderBy("_at", "_side"), Window.orderBy("_p")  # one row a partition
+    if forward:
+        own = F.first("_v", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+        carried = F.first("_e", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    else:
+        own = F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        carried = F.last("_e", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_o", own).join(F.broadcast(edge.select("_p", carried.alias("_c"))), "_p").withColumn("_f", F.coalesce("_o", "_c"))
+
+
 def starting_before(points: DataFrame, intervals: DataFrame, by: list[str], at: str) -> DataFrame:
     return as_of(points, intervals, by, at, "start", "value")
 

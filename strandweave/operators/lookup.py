@@ -21,8 +21,8 @@ def known_genes(genes: DataFrame, names: DataFrame, contig: str, start: int, end
 
 def population_of(reads: DataFrame, population: DataFrame) -> DataFrame:
     """(read, sample): the sample whose range of read numbers holds a read."""
-    spans = population.select(F.lit(1).alias("k"), F.col("start"), F.concat_ws("|", F.col("end").cast("string"), "sample").alias("value"))
-    found = as_of(reads.select(F.lit(1).alias("k"), "read"), spans, ["k"], "read", "start", "value")
+    spans = population.select(F.col("start"), F.concat_ws("|", F.col("end").cast("string"), "sample").alias("value"))
+    found = as_of(reads.select("read"), spans, [], "read", "start", "value")
     end = F.split_part("match", F.lit("|"), F.lit(1)).cast("long")
     sample = F.when(F.col("read") <= end, F.expr("substring(match, instr(match, '|') + 1)"))
     return found.select("read", sample.alias("sample"))
@@ -53,9 +53,30 @@ def greedy_matches(found: DataFrame) -> DataFrame:
     return found.withColumn("_b", least).filter((F.col("mismatches") > 0) == F.col("_b.inexact")).drop("_b")
 
 
-def unique_prefixes(strings: DataFrame, longest: int | None = None) -> DataFrame:
+def unique_prefixes(strings: DataFrame, longest: int | None = None, mismatches: int = 0, dissimilarity: int = 1) -> DataFrame:
     """(id, n): length of the shortest prefix that no other string starts with,
-    up to the whole string or ``longest``."""
+    up to the whole string or ``longest``. With mismatches and a dissimilarity of
+    1 or more, no other string may start with anything that differs in at most
+    ``mismatches + dissimilarity - 1`` letters: then the string alone fits, and
+    would still with so many more mismatches.
+
+    Prefixes of one length are compared on pieces they must share (one of so many
+    pieces more than letters may differ), so no pair is formed that shares none.
+    """
+    if budget := mismatches + dissimilarity - 1:
+        strings = strings.filter(F.length("seq") > 0)
+        top = strings.agg(F.coalesce(F.max(F.length("seq")), F.lit(0))).first()[0]
+        top = top if longest is None else min(top, longest)
+        alone = None
+        for n in range(1, top + 1):
+            heads = strings.filter(F.length("seq") >= n).select("id", F.left("seq", F.lit(n)).alias("p"))
+            distinct = heads.select("p").distinct()
+            near = neighbourhood(distinct.select(F.col("p").alias("kmer")), distinct.select(F.col("p").alias("pattern")), n, min(budget, n))
+            crowded = near.filter("mismatches > 0").select(F.col("pattern").alias("p")).distinct()
+            one = heads.groupBy("p").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").join(crowded, "p", "left_anti")
+            part = one.select("id", F.lit(n).alias("n"))
+            alone = part if alone is None else alone.unionByName(part)
+        return strings.select("id").limit(0).withColumn("n", F.lit(0)) if alone is None else alone.groupBy("id").agg(F.min("n").alias("n"))
     most = F.length("seq") if longest is None else F.least(F.lit(longest), F.length("seq"))
     strings = strings.filter(F.length("seq") > 0)  # sequence(1, 0) would count down
     heads = strings.select("id", F.explode(F.sequence(F.lit(1), most)).alias("n"), "seq")
@@ -108,5 +129,10 @@ def save_index(path: str, **tables: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def has_index(spark, path: str, name: str = "contigs") -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def load_index(spark, path: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}

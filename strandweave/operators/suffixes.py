@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +49,7 @@ def previous_next_smaller(values: DataFrame, index: str = "rank", value: str = "
     Smaller values never lie beyond a row with a value below all in between, so
     a monotonic stack over each block of rows leaves only block minima to look
     at: blocks are solved in parallel, and open rows take the first block (from
-    the nearest) with a smaller minimum, then the row in it by a range join.
+    the nearest) with a smaller minimum, then the row in it.
     """
     width = 4096
     rows = values.select(F.col(index).alias("i"), F.col(value).cast("long").alias("v"), F.floor(F.col(index) / width).alias("b"))
@@ -78,11 +76,7 @@ def previous_next_smaller(values: DataFrame, index: str = "rank", value: str = "
 
     def outside(side: str) -> DataFrame:
         open_rows = solved.filter(F.col(side) == -1).select("i", "v", "b")
-        levels = open_rows.select("b", "v").distinct()
-        m = minima.select(F.col("b").alias("b2"), "m")
-        beyond = F.col("b2") < F.col("b") if side == "p" else F.col("b2") > F.col("b")
-        near = levels.join(m, beyond & (F.col("m") < F.col("v"))).groupBy("b", "v")
-        near = near.agg((F.max("b2") if side == "p" else F.min("b2")).alias("b2"))
+        near = nearest_block(open_rows.select("b", "v").distinct(), minima, side == "p", -(-size // width))
         inside = near.join(solved.select(F.col("b").alias("b2"), F.col("v").alias("w"), F.col("i").alias("j")), "b2").filter("w < v")
         found = inside.groupBy("b", "v").agg((F.max("j") if side == "p" else F.min("j")).alias("j"))
         return open_rows.join(found, ["b", "v"], "left").select("i", F.coalesce("j", F.lit(0 if side == "p" else size)).alias(f"{side}2"))
@@ -95,6 +89,34 @@ def previous_next_smaller(values: DataFrame, index: str = "rank", value: str = "
     )
 
 
+def nearest_block(asked: DataFrame, minima: DataFrame, before: bool, blocks: int, fan: int = 64) -> DataFrame:
+    """(b, v, b2) for each asked (b, v): the nearest block before (or after) b
+    whose minimum (b, m) is below v; none, no row.
+
+    A tree of minima of ``fan`` children each is climbed from the block until a
+    sibling on the wanted side has a smaller minimum, and descended from there to
+    the nearest child that does. Every step is a join on a tree node, in which a
+    row meets ``fan`` others at most.
+    """
+    levels = [minima.select(F.col("b").alias("t"), "m")]
+    while fan ** len(levels) < blocks:
+        levels.append(levels[-1].groupBy(F.floor(F.col("t") / fan).alias("t")).agg(F.min("m").alias("m")))
+    best = F.max("t") if before else F.min("t")
+    out, rest = None, asked.withColumn("at", F.col("b"))
+    for depth, nodes in enumerate(levels):
+        children = nodes.withColumn("up", F.floor(F.col("t") / fan))
+        side = F.col("t") < F.col("at") if before else F.col("t") > F.col("at")
+        met = rest.withColumn("up", F.floor(F.col("at") / fan)).join(children, "up").filter(side & (F.col("m") < F.col("v")))
+        found = met.groupBy("b", "v").agg(best.alias("at"))
+        rest = rest.join(found.select("b", "v"), ["b", "v"], "left_anti").withColumn("at", F.floor(F.col("at") / fan))
+        for below in reversed(levels[:depth]):
+            down = found.join(below.withColumn("at", F.floor(F.col("t") / fan)), "at").filter(F.col("m") < F.col("v"))
+            found = down.groupBy("b", "v").agg(best.alias("at"))
+        found = found.withColumnRenamed("at", "b2")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def lf(table: DataFrame) -> DataFrame:
     """(rank, lf): C[c] + occ(c, rank) - 1. For rows of a base this is the row of
     the suffix one place to the left; ``$`` rows are ranked among themselves."""
@@ -156,14 +178,42 @@ def merge_indices(a: DataFrame, b: DataFrame) -> DataFrame:
     return global_index(a.drop("rank").unionByName(b.drop("rank")), ["suffix", "text"], "rank")
 
 
-def batches_of(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Regroup batches into tables of ``size`` rows."""
-    held, n = [], 0
-    for b in it:
-        held.append(b)
-        n += b.num_rows
-        if n >= size:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+# ---- texts behind the table ----------------------------------------------------
+
+
+def contig_ends(table: DataFrame) -> DataFrame:
+    """(contig, rank) of the empty suffix at each contig's forward end."""
+    ends = table.filter((F.col("suffix") == "$") & (F.col("text") % 2 == 0))
+    return ends.select(F.shiftright("text", 1).alias("contig"), "rank")
+
+
+def inverse(table: DataFrame) -> DataFrame:
+    """(text, offset, rank): where each suffix stands in the order."""
+    return table.select("text", "offset", "rank")
+
+
+def extracted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, offset, n, piece): so many letters of a text from an offset on."""
+    asked = wanted.select("text", "offset", "n").join(texts.select("text", "seq"), "text")
+    return asked.select("text", "offset", "n", F.expr("substring(seq, cast(offset as int) + 1, cast(n as int))").alias("piece"))
+
+
+def display(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(contig, at, base): the forward letter at a contig's 1-based offset."""
+    forward = texts.filter(F.col("text") % 2 == 0).select(F.shiftright("text", 1).alias("contig"), "seq")
+    asked = wanted.select("contig", "at").join(forward, "contig")
+    return asked.select("contig", "at", F.expr("substring(seq, cast(at as int), 1)").alias("base"))
+
+
+def display_contigs(texts: DataFrame) -> DataFrame:
+    """(contig, seq): whole contigs, from their forward texts."""
+    return texts.filter(F.col("text") % 2 == 0).select(F.shiftright("text", 1).alias("contig"), "seq")
+
+
+def display_positions(contigs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, offset, base) read from forward contigs (contig, seq) alone: on a
+    reverse text the complement of the letter across."""
+    asked = wanted.select("text", "offset").withColumn("contig", F.shiftright("text", 1)).join(contigs.select("contig", "seq"), "contig")
+    ahead = F.expr("substring(seq, cast(offset as int) + 1, 1)")
+    across = seq.complement(F.expr("substring(seq, length(seq) - cast(offset as int), 1)"))
+    return asked.select("text", "offset", F.when(F.col("text") % 2 == 0, ahead).otherwise(across).alias("base"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,14 +21,44 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, path) if p)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the folder in ``spark.checkpoint.dir`` (a local one only where
-    it is unset) and read: iterative plans stay short and restartable."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local
+    one on a single machine, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(base or 'file:///tmp/strandweave-checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/strandweave-checkpoints"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read: iterative plans stay short and
+    restartable."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote; nothing may read it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/table-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def tree_reduce[T](items: list[T], combine: Callable[[T, T], T]) -> T:
+    """Combine neighbours pairwise until one is left: the plan of n tables is
+    log n deep, and a combination need only be associative."""
+    if not items:
+        raise ValueError("nothing to combine")
+    while len(items) > 1:
+        pairs = zip(items[::2], items[1::2])
+        items = [combine(a, b) for a, b in pairs] + ([items[-1]] if len(items) % 2 else [])
+    return items[0]
 
 
 def global_index(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:

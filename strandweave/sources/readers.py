@@ -6,7 +6,7 @@ is opened on the driver. ``gz`` files are unpacked by the source itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,36 +14,56 @@ CONTIGS = "name string, start long, length long, genome int"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): lines in file order. A file's order is that of its
-    partitions and rows, so numbers grow but have gaps."""
-    return spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-
-
-def fasta(spark: SparkSession, path: str, genome: int | None = None, keep_case: bool = False, validate: bool = False) -> DataFrame:
-    """(genome, name, seq). A name ends at the first comma, space, tab or VT;
+    """(file, part, line, value): lines numbered from 0 in each file; a part is a
+    split of the file. Splits are counted first, and only one row for each of them
+    is summed in one place, so no task reads a whole file."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("_m"), "value"
+    )
+    parts = rows.groupBy("file", "part").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("part")) - F.col("_n")
+    placed = rows.join(F.broadcast(parts.select("file", "part", "_first", before.alias("_before"))), ["file", "part"])
+    return placed.select("file", "part", (F.col("_m") - F.col("_first") + F.col("_before")).alias("line"), "value")
+
+
+def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The last ``value`` that is not null up to each line of a file: inside a
+    split by a window, and from the splits before it by one row for each."""
+    rows = rows.withColumn("_v", value)
+    upto = Window.unboundedPreceding
+    ends = rows.groupBy("file", "part").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("line"))).alias("_e"))
+    earlier = F.last("_e", ignorenulls=True).over(Window.partitionBy("file").orderBy("part").rowsBetween(upto, -1))
+    own = F.last("_v", ignorenulls=True).over(Window.partitionBy("file", "part").orderBy("line").rowsBetween(upto, 0))
+    both = rows.withColumn("_o", own).join(F.broadcast(ends.select("file", "part", earlier.alias("_b"))), ["file", "part"])
+    return both.withColumn(name, F.coalesce("_o", "_b")).drop("_v", "_o", "_b")
+
+
+def fasta(spark: SparkSession, path: str, genome: int | None = None, keep_case: bool = False, validate: bool = False, numbered: bool = False) -> DataFrame:
+    """(genome, name, seq), and with ``numbered`` a record number that rises in file order. A name ends at the first comma, space, tab or VT;
     white space inside sequences goes. Text before the first ``>`` raises."""
     records = spark.read.text(path, lineSep="\n>").select(
-        F.regexp_replace("value", "^>", "").alias("r"), F.input_file_name().alias("file"), F.col("value").startswith(">").alias("marked")
-    )
+        F.regexp_replace("value", "^>", "").alias("r"), F.input_file_name().alias("file"), F.col("value").startswith(">").alias("marked"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row")).alias("record"),
+    )
     head = F.split_part("r", F.lit("\n"), F.lit(1))
     body = F.regexp_replace(F.expr("substring(r, length(split_part(r, '\n', 1)) + 1)"), r"\s", "")
     ok = records.filter(F.length(F.trim("r")) > 0).withColumn("seq", body if keep_case else F.upper(body))
     # the separator takes every mark but the one a file begins with
     unmarked = records.groupBy("file").agg(F.bool_or("marked").alias("ok")).filter("not ok")
     bad = unmarked.select(
-        F.lit(genome).cast("int").alias("genome"), F.raise_error(F.lit("record does not begin with >")).cast("string").alias("name"), F.lit("").alias("seq")
-    )
+        F.lit(genome).cast("int").alias("genome"), F.raise_error(F.lit("record does not begin with >")).cast("string").alias("name"), F.lit("").alias("seq"),
+        *([F.lit(None).cast(records.schema["record"].dataType).alias("record")] if numbered else []),
+    )
     if validate:
         ok = ok.withColumn("seq", F.when(F.col("seq").rlike("^[ACGTN]*$"), F.col("seq")).otherwise(F.raise_error(F.lit("sequence holds other letters"))))
-    found = ok.select(F.lit(genome).cast("int").alias("genome"), F.regexp_extract(head, r"^[^, \t\x0B\r]*", 0).alias("name"), "seq")
+    found = ok.select(F.lit(genome).cast("int").alias("genome"), F.regexp_extract(head, r"^[^, \t\x0B\r]*", 0).alias("name"), "seq", *(["record"] if numbered else []))
     return found.unionByName(bad)
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq, qual) of four-line records."""
-    rows = numbered_lines(spark, path)
-    at = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    rows = rows.select("file", F.floor(at / 4).alias("rec"), (at % 4).alias("k"), "value")
+    at = F.col("line")
+    rows = numbered_lines(spark, path).select("file", F.floor(at / 4).alias("rec"), (at % 4).alias("k"), "value")
     out = rows.groupBy("file", "rec").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(n) for k, n in ((0, "head"), (1, "seq"), (3, "qual"))])
     return out.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.upper("seq").alias("seq"), "qual")
 
@@ -58,9 +78,8 @@ def c2h(spark: SparkSession, path: str) -> DataFrame:
     row of two fields has no block, one of four names block and orientation.
     A wrong number of fields raises."""
     rows = numbered_lines(spark, path).withColumn("f", F.split(F.trim("value"), "\t")).filter("value <> ''")
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     s = F.when(F.col("f")[0] == "s", F.struct(unquoted(F.col("f")[1]).alias("event"), unquoted(F.col("f")[2]).alias("sequence"), (F.col("f")[3] == "1").alias("is_bottom")))
-    rows = rows.withColumn("s", F.last(s, ignorenulls=True).over(w)).filter(F.col("f")[0] == "a")
+    rows = carried(rows, s, "s").filter(F.col("f")[0] == "a")
     n, bottom = F.size("f"), F.col("s.is_bottom")
     good = F.when(bottom, n == 4).otherwise((n == 3) | (n == 5))
     f = lambda i: F.when(good, F.col("f")[i]).otherwise(F.raise_error(F.lit("a row has a wrong number of fields")))
@@ -86,9 +105,7 @@ def maf(spark: SparkSession, path: str, root: str = "rootSeq") -> DataFrame:
     gaps and the synthetic root's rows go. On the reverse strand bases count
     down from the start."""
     rows = numbered_lines(spark, path)
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.last(F.when(F.col("value").startswith("a"), F.col("line")), ignorenulls=True).over(w)
-    s = rows.withColumn("block", block).filter(F.col("value").startswith("s ") | F.col("value").startswith("s\t"))
+    s = carried(rows, F.when(F.col("value").startswith("a"), F.col("line")), "block").filter(F.col("value").startswith("s ") | F.col("value").startswith("s\t"))
     f = F.split(F.trim("value"), r"\s+")
     s = s.select("file", "block", f[1].alias("contig"), f[2].cast("long").alias("start"), (f[4] == "-").alias("reverse"), f[6].alias("text"))
     s = s.filter(F.col("contig") != root).select("*", F.posexplode(F.split("text", "")).alias("at", "c")).filter("c <> ''")
@@ -156,9 +173,8 @@ def mag(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq_like(spark: SparkSession, path: str) -> DataFrame:
-    rows = numbered_lines(spark, path)
-    at = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    rows = rows.select("file", F.floor(at / 4).alias("rec"), (at % 4).alias("k"), "value")
+    at = F.col("line")
+    rows = numbered_lines(spark, path).select("file", F.floor(at / 4).alias("rec"), (at % 4).alias("k"), "value")
     return rows.groupBy("file", "rec").agg(F.max(F.when(F.col("k") == 0, F.col("value"))).alias("head"), F.max(F.when(F.col("k") == 1, F.col("value"))).alias("seq"))
 
 
