@@ -1,9 +1,10 @@
-"""The four tools as functions and as a command line, with their public option
+"""The five tools as functions and as a command line, with their public option
 names and defaults: ``python -m strandweave.plans.tools createIndex ...``."""
 
 from __future__ import annotations
 
 import argparse
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,12 +17,24 @@ from strandweave.sources import readers, writers
 
 
 def contigs_of(spark: SparkSession, fastas: list[str]) -> DataFrame:
-    """(contig, name, start, length, genome, seq) of FASTA files, a genome each."""
-    records = reduce(DataFrame.unionByName, [readers.fasta(spark, f, i) for i, f in enumerate(fastas)])
-    keyed = records.withColumn("key", F.struct("genome", "name"))
-    parts = contigs.split_contigs(keyed.select("key", "seq"), "key")
-    parts = parts.select(F.col("key.genome").cast("long").alias("genome"), F.col("key.name").alias("name"), "start", "length", "seq")
-    return materialize(global_index(parts, ["genome", "name", "start"], "contig"))
+    """(contig, name, start, length, genome, seq) of FASTA files, a genome each;
+    contigs are numbered in the order of genomes, records and starts."""
+    records = reduce(DataFrame.unionByName, [readers.fasta(spark, f, i, numbered=True) for i, f in enumerate(fastas)])
+    keyed = materialize(records.withColumn("key", F.struct("genome", "record", "name")).select("key", "seq"))
+    parts = contigs.split_contigs(keyed, "key")
+    parts = parts.select(F.col("key.genome").cast("long").alias("genome"), F.col("key.record").alias("record"), F.col("key.name").alias("name"), "start", "length", "seq")
+    return materialize(global_index(parts, ["genome", "record", "start"], "contig").drop("record"))
+
+
+def indexed(spark: SparkSession, indexDirectory: str | None, fastas: list[str]) -> DataFrame:
+    """The contigs of an index directory that is there; else those of FASTA files,
+    saved in the directory if one is named."""
+    if indexDirectory and lookup.has_index(spark, indexDirectory):
+        return lookup.load_index(spark, indexDirectory, "contigs")["contigs"]
+    rows = contigs_of(spark, fastas)
+    if indexDirectory:
+        lookup.save_index(indexDirectory, contigs=rows)
+    return rows
 
 
 def scheme_parameters(mapType: str, **o) -> dict:
@@ -43,7 +56,8 @@ def create_index(spark: SparkSession, indexDirectory: str, fastas: list[str], ma
     """Index FASTA files, merge their genomes greedily, and measure the graph.
 
     Returns the tables; those whose option names a path are written as text too.
-    ``sampleRate`` is accepted: the whole suffix array is kept.
+    ``sampleRate`` is accepted without effect: the whole suffix array is kept, and
+    tasks take the place of ``threads``.
     """
     rows = contigs_of(spark, fastas)
     texts = contigs.double_strand(rows.select("contig", "genome", "seq"))
@@ -82,23 +96,43 @@ def create_index(spark: SparkSession, indexDirectory: str, fastas: list[str], ma
     return out
 
 
-def map_reads(spark: SparkSession, reference: str, fastas: list[str], alignment: str | None = None, stats: str | None = None, **o) -> DataFrame:
-    """Reads of FASTA files to the one N-free record of a reference file."""
-    record = readers.fasta(spark, reference).limit(2).collect()
-    if not record or "N" in record[0].seq:
-        raise ValueError("the reference must hold a record without N")
-    reads = reduce(DataFrame.unionByName, [readers.fasta(spark, f) for f in fastas]).select(F.col("name").alias("read"), "seq")
-    mapped = mapping.map_reads(contigs.drop_ambiguous(reads), [(record[0].name, record[0].seq, 0)], "natural", **scheme_parameters("natural", **o))
+def map_reads(spark: SparkSession, reference: str, fastas: list[str], alignment: str | None = None, stats: str | None = None, indexDirectory: str | None = None, **o) -> DataFrame:
+    """Reads of FASTA files to the one N-free record of a reference file, or of an
+    index directory that is there."""
+    if not (indexDirectory and lookup.has_index(spark, indexDirectory)):
+        record = readers.fasta(spark, reference).limit(2).collect()
+        if len(record) != 1 or "N" in record[0].seq:
+            raise ValueError("the reference must hold one record, without N")
+    rows = indexed(spark, indexDirectory, [reference])
+    reads = contigs.drop_ambiguous(reduce(DataFrame.unionByName, [readers.fasta(spark, f) for f in fastas]).select(F.col("name").alias("read"), "seq"))
+    known = mapping.collect_reference(rows, "name")
+    mapped = mapping.map_reads(reads, known, "natural", **scheme_parameters("natural", **o))
     if alignment:
         writers.lines(writers.read_mappings(mapped), alignment)
     if stats:
-        n = mapped.agg(F.count("ref").alias("mapped"), F.count_if(F.col("ref").isNull()).alias("unmapped"))
-        writers.lines(n.select(F.explode(F.array(F.concat(F.lit("mapped\t"), F.col("mapped").cast("string")), F.concat(F.lit("unmapped\t"), F.col("unmapped").cast("string"))))), stats)
+        counted = mapping.map_counters(reads, known, "natural", **scheme_parameters("natural", **o))
+        writers.lines(writers.stats_lines(counted.filter("value > 0 or stat in ('mapped', 'unmapped')")), stats)
     return mapped
 
 
-def evaluate_mapability(spark: SparkSession, reference: str, outputFile: str | None = None, minEditBound: int = 0) -> DataFrame:
-    rows = contigs_of(spark, [reference])
+def map_to_index(spark: SparkSession, index: str, pattern: str | None = None, fasta: str | None = None, repeat: int = 1, minContext: int = 0, cluster: str = "local") -> DataFrame:
+    """(level, i, base, left, both, right): the sides of a saved index's bases that
+    a string's bases map to by their left, both, or right contexts. The last of
+    ``repeat`` rounds is returned; the milliseconds of one are printed."""
+    if (pattern is None) == (fasta is None):
+        raise ValueError("give a pattern or a FASTA file")
+    text = pattern if pattern is not None else readers.fasta(spark, fasta, numbered=True).orderBy("record").first().seq
+    reference = mapping.collect_reference(lookup.load_index(spark, index, "contigs")["contigs"].select("contig", "seq", "genome"))
+    query = spark.createDataFrame([("0", text)], "read string, seq string")
+    began = time.perf_counter()
+    for _ in range(max(1, repeat)):
+        found = mapping.map_sides(query, reference, minContext).collect()
+    print(f"map() took {(time.perf_counter() - began) * 1000 / max(1, repeat):f} ms/call")
+    return spark.createDataFrame(found, mapping.SIDES).select(F.lit(0).alias("level"), "i", "base", "left", "both", "right")
+
+
+def evaluate_mapability(spark: SparkSession, reference: str, outputFile: str | None = None, minEditBound: int = 0, indexDirectory: str | None = None) -> DataFrame:
+    rows = indexed(spark, indexDirectory, [reference])
     found = mapping.evaluate_mapability(rows.select("contig", "seq"), mapping.collect_reference(rows.select("contig", "seq", "genome")), minEditBound)
     if outputFile:
         ordered = found.repartitionByRange("contig", "base").sortWithinPartitions("contig", "base")
@@ -157,6 +191,13 @@ def _parser() -> argparse.ArgumentParser:
     able.add_argument("outputFile")
     able.add_argument("--minEditBound", type=int, default=0)
     able.add_argument("--sampleRate", type=int, default=64)
+    table = tools.add_parser("mapToIndex")
+    table.add_argument("index")
+    table.add_argument("--cluster", default="local")
+    table.add_argument("--pattern")
+    table.add_argument("--fasta")
+    table.add_argument("--repeat", type=int, default=1)
+    table.add_argument("--minContext", type=int, default=0)
     merge = tools.add_parser("cactusMerge")
     for name in ("c2h", "fasta", "suffix"):
         merge.add_argument(f"--{name}", action="append", required=True)
@@ -174,11 +215,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if tool == "createIndex":
         create_index(spark, **o)
     elif tool == "mapReads":
-        o.pop("indexDirectory"), o.pop("mapType")
+        o.pop("mapType")
         map_reads(spark, **o)
     elif tool == "evaluateMapability":
-        o.pop("indexDirectory")
         evaluate_mapability(spark, **o)
+    elif tool == "mapToIndex":
+        for line in writers.mapping_table(map_to_index(spark, **o).orderBy("level", "i").collect()):
+            print(line)
     else:
         cactus_merge(spark, **o)
 

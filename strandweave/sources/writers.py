@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.plans.runtime import global_index, running_sum
+from strandweave.plans.runtime import global_index, running_sum, tree_reduce
 
 
 def lines(df: DataFrame, path: str) -> None:
@@ -107,6 +107,18 @@ def last_graph(segments: DataFrame, sequences: DataFrame) -> DataFrame:
     return node.unionByName(counted.select(F.concat_ws("\t", F.lit("ARC"), *[F.col(c).cast("string") for c in ("k.x", "k.y", "n")]).alias("value")))
 
 
+def mapping_table(rows) -> list[str]:
+    """Console lines of mapped sides (level, base, left, both, right), a table a level."""
+    out, level = [], None
+    pad = lambda values: "\t".join((v or "").ljust(10) for v in values)
+    for r in rows:
+        if r["level"] != level:
+            level = r["level"]
+            out += [f"Mappings to level {level}:", pad(("Base", "Left", "Both", "Right"))]
+        out.append(pad((r["base"], r["left"], r["both"], r["right"])))
+    return out
+
+
 def dot(edges: DataFrame, label: str = "label") -> DataFrame:
     """Graphviz lines of (a, b, label)."""
     line = F.concat(F.lit("  "), F.col("a").cast("string"), F.lit(" -- "), F.col("b").cast("string"), F.lit(' [label="'), F.col(label).cast("string"), F.lit('"];'))
@@ -120,6 +132,11 @@ def vcf_lines(variants: DataFrame) -> DataFrame:
     )
 
 
+def concatenated(spark, paths: list[str]) -> DataFrame:
+    """The lines of several files, one below the other."""
+    return tree_reduce([spark.read.text(p) for p in paths], DataFrame.unionByName)
+
+
 def rename_wiggle(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """Wiggle lines with genomes renamed."""
     value = F.col("value")
