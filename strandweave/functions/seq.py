@@ -248,6 +248,21 @@ def base_name(contig, contig_offset_):
     return F.concat(F.lit("N"), col(contig).cast("string"), F.lit("B"), col(contig_offset_).cast("string"))
 
 
+def local_shift(offset, by):
+    """A place so many letters on along its own text."""
+    return col(offset) + by
+
+
+def global_shift(text, offset, by):
+    """A place so many letters on along the forward strand."""
+    return F.when(strand(text), col(offset) - by).otherwise(col(offset) + by)
+
+
+def is_consistent(text, offset, other_text, other_offset, by):
+    """Is the other place so many letters on in the same text?"""
+    return (col(text) == col(other_text)) & (col(offset) + by == col(other_offset))
+
+
 def text_position(contig, contig_offset_, backwards, length):
     """Inverse of ``contig_offset``: the position on the wanted strand."""
     rev = col(backwards).cast("boolean")
@@ -266,6 +281,11 @@ def unpack_side(side):
     return F.struct(F.shiftrightunsigned(col(side), 1).alias("coordinate"), (col(side).bitwiseAND(1) == 1).alias("face"))
 
 
+def side_order(coordinate, face):
+    """A key by which sides sort: the coordinate, then LEFT before RIGHT."""
+    return F.struct(col(coordinate).alias("coordinate"), (col(face) == "RIGHT").alias("right"))
+
+
 def opposite_face(face):
     """LEFT for RIGHT and RIGHT for LEFT."""
     return F.when(col(face) == "LEFT", "RIGHT").when(col(face) == "RIGHT", "LEFT")

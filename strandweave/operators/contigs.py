@@ -70,6 +70,39 @@ def noisy(reads: DataFrame, sequence: str = "read", rate: float = 0.01, seed: in
     return reads.withColumn(sequence, F.array_join(step, ""))
 
 
+def seeded(key: str, seed: int):
+    """A number from 0 to 2**32 - 1 that depends on a key and a seed alone."""
+    return F.conv(F.left(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.lit(8)), 16, 10).cast("long")
+
+
+def random_substrings(sequences: DataFrame, key: str, n: int, seed: int = 1, sequence: str = "seq") -> DataFrame:
+    """(key, start, piece): a piece of n letters from a seeded place in each
+    sequence; shorter ones give none. The same seed gives the same pieces."""
+    s = F.col(sequence)
+    start = seeded(key, seed) % (F.length(s) - n + 1)
+    rows = sequences.filter(F.length(s) >= n).select(F.col(key), start.cast("int").alias("start"), s.alias("_s"))
+    return rows.select(key, "start", F.substring("_s", F.col("start") + 1, F.lit(n)).alias("piece"))
+
+
+def random_bases(rows: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """(key, base): one of four letters, by key and seed."""
+    return rows.select(F.col(key), F.substring(F.lit("ACGT"), (seeded(key, seed) % 4 + 1).cast("int"), F.lit(1)).alias("base"))
+
+
+def reversed_reads(reads: DataFrame, sequence: str = "seq", quality: str | None = None) -> DataFrame:
+    """Every read read backwards (not complemented), its qualities too."""
+    return reads.withColumns({c: F.reverse(F.col(c)) for c in (sequence, quality) if c})
+
+
+def read_lengths(reads: DataFrame, key: str = "name", sequence: str = "seq") -> DataFrame:
+    """(key, length): all that is kept of reads whose bases are not needed."""
+    return reads.select(key, F.length(sequence).cast("long").alias("length"))
+
+
+def reads_by_id(reads: DataFrame, wanted: DataFrame, key: str = "name") -> DataFrame:
+    return reads.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 def drop_ambiguous(reads: DataFrame, sequence: str = "seq") -> DataFrame:
     return reads.filter(~F.contains(F.upper(F.col(sequence)), F.lit("N")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.intervals import point_join
+from strandweave.plans.runtime import tree_reduce
 
 
 def mapping_classes(columns: DataFrame, genes: DataFrame, bin_size: int = 1000) -> DataFrame:
@@ -150,6 +151,68 @@ def conflicted(columns: DataFrame, by: list[str], cutoff: int) -> DataFrame:
     return columns.groupBy(*by).agg(F.bool_or(second > cutoff).alias("conflicted"), F.count_if(F.col("depth") > 1).alias("covered"), F.avg("depth").alias("mean_depth"))
 
 
+def bases_covered(columns: DataFrame, by: list[str]) -> DataFrame:
+    """Columns more than one read deep, and the mean depth, of each group."""
+    return columns.groupBy(*by).agg(F.count_if(F.col("depth") > 1).alias("covered"), F.avg("depth").alias("mean_depth"))
+
+
+def _counts(rows: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.count_if(F.col("base") == x).alias(f"{prefix}{x}") for x in "ACGT"])
+
+
+def _count_of(base: Column, prefix: str) -> Column:
+    out = F.lit(0)
+    for x in "ACGT":
+        out = F.when(base == x, F.col(f"{prefix}{x}")).otherwise(out)
+    return out
+
+
+def conflict_consensus(rows: DataFrame, root: DataFrame, by: list[str], cutoff: int, support: int = 3) -> DataFrame:
+    """(by, i, root, call) from aligned reads (by, read, i, base) and a root
+    (by, i, base), which counts as a read.
+
+    A place is in conflict if its second most frequent base exceeds the cutoff.
+    Reads that differ from the root at such a place, where the root's base exceeds
+    the cutoff too, are set apart. The root's base stands if the other reads give it
+    enough support; else their most frequent base is called if it has more, else that
+    of all reads if the place is not in conflict and it has more. Ties go to the
+    first base.
+    """
+    at = [*by, "i"]
+    own = root.select(*at, F.col("base").alias("root"))
+    every = rows.select(*at, "base").unionByName(root.select(*at, "base"))
+    second = F.element_at(F.sort_array(F.array(*[f"all{x}" for x in "ACGT"]), asc=False), 2)
+    places = own.join(_counts(every, at, "all"), at).withColumn("conflict", second > cutoff)
+    told = places.filter(F.col("conflict") & (_count_of(F.col("root"), "all") > cutoff)).select(*at, "root")
+    apart = rows.join(told, at).filter("base <> root").select(*by, "read").distinct()
+    kept = rows.join(apart, [*by, "read"], "left_anti").select(*at, "base").unionByName(root.select(*at, "base"))
+    places = places.join(_counts(kept, at, "kept"), at)
+
+    def top(prefix: str) -> tuple[Column, Column]:
+        n = F.greatest(*[F.col(f"{prefix}{x}") for x in "ACGT"])
+        return F.when(F.col(f"{prefix}A") == n, "A").when(F.col(f"{prefix}C") == n, "C").when(F.col(f"{prefix}G") == n, "G").otherwise("T"), n
+
+    (base, n), (base_all, n_all), mine = top("kept"), top("all"), _count_of(F.col("root"), "kept")
+    call = F.when(mine >= support, F.col("root")).when(n > mine, base).when(~F.col("conflict") & (n_all > mine), base_all).otherwise(F.col("root"))
+    return places.select(*at, "root", call.alias("call"))
+
+
+def partitioned_pileup(columns: DataFrame, by: list[str], part: str, base: str = "base") -> DataFrame:
+    """The pileup of each part of the reads (a boolean column) by itself."""
+    return pileup(columns, [*by, part], base)
+
+
+def metric_series(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """Mean of each metric over the runs of each scheme."""
+    return rows.groupBy(*by).agg(F.count("*").alias("runs"), *[F.avg(m).alias(m) for m in metrics])
+
+
+def stacked(metric: str, **schemes: DataFrame) -> DataFrame:
+    """(metric, scheme, value): metric tables (value) of several schemes, tagged."""
+    tag = [df.select(F.lit(metric).alias("metric"), F.lit(name).alias("scheme"), F.col("value").cast("double").alias("value")) for name, df in sorted(schemes.items())]
+    return tree_reduce(tag, DataFrame.unionByName)
+
+
 def posterior(columns: DataFrame, error: float = 0.01) -> DataFrame:
     """Log likelihood and posterior of each base under an even error rate."""
     like = {x: sum((F.col(y) * F.log(F.lit(1 - error if x == y else error / 3)) for y in "acgt"), F.lit(0.0)) for x in "acgt"}

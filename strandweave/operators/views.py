@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.operators.intervals import as_of
 from strandweave.plans.runtime import global_index, running_sum
 
 
@@ -80,6 +81,24 @@ def ranks_and_selects(bits: DataFrame) -> DataFrame:
     return out.withColumn("rank_before", F.col("rank") - F.col("bit").cast("long"))
 
 
+def select(bits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, i): where the k-th set bit stands, k from 0; null past the last."""
+    on = global_index(bits.filter("bit").select("i"), ["i"], "k")
+    return wanted.select("k").join(on, "k", "left")
+
+
+def value_before(bits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(at, i): the last set bit at or before each place; null if there is none."""
+    on = bits.filter("bit").select(F.col("i").alias("start"), F.lit("").alias("value"))
+    return as_of(wanted.select("at"), on, [], "at", "start", "value").select("at", F.col("match_key").alias("i"))
+
+
+def value_after(bits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(at, i): the first set bit at or after each place; null if there is none."""
+    on = bits.filter("bit").select(F.col("i").alias("start"), F.lit("").alias("value"))
+    return as_of(wanted.select("at"), on, [], "at", "start", "value", "forward").select("at", F.col("match_key").alias("i"))
+
+
 def bit_runs(bits: DataFrame) -> DataFrame:
     """(start, length) of runs of set bits."""
     on = global_index(bits.filter("bit").select("i"), ["i"], "n")
