@@ -258,8 +258,8 @@ def lcp(spark, d):
     return suffixes.with_lcp(suffix_table(spark, d)).select("rank", "lcp")
 
 
-@query(f"""WITH {SUFFIX_SQL}, b AS (SELECT a.rank, l.rank AS lf FROM sa a JOIN sa l ON a.text = l.text AND a."offset" = l."offset" + 1)
-SELECT rank, lf FROM b UNION ALL SELECT rank, row_number() OVER (ORDER BY rank) - 1 FROM sa WHERE bwt = '$'""")
+@query(f"""WITH {SUFFIX_SQL}, b AS (SELECT rank, bwt, lag(rank) OVER (PARTITION BY text ORDER BY "offset") AS lf, row_number() OVER (PARTITION BY bwt ORDER BY rank) - 1 AS n FROM sa)
+SELECT rank, CASE WHEN bwt = '$' THEN n ELSE lf END AS lf FROM b""")
 def lf_mapping(spark, d):
     return suffixes.lf(suffix_table(spark, d))
 
@@ -645,13 +645,13 @@ def hamming_neighbourhood(spark, d):
     return lookup.neighbourhood(k, p, 8, 2)
 
 
-@query(f"""WITH {READS_SQL}, h AS (SELECT doc_id, n, left(seq, n) AS p FROM (SELECT doc_id, seq, unnest(range(1, 13)) AS n FROM reads)),
+@query(f"""WITH {READS_SQL}, h AS (SELECT doc_id, n, left(seq, n) AS p FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS n FROM reads)),
 a AS (SELECT p, min(doc_id) AS id, min(n) AS n FROM h GROUP BY p HAVING count(*) = 1)
 SELECT id, CAST(min(n) AS INTEGER) AS n FROM a GROUP BY id""")
 def unique_prefix(spark, d):
     from strandweave.operators import lookup
 
-    return lookup.unique_prefixes(reads(spark, d).select(F.col("doc_id").alias("id"), "seq"), 12)
+    return lookup.unique_prefixes(reads(spark, d).select(F.col("doc_id").alias("id"), "seq"))
 
 
 @query(f"""WITH {VIEW_SQL}, i AS (SELECT s_suppkey AS id, s_suppkey * 97 AS lo, s_suppkey * 97 + s_nationkey AS hi FROM supplier),
