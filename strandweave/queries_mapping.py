@@ -87,6 +87,24 @@ def natural_credit(spark, d):
     return mapping.map_reads(reads, mapping.collect_reference(contigs), "natural", credit=True, mismatches=2, max_edit_distance=1, min_edit_bound=2)
 
 
+@query(f"""WITH {OF_READS}, win AS (SELECT read, arg_min(start + length, start) - 1 AS a, max(start) AS b FROM mus GROUP BY read),
+votes AS (SELECT read, text, pos + b - start AS o, b AS i FROM (SELECT *, unnest(range(start, start + length)) AS b FROM mum)),
+one AS (SELECT read, i, min(text) AS text, min(o) AS o FROM votes JOIN win USING (read) WHERE i BETWEEN a AND b GROUP BY read, i HAVING count(DISTINCT (text, o)) = 1),
+bases AS (SELECT read, seq, unnest(range(0, 32)) AS i FROM reads),
+mapped AS (SELECT read, i, substr(bases.seq, i + 1, 1) AS base, text, o FROM bases LEFT JOIN one USING (read, i)),
+near AS (SELECT *, max(CASE WHEN text IS NOT NULL THEN i END) OVER (PARTITION BY read ORDER BY i) AS l, min(CASE WHEN text IS NOT NULL THEN i END) OVER (PARTITION BY read ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM mapped),
+said AS (SELECT n.read, n.i, n.base, n.l, n.r, x.text AS lt, x.o + n.i - n.l AS lo, y.text AS rt, y.o + n.i - n.r AS ro FROM near n JOIN mapped x ON x.read = n.read AND x.i = n.l JOIN mapped y ON y.read = n.read AND y.i = n.r WHERE n.text IS NULL),
+seen AS (SELECT s.*, substr(a.seq, lo + 1, 1) AS lb, substr(b.seq, ro + 1, 1) AS rb, lo BETWEEN 0 AND 31 AS lin, ro BETWEEN 0 AND 31 AS rin FROM said s JOIN texts a ON a.text = lt JOIN texts b ON b.text = rt),
+missed AS (SELECT *, sum(CASE WHEN lin AND lb <> base THEN 1 ELSE 0 END) OVER (PARTITION BY read, l ORDER BY i) AS lm, sum(CASE WHEN rin AND rb <> base THEN 1 ELSE 0 END) OVER (PARTITION BY read, r ORDER BY i DESC) AS rm FROM seen),
+got AS (SELECT *, CASE WHEN lin AND lm <= 1 THEN [lt, lo] END AS left_, CASE WHEN rin AND rm <= 1 THEN [rt, ro] END AS right_ FROM missed),
+credit AS (SELECT read, i, coalesce(left_, right_) AS at FROM got WHERE (left_ IS NULL OR right_ IS NULL OR left_ = right_) AND CASE WHEN left_ IS NOT NULL THEN lb ELSE rb END = base),
+every AS (SELECT m.read, m.i, coalesce(m.text, c.at[1]) AS text, coalesce(m.o, c.at[2]) AS o FROM mapped m LEFT JOIN credit c ON m.read = c.read AND m.i = c.i)
+SELECT read, CAST(i AS INTEGER) AS i, CAST(text // 2 AS VARCHAR) AS ref, CASE WHEN text % 2 = 1 THEN 32 - o ELSE o + 1 END AS ref_off, text, o AS "offset", text % 2 = 1 AS backwards FROM every""")
+def credit_map(spark, d):
+    contigs, reads = contigs_and_reads(spark, d)
+    return mapping.map_reads(reads, mapping.collect_reference(contigs), "natural", credit=True, mismatches=1)
+
+
 @query()
 def zip_map(spark, d):
     contigs, reads = contigs_and_reads(spark, d)
@@ -127,3 +145,13 @@ def global_align(spark, d):
             )
 
     return both.mapInArrow(run, "read string, score int, cigar string")
+
+
+@query(f"""WITH RECURSIVE {INPUT_SQL}, p AS (SELECT read, seq AS a, reverse(seq) AS b FROM reads),
+d AS (SELECT read, a, b, 0 AS i, j, CASE WHEN j = 0 THEN 0 ELSE -5 - 2 * j END AS h, -1000000 AS e FROM (SELECT *, unnest(range(0, 33)) AS j FROM p)
+ UNION ALL SELECT read, a, b, i, j, greatest(x, max(x + 2 * j) OVER (PARTITION BY read ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5 - 2 * j) AS h, e FROM (
+  SELECT read, a, b, i, j, e, CASE WHEN diagonal IS NULL THEN e ELSE greatest(e, diagonal) END AS x FROM (
+   SELECT read, a, b, i + 1 AS i, j, greatest(h - 7, e - 2) AS e, lag(h) OVER (PARTITION BY read ORDER BY j) + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 1 ELSE -3 END AS diagonal FROM d WHERE i < 32)))
+SELECT read, CAST(h AS INTEGER) AS score FROM d WHERE i = 32 AND j = 32""")
+def alignment_scores(spark, d):
+    return global_align(spark, d).select("read", "score")
