@@ -129,6 +129,10 @@ def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataF
     return reads.select(F.col("read").cast("string"), F.col("seq").cast("string")).mapInArrow(run, schema)
 
 
+#: Letters of a text that are taken apart at a time.
+PIECE = 4096
+
+
 def relational_statistics(reads: DataFrame, texts: DataFrame, seed: int = 4) -> DataFrame:
     """(read, i, longest, unique): matching statistics for any reference size.
 
@@ -142,7 +146,11 @@ def relational_statistics(reads: DataFrame, texts: DataFrame, seed: int = 4) ->
     most = reads.agg(F.coalesce(F.max(F.length(s)), F.lit(0))).first()[0]
     tails = F.explode(F.sequence(F.lit(1), F.length(s)))
     tail = F.substring("seq", F.col("i"), F.lit(max(1, most)))
-    ref = texts.filter(F.length(s) > 0).select(tails.alias("i"), s).select(tail.alias("s"), F.lit(None).cast("string").alias("read"), F.lit(None).cast("int").alias("i"))
+    # long texts are cut in pieces that overlap by a read first: a suffix then comes from a short row
+    starts = F.sequence(F.lit(0), F.length(s) - 1, F.lit(PIECE))
+    pieces = texts.filter(F.length(s) > 0).select(F.explode(F.transform(starts, lambda a: F.substring(s, a + 1, F.lit(PIECE + max(1, most) - 1)))).alias("seq"))
+    own = F.explode(F.sequence(F.lit(1), F.least(F.length(s), F.lit(PIECE))))
+    ref = pieces.select(own.alias("i"), s).select(tail.alias("s"), F.lit(None).cast("string").alias("read"), F.lit(None).cast("int").alias("i"))
     ask = reads.filter(F.length(s) >= seed).select(F.col("read").cast("string"), tails.alias("i"), s).select(tail.alias("s"), "read", (F.col("i") - 1).alias("i"))
     both = ref.unionByName(ask.filter(F.length("s") >= seed)).withColumn("asks", F.col("read").isNotNull())
     table = materialize(running_sum(both, ["s", "asks"], {"n": (~F.col("asks")).cast("long")}))

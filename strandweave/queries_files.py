@@ -393,7 +393,9 @@ def zip_counters(spark, d):
 LONG = f"""g AS (SELECT string_agg(translate(md5(c_name) || md5(c_name || 'x') || left(md5(c_name || 'y'), 8), '{HEX}', '{AS_BASES}'), '' ORDER BY c_custkey) AS s FROM customer),
 reads AS (SELECT s_name AS read, left(substr(s, s_suppkey * 103 + 1, 32), 15) || translate(substr(s, s_suppkey * 103 + 16, 1), 'ACGT', 'CGTA') || substr(s, s_suppkey * 103 + 17, 16) AS seq FROM supplier, g),
 texts AS (SELECT 0 AS text, s AS seq FROM g UNION ALL SELECT 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM g),
-rs AS (SELECT text, i, substr(seq, i + 1, l) AS sub FROM (SELECT text, seq, i, unnest(range(1, 33)) AS l FROM (SELECT text, seq, unnest(range(0, length(seq))) AS i FROM texts)) WHERE i + l <= length(seq)),
+letters AS (SELECT text, unnest(string_split(seq, '')) AS c, unnest(range(0, length(seq))) AS i FROM texts),
+heads AS (SELECT text, i, string_agg(c, '') OVER (PARTITION BY text ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS head FROM letters),
+rs AS (SELECT text, i, left(head, l) AS sub FROM (SELECT text, head, i, unnest(range(1, 33)) AS l FROM heads) WHERE l <= length(head)),
 qs AS (SELECT read, i, l, substr(seq, i + 1, l) AS sub FROM (SELECT read, seq, i, unnest(range(1, 33 - i)) AS l FROM (SELECT read, seq, unnest(range(0, 32)) AS i FROM reads))),
 occ AS (SELECT sub, count(*) AS n, min(text) AS text, min(i) AS pos FROM rs WHERE sub IN (SELECT sub FROM qs) GROUP BY sub),
 st AS (SELECT read, i, max(l) AS longest, min(CASE WHEN n = 1 THEN l END) AS uniq, arg_max(text, l) FILTER (n = 1) AS text, arg_max(pos, l) FILTER (n = 1) AS pos FROM qs JOIN occ USING (sub) GROUP BY read, i),

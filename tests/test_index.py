@@ -53,7 +53,9 @@ def test_an_index_of_a_hundred_thousand_bases():
         ViewIndex(["A" * (MAX_BASES + 1)])
 
 
-def test_relational_statistics_equal_the_index(spark):
+@pytest.mark.parametrize("piece", [4096, 50])
+def test_relational_statistics_equal_the_index(spark, monkeypatch, piece):
+    monkeypatch.setattr(mapping, "PIECE", piece)
     genome = letters(11, 400, "AC") + letters(12, 400)
     reads = [(f"r{i}", letters(20 + i, 30, "AC")) for i in range(5)] + [("hit", genome[100:140]), ("short", "AC"), ("none", "")]
     df = spark.createDataFrame(reads, "read string, seq string")
