@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 #: Sequences above this length are not aligned but counted as the threshold.
 MAX_ALIGNED = 500
 
@@ -61,6 +63,69 @@ def global_alignment(a: str, b: str, gap_open: int = 5, gap_extend: int = 2, mis
     return h[len(a), len(b)], compact("".join(reversed(ops)))
 
 
+def global_alignments(firsts: list[str], seconds: list[str], gap_open: int = 5, gap_extend: int = 2, mismatch: int = 3, match: int = 1, band: int = 50) -> list[tuple[int, str]]:
+    """The same for many pairs. Pairs of equal lengths that the band does not touch
+    are aligned together, a row of the table of all of them at a time."""
+    out: list = [None] * len(firsts)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (a, b) in enumerate(zip(firsts, seconds)):
+        if max(len(a), len(b)) <= band:
+            groups.setdefault((len(a), len(b)), []).append(k)
+        else:
+            out[k] = global_alignment(a, b, gap_open, gap_extend, mismatch, match, band)
+    for (n, m), members in groups.items():
+        for at in range(0, len(members), 1024):
+            some = members[at : at + 1024]
+            a = np.array([list(firsts[k].encode()) for k in some], np.uint8).reshape(len(some), n)
+            b = np.array([list(seconds[k].encode()) for k in some], np.uint8).reshape(len(some), m)
+            for k, found in zip(some, _together(a, b, gap_open, gap_extend, mismatch, match)):
+                out[k] = found
+    return out
+
+
+def _together(a: np.ndarray, b: np.ndarray, gap_open: int, gap_extend: int, mismatch: int, match: int) -> list[tuple[int, str]]:
+    (size, n), m, low = a.shape, b.shape[1], -(10**9)
+    steps = gap_extend * np.arange(m + 1)
+    move = np.zeros((n + 1, m + 1, size), np.uint8)  # 0 a pair, 1 only in a, 2 only in b
+    from_up, from_left = np.zeros((n + 1, m + 1, size), bool), np.zeros((n + 1, m + 1, size), bool)  # a gap goes on
+    e = np.full((size, m + 1), low)
+    h = None
+    for i in range(n + 1):
+        before = h
+        if i:
+            opened, longer = before - gap_open - gap_extend, e - gap_extend
+            from_up[i] = (longer > opened).T
+            e = np.maximum(opened, longer)
+        pair = np.full((size, m + 1), low)
+        if i:
+            pair[:, 1:] = before[:, :-1] + np.where(a[:, i - 1, None] == b, match, -mismatch)
+        else:
+            pair[:, 0] = 0
+        best = np.maximum(pair, e)
+        # a gap that starts in a gap costs more than one that goes on, so gaps start from what is no gap
+        f = np.full((size, m + 1), low)
+        f[:, 1:] = np.maximum.accumulate(best + steps, axis=1)[:, :-1] - gap_open - steps[1:]
+        h = np.maximum(best, f)
+        from_left[i, 1:] = ((f - gap_extend) > (h - gap_open - gap_extend))[:, :-1].T
+        move[i] = np.where(pair >= h, 0, np.where(e >= h, 1, 2)).T
+    out = []
+    for k in range(size):
+        i, j, ops, state = n, m, [], 0
+        while i or j:
+            kind = state or int(move[i, j, k])
+            ops.append("MID"[kind])
+            if kind == 0:
+                i, j = i - 1, j - 1
+            elif kind == 1:
+                state = 1 if from_up[i, j, k] else 0
+                i -= 1
+            else:
+                state = 2 if from_left[i, j, k] else 0
+                j -= 1
+        out.append((int(h[k, m]), compact("".join(reversed(ops)))))
+    return out
+
+
 def local_alignment(a: str, b: str, gap: int = 2, mismatch: int = 3, match: int = 1) -> tuple[int, int, int, int, int]:
     """(score, start in a, end in a, start in b, end in b) of the best local match."""
     row = [(0, 0, j) for j in range(len(b) + 1)]

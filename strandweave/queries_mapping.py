@@ -139,7 +139,7 @@ def global_align(spark, d):
 
     def run(batches):
         for batch in batches:
-            got = [align.global_alignment(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            got = align.global_alignments(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], names=["read", "score", "cigar"]
             )

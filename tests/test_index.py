@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandweave.functions import align
 from strandweave.operators import contigs, intervals, lookup, suffixes, views
 from strandweave.operators.index import MAX_BASES, ViewIndex, reverse_complement, sorted_suffixes
 from strandweave.plans import mapping, tools
@@ -139,6 +140,14 @@ def test_tools_use_a_saved_index(spark, tmp_path, capsys):
         tools.map_reads(spark, str(fa), [str(reads)])
 
 
+def test_alignments_together_equal_one_by_one():
+    r = random.Random(2)
+    pairs = [(letters(r.random(), r.randrange(25), "ACG"), letters(r.random(), r.randrange(25), "ACG")) for _ in range(300)]
+    pairs += [(a, a[:3] + a[6:]) for a, _ in pairs[:50]] + [("", ""), ("A", ""), ("", "AC"), (letters(1, 70), letters(2, 60))]
+    firsts, seconds = map(list, zip(*pairs))
+    assert align.global_alignments(firsts, seconds) == [align.global_alignment(a, b) for a, b in pairs]
+
+
 def test_tree_reduce():
     assert tree_reduce(list("abcdefg"), lambda a, b: f"({a}{b})") == "(((ab)(cd))((ef)g))"
     with pytest.raises(ValueError):
