@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _of(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-SIDE = _of("coordinate bigint, face string")
-EDGE = _of("id bigint, `left` bigint, `right` bigint")
-BLOCK = _of("start bigint, length bigint")
-SITE = _of(f"edge {EDGE.simpleString()}, bases string")
-BREAKPOINT = _of(f"edge {EDGE.simpleString()}")
-GENERALIZATION = _of(f"lowerStart bigint, upperStart {SIDE.simpleString()}, length bigint")
-PLOIDY_BOUNDS = _of("lower int, upper int, variable string")
-ALLELE_GROUP = _of(f"edge {EDGE.simpleString()}, allele_int int, allele_string string, ploidy {PLOIDY_BOUNDS.simpleString()}, genome string")
-SG_ADJACENCY = _of(f"edge {EDGE.simpleString()}, ploidy {PLOIDY_BOUNDS.simpleString()}, genome string")
+LONG, INT, TEXT, REAL = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType()
+
+
+def record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+SIDE = record(coordinate=LONG, face=TEXT)
+EDGE = record(id=LONG, left=LONG, right=LONG)
+BLOCK = record(start=LONG, length=LONG)
+SITE = record(edge=EDGE, bases=TEXT)
+BREAKPOINT = record(edge=EDGE)
+GENERALIZATION = record(lowerStart=LONG, upperStart=SIDE, length=LONG)
+PLOIDY_BOUNDS = record(lower=INT, upper=INT, variable=TEXT)
+ALLELE_GROUP = record(edge=EDGE, allele_int=INT, allele_string=TEXT, ploidy=PLOIDY_BOUNDS, genome=TEXT)
+SG_ADJACENCY = record(edge=EDGE, ploidy=PLOIDY_BOUNDS, genome=TEXT)
 ANCHOR = SG_ADJACENCY
-TRANSMISSION = _of(f"parent bigint, child bigint, ploidy {PLOIDY_BOUNDS.simpleString()}")
-TERM = _of("variable string, weight double")
-CONSTRAINT = _of(f"terms array<{TERM.simpleString()}>, `limit` int")
+TRANSMISSION = record(parent=LONG, child=LONG, ploidy=PLOIDY_BOUNDS)
+TERM = record(variable=TEXT, weight=REAL)
+CONSTRAINT = record(terms=T.ArrayType(TERM), limit=INT)
 
 
 def checked_faces(df: DataFrame, column: str = "face") -> DataFrame:
