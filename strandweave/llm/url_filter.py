@@ -76,10 +76,14 @@ def items(examples: DataFrame, support: float = SUPPORT) -> DataFrame:
     return found.join(first, ["n", "h0", "h1"]).select("token", "item")
 
 
-def with_items(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """(tokens, items) of distinct token sets; sets without an item have none."""
-    looked_up = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(known), "token")
-    return looked_up.groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
+def with_items(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with the sorted ``items`` of their ``tokens``. What is known is one row,
+    a map whose size the support bounds, and goes to every task: a token set with a
+    third of all rows is not dealt to one."""
+    one = F.lit(1).alias("_one")
+    table = known.agg(F.map_from_entries(F.collect_list(F.struct("token", "item"))).alias("_known")).select("_known", one)
+    found = F.filter(F.transform("tokens", lambda t: F.try_element_at("_known", t)), lambda x: x.isNotNull())
+    return rows.select("*", one).join(F.broadcast(table), "_one").withColumn("items", F.array_sort(F.array_distinct(found))).drop("_one", "_known")
 
 
 def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -115,9 +119,8 @@ def verdicts(examples: DataFrame, sets: DataFrame, support: float = SUPPORT, con
     """(tokens, mined) for the distinct token sets that rules mined from the
     examples (tokens, verdict) fit."""
     known = persisted(items(examples, support))
-    labelled = examples.join(with_items(examples.select("tokens").distinct(), known), "tokens", "left")
-    rules = mine(labelled.select(F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "verdict"), support, confidence)
-    named = with_items(sets, known)
+    rules = mine(with_items(examples, known).select(F.col("items").alias("tokens"), "verdict"), support, confidence)
+    named = with_items(sets, known).filter(F.size("items") > 0)
     mined = mined_verdicts(named.select(F.col("items").alias("tokens")).distinct(), rules)
     return named.join(mined.withColumnRenamed("tokens", "items"), "items").select("tokens", "mined")
 
