@@ -23,28 +23,26 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, key: str, v
     marked = l_rows.withColumn("_left", F.lit(True)).unionByName(r_rows.withColumn("_left", F.lit(False)))
     if not by:
         return _as_of_everywhere(marked, forward).filter("_left").select(*left.columns, F.col("_f.k").alias("match_key"), F.col("_f.v").alias("match"))
-    w = Window.partitionBy(*by).orderBy("_at", "_side")
-    if forward:
-        found = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = marked.withColumn("_f", found).filter("_left")
+    out = marked.withColumn("_f", _carried(by, forward)).filter("_left")
     return out.select(*left.columns, F.col("_f.k").alias("match_key"), F.col("_f.v").alias("match"))
 
 
+def _carried(by: list[str], forward: bool) -> Column:
+    """The last ``_v`` up to each row, or (``forward``) the first from it on. That is
+    the last one in falling order: a frame that ends at its row grows by a row at a
+    time, where one that starts there is summed up anew for each row."""
+    order = [F.col(c).desc() if forward else F.col(c).asc() for c in ("_at", "_side")]
+    return F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def _as_of_everywhere(marked: DataFrame, forward: bool) -> DataFrame:
     """``_f``: the nearest ``_v`` in order of ``_at`` and ``_side``."""
     rows = materialize(marked.repartitionByRange("_at", "_side").withColumn("_p", F.spark_partition_id()))
     place = F.when(F.col("_v").isNotNull(), F.struct("_at", "_side"))
     edge = rows.groupBy("_p").agg((F.min_by("_v", place) if forward else F.max_by("_v", place)).alias("_e"))
-    inside, across = Window.partitionBy("_p").orderBy("_at", "_side"), Window.orderBy("_p")  # one row a partition
-    if forward:
-        own = F.first("_v", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-        carried = F.first("_e", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        own = F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        carried = F.last("_e", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_o", own).join(F.broadcast(edge.select("_p", carried.alias("_c"))), "_p").withColumn("_f", F.coalesce("_o", "_c"))
+    across = Window.orderBy(F.col("_p").desc() if forward else "_p")  # one row a partition
+    carried = F.last("_e", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_o", _carried(["_p"], forward)).join(F.broadcast(edge.select("_p", carried.alias("_c"))), "_p").withColumn("_f", F.coalesce("_o", "_c"))
 
 
 def starting_before(points: DataFrame, intervals: DataFrame, by: list[str], at: str) -> DataFrame:
