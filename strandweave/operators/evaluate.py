@@ -177,16 +177,19 @@ def conflict_consensus(rows: DataFrame, root: DataFrame, by: list[str], cutoff:
     enough support; else their most frequent base is called if it has more, else that
     of all reads if the place is not in conflict and it has more. Ties go to the
     first base.
+
+    A table of places grows with the reads, however small the files it was made from:
+    it is merged by key, never sent to the driver to be broadcast.
     """
     at = [*by, "i"]
     own = root.select(*at, F.col("base").alias("root"))
     every = rows.select(*at, "base").unionByName(root.select(*at, "base"))
     second = F.element_at(F.sort_array(F.array(*[f"all{x}" for x in "ACGT"]), asc=False), 2)
-    places = own.join(_counts(every, at, "all"), at).withColumn("conflict", second > cutoff)
+    places = own.join(_counts(every, at, "all").hint("merge"), at).withColumn("conflict", second > cutoff)
     told = places.filter(F.col("conflict") & (_count_of(F.col("root"), "all") > cutoff)).select(*at, "root")
-    apart = rows.join(told, at).filter("base <> root").select(*by, "read").distinct()
-    kept = rows.join(apart, [*by, "read"], "left_anti").select(*at, "base").unionByName(root.select(*at, "base"))
-    places = places.join(_counts(kept, at, "kept"), at)
+    apart = rows.join(told.hint("merge"), at).filter("base <> root").select(*by, "read").distinct()
+    kept = rows.join(apart.hint("merge"), [*by, "read"], "left_anti").select(*at, "base").unionByName(root.select(*at, "base"))
+    places = places.join(_counts(kept, at, "kept").hint("merge"), at)
 
     def top(prefix: str) -> tuple[Column, Column]:
         n = F.greatest(*[F.col(f"{prefix}{x}") for x in "ACGT"])

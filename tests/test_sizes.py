@@ -2,7 +2,7 @@
 
 import random
 
-from strandweave.operators import intervals, views
+from strandweave.operators import evaluate, intervals, views
 
 
 def plan(df):
@@ -22,3 +22,11 @@ def test_forward_as_of_frames_end_at_their_row(spark):
     assert "unboundedfollowing" not in plan(found)
     first = lambda k, at: next((f"{k}-{i}" for i in on[:40] if i >= at and k != "c"), None)
     assert {tuple(x) for x in found.select("k", "at", "match").collect()} == {(k, at, first(k, at)) for k in "abc" for (at,) in places}
+
+
+def test_places_of_a_consensus_are_not_sent_to_the_driver(spark):
+    root = spark.createDataFrame([(1, i, "A") for i in range(3)], "k long, i int, base string")
+    rows = spark.createDataFrame([(1, n, 0, "C") for n in range(9)] + [(1, n, 1, "A") for n in range(9)], "k long, read long, i int, base string")
+    calls = evaluate.conflict_consensus(rows, root, ["k"], 3)
+    assert "broadcast" not in plan(calls)
+    assert sorted(tuple(x) for x in calls.collect()) == [(1, 0, "A", "C"), (1, 1, "A", "A"), (1, 2, "A", "A")]
