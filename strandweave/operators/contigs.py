@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import seq
+from strandweave.plans.runtime import prepare
 
 
 def mask_to_bases(text, unknown: str = "N"):
@@ -120,3 +124,37 @@ def metadata(contigs: DataFrame) -> DataFrame:
         F.sum("length").alias("bases"), (2 * F.sum("length")).alias("total_length"),
         (2 * F.sum(F.col("length") + 1)).alias("rows"),
     )
+
+
+#: Letters that are cut into pieces before they are handed on.
+LETTERS = 4_000_000
+
+
+def pieces(rows: DataFrame, key: str, size: int, overlap: int = 0) -> DataFrame:
+    """(key, start, seq): sequences in pieces of ``size`` letters, each with up to
+    ``overlap`` more that the next ones start with. They are slices, as cheap at the
+    end of a long sequence as at its start; ``substring`` counts from the start."""
+    kind = rows.schema[key].dataType.simpleString()
+    prepare(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            letters = 0
+
+            def flush() -> pa.RecordBatch:
+                columns = list(zip(*held))
+                return pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[key, "start", "seq"])
+
+            for name, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = s.as_py() or ""
+                for start in range(0, len(s), size):
+                    held.append((name, start, s[start : start + size + overlap]))
+                    letters += len(held[-1][2])
+                    if letters > LETTERS:
+                        yield flush()
+                        held, letters = [], 0
+            if held:
+                yield flush()
+
+    return rows.select(key, "seq").mapInArrow(run, f"`{key}` {kind}, start long, seq string")

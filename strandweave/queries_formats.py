@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import seq
 from strandweave.operators import contexts, msa
+from strandweave.plans.runtime import materialize
 from strandweave.queries import AS_BASES, HEX, READS_SQL, load, query, reads
 from strandweave.sources import readers, writers
 
@@ -53,7 +54,8 @@ def sam_mismatch_filter(spark, d):
     )
     ref = load(spark, d, "supplier").select(F.col("s_suppkey").alias("ref"), F.repeat(F.translate(F.md5("s_name"), HEX, AS_BASES), F.lit(700)).alias("seq"))
     pairs = readers.aligned_pairs(sam).filter("ref_off > 0")
-    return readers.matching_pairs(pairs, ref).groupBy("read", "ref").agg(F.count("*").alias("n"))
+    used = materialize(ref.join(sam.select("ref").distinct(), "ref", "left_semi"))  # others meet no read
+    return readers.matching_pairs(pairs, used).groupBy("read", "ref").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE WHEN c_acctbal > 0 THEN concat_ws(chr(9), c_mktsegment, CAST(c_nationkey AS VARCHAR), c_name, CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 2 = 1 THEN '1' ELSE '0' END)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandweave.operators import contigs
+
 CONTIGS = "name string, start long, length long, genome int"
 
 
@@ -148,10 +150,29 @@ def aligned_pairs(alignments: DataFrame) -> DataFrame:
     return rows.select("read", "ref", i.alias("i"), (F.col("pos") + F.col("m.r") + F.col("k")).alias("ref_off"), F.substring("seq", at + 1, F.lit(1)).alias("base"), back.alias("backwards"))
 
 
+#: Bases of one piece of a reference that pairs are joined with.
+PIECE = 256
+#: Bases of all pieces that may be sent to every executor.
+SENT = 16_000_000
+
+
 def matching_pairs(pairs: DataFrame, reference: DataFrame) -> DataFrame:
-    """Aligned pairs whose bases agree (reference: ref, seq); others emit nothing."""
-    joined = pairs.join(reference, "ref")
-    return joined.filter(F.upper(F.expr("substring(seq, cast(ref_off as int), 1)")) == F.upper("base")).drop("seq", "base")
+    """Aligned pairs whose bases agree (reference: ref, seq); others emit nothing.
+
+    References are cut in pieces, and a pair meets the piece its base lies on. Pieces
+    are broadcast if their counted bases are few, else joined by a shuffle: the files
+    that sequences were made from do not tell how long those are. A base off the
+    reference agrees with none; a pair without a base agrees with a place off it.
+    """
+    bases = reference.agg(F.sum(F.length("seq"))).first()[0] or 0
+    whole = reference.filter("seq is not null").select("ref", F.lit(-1).cast("long").alias("_k"), F.length("seq").alias("_n"), F.lit(None).cast("string").alias("_piece"))
+    cut = contigs.pieces(reference.select("ref", "seq"), "ref", PIECE)
+    cut = cut.select("ref", F.floor(F.col("start") / PIECE).alias("_k"), F.lit(0).alias("_n"), F.col("seq").alias("_piece")).unionByName(whole)
+    on = F.when(F.col("base") == "", -1).when(F.col("ref_off") > 0, F.floor((F.col("ref_off") - 1) / PIECE))
+    joined = pairs.withColumn("_k", on).join(F.broadcast(cut) if bases <= SENT else cut.hint("merge"), ["ref", "_k"])
+    own = F.substring("_piece", ((F.col("ref_off") - 1) % PIECE + 1).cast("int"), F.lit(1))
+    agree = F.when(F.col("base") == "", ~F.col("ref_off").between(1, F.col("_n"))).otherwise(F.upper(own) == F.upper("base"))
+    return joined.filter(agree).drop("_k", "_n", "_piece", "base")
 
 
 def psl(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from strandweave.operators import evaluate, intervals, views
+from strandweave.sources import readers
 
 
 def plan(df):
@@ -30,3 +31,20 @@ def test_places_of_a_consensus_are_not_sent_to_the_driver(spark):
     calls = evaluate.conflict_consensus(rows, root, ["k"], 3)
     assert "broadcast" not in plan(calls)
     assert sorted(tuple(x) for x in calls.collect()) == [(1, 0, "A", "C"), (1, 1, "A", "A"), (1, 2, "A", "A")]
+
+
+def test_references_meet_pairs_in_pieces(spark, monkeypatch):
+    r = random.Random(6)
+    known = {"a": "".join(r.choice("ACGTacgt") for _ in range(1000)), "b": "".join(r.choice("ACGT") for _ in range(readers.PIECE)), "c": "", "d": None}
+    rows = [(f"r{n}", ref, n, at, base, False) for ref in "abcde" for n, at in enumerate((-1, 0, 1, 2, 255, 256, 257, 512, 513, 1000, 1001)) for base in ("A", "c", "")]
+    pairs = spark.createDataFrame(rows, "read string, ref string, i int, ref_off long, base string, backwards boolean")
+    reference = spark.createDataFrame(list(known.items()), "ref string, seq string")
+    letter = lambda s, at: s[at - 1].upper() if 0 < at <= len(s) else ""
+    expected = sorted((read, ref, at) for read, ref, _, at, base, _ in rows if known.get(ref) is not None and letter(known[ref], at) == base.upper())
+    found = readers.matching_pairs(pairs, reference)
+    assert found.columns == ["ref", "read", "i", "ref_off", "backwards"]
+    assert sorted((x.read, x.ref, x.ref_off) for x in found.collect()) == expected
+    monkeypatch.setattr(readers, "SENT", 100)  # a reference of more bases than may be sent anywhere
+    found = readers.matching_pairs(pairs, reference)
+    assert "broadcast" not in plan(found)
+    assert sorted((x.read, x.ref, x.ref_off) for x in found.collect()) == expected
