@@ -6,9 +6,10 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions.seq import shared_prefix
@@ -46,6 +47,35 @@ def index_arguments(reference: list[tuple], mask: list | None = None, canon: dic
     return hashlib.sha256(repr((*arguments[:3], sorted((canon or {}).items()))).encode()).hexdigest(), *arguments
 
 
+def dealt(reads: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns of reads (the last one ``seq``), dealt by sequence over all cores,
+    equal ones behind each other. A file of reads may be a single task, and what a
+    kernel finds for a read holds for its copies. A stream keeps its partitions."""
+    rows = reads.select(*columns)
+    if reads.isStreaming:
+        return rows
+    spark = reads.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "seq").sortWithinPartitions("seq")
+
+
+def copies(reads: list[str]) -> Iterator[tuple[str, int]]:
+    """(read, how many) of runs of equal reads."""
+    return ((q, sum(1 for _ in same)) for q, same in groupby(reads))
+
+
+def once[T](found: Callable[[str], T]) -> Callable[[str], T]:
+    """``found`` of a read, kept until another read comes."""
+    last: list = [None, None]
+
+    def get(q: str) -> T:
+        if last[0] != q:
+            last[:] = q, found(q)
+        return last[1]
+
+    return get
+
+
 def map_counters(
     reads: DataFrame, reference: list[tuple], scheme: str = "natural", mask: list | None = None,
     canon: dict[Position, Position] | None = None, **parameters,
@@ -57,13 +87,14 @@ def map_counters(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, mapper, total = held(*made), SCHEMES[scheme](**parameters), Counter()
+        counted = once(lambda q: mapper(q, index)[1])
         for batch in batches:
-            for q in batch.column(0).to_pylist():
+            for q, n in copies(batch.column(0).to_pylist()):
                 if q and "N" not in q.upper():
-                    total.update(mapper(q, index)[1])
+                    total.update({stat: n * value for stat, value in counted(q).items()})
         yield pa.RecordBatch.from_pydict({"stat": pa.array(list(total), pa.string()), "value": pa.array(list(total.values()), pa.int64())})
 
-    return reads.select("seq").mapInArrow(run, "stat string, value long").groupBy("stat").agg(F.sum("value").alias("value"))
+    return dealt(reads, "seq").mapInArrow(run, "stat string, value long").groupBy("stat").agg(F.sum("value").alias("value"))
 
 
 def map_reads(
@@ -73,8 +104,8 @@ def map_reads(
     """One row for each base of each read (read, seq): its reference position on
     the forward strand (1-based), or nulls.
 
-    The checked-size reference goes to each task once; reads are mapped where
-    they lie, without a shuffle. A mapped base that differs raises.
+    The checked-size reference goes to each task once; reads are dealt by sequence,
+    and copies are mapped once. A mapped base that differs raises.
     """
     prepare(reads.sparkSession)
     names = [str(r[0]) for r in reference]
@@ -83,27 +114,34 @@ def map_reads(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held(*made)
         mapper = SCHEMES[scheme](**parameters)
+
+        def mapped(q: str) -> list[pa.Array]:
+            out: list[list] = [[] for _ in range(5)]
+            for i, p in enumerate(mapper(q, index)[0]):
+                row: tuple = (None,) * 5
+                if p is not None:
+                    text, offset = p
+                    if not canon and index.texts[text][offset] != q[i].upper():
+                        raise ValueError(f"{q}: base {i} differs from where it is mapped")
+                    forward = offset if not text & 1 else index.length(text) - offset - 1
+                    row = (names[text // 2], forward + 1, text, offset, bool(text & 1))
+                for column, value in zip(out, row):
+                    column.append(value)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            return [pa.array(range(len(q)), pa.int32()), *(pa.array(c, k) for c, k in zip(out, kinds))]
+
+        found = once(mapped)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for name, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not q or "N" in q.upper():
-                    continue
-                for i, p in enumerate(mapper(q, index)[0]):
-                    row: tuple = (name, i, None, None, None, None, None)
-                    if p is not None:
-                        text, offset = p
-                        if not canon and index.texts[text][offset] != q[i].upper():
-                            raise ValueError(f"{name}: base {i} differs from where it is mapped")
-                        forward = offset if not text & 1 else index.length(text) - offset - 1
-                        row = (name, i, names[text // 2], forward + 1, text, offset, bool(text & 1))
-                    for column, value in zip(out, row):
-                        column.append(value)
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds)], names=["read", "i", "ref", "ref_off", "text", "offset", "backwards"]
-            )
-
-    return reads.select(F.col("read").cast("string"), F.col("seq").cast("string")).mapInArrow(run, MAPPED)
+            own, rows = [], []
+            for name, q in zip(batch.column(0), batch.column(1).to_pylist()):
+                if q and "N" not in q.upper():
+                    rows.append(found(q))
+                    own.append(pa.repeat(name, len(q)))
+            if rows:
+                columns = [pa.concat_arrays(own), *(pa.concat_arrays(c) for c in zip(*rows))]
+                yield pa.RecordBatch.from_arrays(columns, names=["read", "i", "ref", "ref_off", "text", "offset", "backwards"])
+
+    return dealt(reads, F.col("read").cast("string"), F.col("seq").cast("string")).mapInArrow(run, MAPPED)
 
 
 def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataFrame:
@@ -115,18 +153,15 @@ def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held(*made)
         pick = min_matchings if shortest else max_matchings
+        found = once(lambda q: [(m.start, m.length, *m.at) for m in pick(matching_statistics(q.upper(), index))])
         for batch in batches:
-            rows = [
-                (name, m.start, m.length, *m.at)
-                for name, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for m in pick(matching_statistics((q or "").upper(), index))
-            ]
+            rows = [(name, *m) for name, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in found(q or "")]
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["read", "start", "length", "text", "offset"])
 
     schema = "read string, start int, length int, text long, offset long"
-    return reads.select(F.col("read").cast("string"), F.col("seq").cast("string")).mapInArrow(run, schema)
+    return dealt(reads, F.col("read").cast("string"), F.col("seq").cast("string")).mapInArrow(run, schema)
 
 
 #: Letters of a text that are taken apart at a time.
@@ -195,20 +230,25 @@ def map_sides(reads: DataFrame, reference: list[tuple], least: int = 0) -> DataF
             return starts[text // 2] + offset, name
 
         shown = lambda s: None if s is None else f"{s[0]}{s[1]}"
+
+        def sides(text: str) -> list[pa.Array]:
+            q, rows = text.upper(), []
+            behind = [None if x is None else index.flip(x) for x in reversed(ahead(reverse_complement(q)))]
+            for i, (x, y) in enumerate(zip(behind, ahead(q))):
+                left, right = side(x, "L"), side(y, "R")
+                both = left if right is None else (right[0], "LR"[right[1] == "L"]) if left is None else left if left[0] == right[0] and left[1] != right[1] else None
+                rows.append((i, q[i], shown(left), shown(both), shown(right)))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            return [pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.string()] * 4))]
+
+        found = once(sides)
         for batch in batches:
-            rows = []
-            for name, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                q = (q or "").upper()
-                behind = [None if x is None else index.flip(x) for x in reversed(ahead(reverse_complement(q)))]
-                for i, (x, y) in enumerate(zip(behind, ahead(q))):
-                    left, right = side(x, "L"), side(y, "R")
-                    both = left if right is None else (right[0], "LR"[right[1] == "L"]) if left is None else left if left[0] == right[0] and left[1] != right[1] else None
-                    rows.append((name, i, q[i], shown(left), shown(both), shown(right)))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.string(), pa.int32(), *[pa.string()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["read", "i", "base", "left", "both", "right"])
-
-    return reads.select(F.col("read").cast("string"), "seq").mapInArrow(run, SIDES)
+            got = [(name, found(q or "")) for name, q in zip(batch.column(0), batch.column(1).to_pylist())]
+            if got:
+                columns = [pa.concat_arrays([pa.repeat(name, len(rows[0])) for name, rows in got]), *(pa.concat_arrays(c) for c in zip(*(rows for _, rows in got)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["read", "i", "base", "left", "both", "right"])
+
+    return dealt(reads, F.col("read").cast("string"), "seq").mapInArrow(run, SIDES)
 
 
 def evaluate_mapability(contigs: DataFrame, reference: list[tuple], min_edit_bound: int = 0) -> DataFrame:

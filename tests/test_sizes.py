@@ -3,6 +3,7 @@
 import random
 
 from strandweave.operators import evaluate, intervals, views
+from strandweave.plans import mapping
 from strandweave.sources import readers
 
 
@@ -48,3 +49,30 @@ def test_references_meet_pairs_in_pieces(spark, monkeypatch):
     found = readers.matching_pairs(pairs, reference)
     assert "broadcast" not in plan(found)
     assert sorted((x.read, x.ref, x.ref_off) for x in found.collect()) == expected
+
+
+CONTIGS = ["CATGCTTCGGCGATTCGACGCTCATCTGCGACTCT", "CGGGCGCATCGCTATTATTTCTTTCTCTTTTCACA"]
+
+
+def reads_in_one_task(spark):
+    """Seven reads, 30 copies of each, as one file is."""
+    r, made = random.Random(7), []
+    for n in range(7):
+        q = list(CONTIGS[n % 2])
+        q[r.randrange(35)] = r.choice("ACGT")
+        made.append("".join(q))
+    return made, spark.createDataFrame([(f"{n}-{k}", q) for k in range(30) for n, q in enumerate(made)], "read string, seq string").coalesce(1)
+
+
+def dealt_out(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_sides_of_copies_are_found_once_by_many_tasks(spark):
+    made, reads = reads_in_one_task(spark)
+    reference = [(n, c, 0) for n, c in enumerate(CONTIGS)]
+    found = mapping.map_sides(reads, reference, 4)
+    assert dealt_out(found) >= spark.sparkContext.defaultParallelism
+    rows = sorted(tuple(x) for x in found.collect())
+    alone = {tuple(x) for n, q in enumerate(made) for x in mapping.map_sides(spark.createDataFrame([(str(n), q)], "read string, seq string"), reference, 4).collect()}
+    assert rows == sorted((f"{x[0]}-{k}", *x[1:]) for x in alone for k in range(30)) and len(rows) == 7 * 30 * 35
