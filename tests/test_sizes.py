@@ -3,6 +3,8 @@
 import random
 
 from strandweave.operators import evaluate, intervals, views
+from strandweave.operators.index import ViewIndex
+from strandweave.operators.zipmap import Zip, zip_map
 from strandweave.plans import mapping
 from strandweave.sources import readers
 
@@ -76,3 +78,16 @@ def test_sides_of_copies_are_found_once_by_many_tasks(spark):
     rows = sorted(tuple(x) for x in found.collect())
     alone = {tuple(x) for n, q in enumerate(made) for x in mapping.map_sides(spark.createDataFrame([(str(n), q)], "read string, seq string"), reference, 4).collect()}
     assert rows == sorted((f"{x[0]}-{k}", *x[1:]) for x in alone for k in range(30)) and len(rows) == 7 * 30 * 35
+
+
+def test_zip_maps_copies_once_by_many_tasks(spark):
+    made, reads = reads_in_one_task(spark)
+    reference, index = [(n, c, 0) for n, c in enumerate(CONTIGS)], ViewIndex(CONTIGS)
+    found = mapping.map_reads(reads, reference, "zip", min_context=4)
+    assert dealt_out(found) >= spark.sparkContext.defaultParallelism
+    positions = [zip_map(q, index, Zip(min_context=4))[0] for q in made]
+    expected = sorted((f"{n}-{k}", i, *(p or (None, None))) for k in range(30) for n, found in enumerate(positions) for i, p in enumerate(found))
+    assert sorted((x.read, x.i, x.text, x.offset) for x in found.collect()) == expected
+    calls = []
+    get = mapping.once(lambda q: calls.append(q) or len(q))
+    assert [get(q) for q in ("AC", "AC", "A", "A", "AC")] == [2, 2, 1, 1, 2] and calls == ["AC", "A", "AC"]
