@@ -1,6 +1,7 @@
 """What made queries fail on larger tables, on tables that are small."""
 
 import random
+from collections import Counter
 
 from strandweave.operators import evaluate, intervals, views
 from strandweave.operators.index import ViewIndex
@@ -91,3 +92,14 @@ def test_zip_maps_copies_once_by_many_tasks(spark):
     calls = []
     get = mapping.once(lambda q: calls.append(q) or len(q))
     assert [get(q) for q in ("AC", "AC", "A", "A", "AC")] == [2, 2, 1, 1, 2] and calls == ["AC", "A", "AC"]
+
+
+def test_counters_of_copies(spark):
+    made, reads = reads_in_one_task(spark)
+    reference, index = [(n, c, 0) for n, c in enumerate(CONTIGS)], ViewIndex(CONTIGS)
+    expected = Counter()
+    for q in made:
+        expected.update({stat: 30 * n for stat, n in zip_map(q, index, Zip(min_context=4))[1].items()})
+    found = mapping.map_counters(reads, reference, "zip", min_context=4)
+    assert {x.stat: x.value for x in found.collect()} == dict(expected)
+    assert list(mapping.copies(["A", "A", "C", "A"])) == [("A", 2), ("C", 1), ("A", 1)]
