@@ -5,7 +5,7 @@ from collections import Counter
 
 from strandweave.operators import evaluate, intervals, views
 from strandweave.operators.index import ViewIndex
-from strandweave.operators.zipmap import Zip, zip_map
+from strandweave.operators.zipmap import Zip, apply_credit, zip_map
 from strandweave.plans import mapping
 from strandweave.sources import readers
 
@@ -103,3 +103,14 @@ def test_counters_of_copies(spark):
     found = mapping.map_counters(reads, reference, "zip", min_context=4)
     assert {x.stat: x.value for x in found.collect()} == dict(expected)
     assert list(mapping.copies(["A", "A", "C", "A"])) == [("A", 2), ("C", 1), ("A", 1)]
+
+
+def test_credit_looks_positions_up_in_one_table():
+    index = ViewIndex(CONTIGS)
+    assert index.canon_of is index.canon_of and index.canon_of == dict(zip(index.rows, index.canon))
+    q = CONTIGS[0][:17] + ("A" if CONTIGS[0][17] != "A" else "C") + CONTIGS[0][18:]
+    found = [(0, i) if i < 12 or i > 22 else None for i in range(35)]
+    index.by_canon  # noqa: B018
+    del index.__dict__["canon_of"]
+    assert apply_credit(q, found, index, 1) == [None if i == 17 else (0, i) for i in range(35)]
+    assert "canon_of" in index.__dict__
