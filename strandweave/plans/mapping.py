@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.seq import shared_prefix
-from strandweave.operators import graph
+from strandweave.operators import contigs, graph
 from strandweave.operators.index import MAX_BASES, Position, held, reverse_complement
 from strandweave.operators.matching import Natural, matching_statistics, max_matchings, min_matchings, minimum_contexts, natural_map
 from strandweave.operators.zipmap import Zip, zip_map
@@ -47,6 +48,11 @@ def index_arguments(reference: list[tuple], mask: list | None = None, canon: dic
     return hashlib.sha256(repr((*arguments[:3], sorted((canon or {}).items()))).encode()).hexdigest(), *arguments
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for rows that are few bytes and much work: a count that is given is kept."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(reads: DataFrame, *columns: Column | str) -> DataFrame:
     """Columns of reads (the last one ``seq``), dealt by sequence over all cores,
     equal ones behind each other. A file of reads may be a single task, and what a
@@ -54,9 +60,7 @@ def dealt(reads: DataFrame, *columns: Column | str) -> DataFrame:
     rows = reads.select(*columns)
     if reads.isStreaming:
         return rows
-    spark = reads.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "seq").sortWithinPartitions("seq")
+    return rows.repartition(tasks(reads.sparkSession), "seq").sortWithinPartitions("seq")
 
 
 def copies(reads: list[str]) -> Iterator[tuple[str, int]]:
@@ -168,38 +172,93 @@ def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataF
 PIECE = 4096
 
 
-def relational_statistics(reads: DataFrame, texts: DataFrame, seed: int = 4) -> DataFrame:
-    """(read, i, longest, unique): matching statistics for any reference size.
+def beside_reads(rows: DataFrame) -> DataFrame:
+    """Suffixes (s, asks, ..) without the reference's that are nobody's two nearest.
+
+    Rows are range-partitioned and sorted. A suffix of the reference stays if a
+    suffix of a read is among the two rows before or the two after it, or if it may
+    be, beyond the ends of its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = np.ones(2, bool), None  # what the two rows before ask; the rows not yet decided
+
+        def kept(table: pa.Table, after: np.ndarray) -> pa.Table:
+            asks = np.concatenate([before, table["asks"].to_numpy(), after])
+            n = table.num_rows
+            return table.filter(pa.array(asks[:n] | asks[1 : n + 1] | asks[2 : n + 2] | asks[3 : n + 3] | asks[4 : n + 4]))
 
-    Suffixes of reads and of texts are range-partitioned and sorted together, and
-    reference rows are numbered through; the nearest two on each side hold the
-    longest and the second longest match. A match is no longer than a read, so no
-    suffix is carried beyond the longest read. Matches of less than ``seed`` bases
-    are left out, and no shortest unique match below it is given.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            n = held.num_rows
+            if n > 2:  # the last two wait for what follows
+                asks = held["asks"].to_numpy()
+                yield from kept(held.slice(0, n - 2), asks[n - 2 :]).to_batches()
+                before, held = np.concatenate([before, asks[: n - 2]])[-2:], held.slice(n - 2)
+        if held is not None:
+            yield from kept(held, np.ones(2, bool)).to_batches()
+
+    prepare(rows.sparkSession)
+    dealt_rows = rows.repartitionByRange("s").sortWithinPartitions("s", "asks")
+    return dealt_rows.mapInArrow(run, rows.schema)
+
+
+def relational_matches(reads: DataFrame, texts: DataFrame, seed: int = 4) -> DataFrame:
+    """(read, whole, i, longest, unique, text, offset): matching statistics for any size
+    of reference (text, seq), and where the longest match lies if it lies at one place;
+    ``whole`` is a hash of the read, which tells reads of one name apart.
+
+    Suffixes of reads and of texts are range-partitioned and sorted together, those
+    of texts that are no read's neighbours go, and the others are numbered through;
+    the nearest two on each side hold the longest and the second longest match. A
+    match is no longer than a read, so no suffix is carried beyond the longest read.
+    Matches of less than ``seed`` bases are left out, and no shortest unique match
+    below it is given.
     """
     s = F.col("seq")
-    most = reads.agg(F.coalesce(F.max(F.length(s)), F.lit(0))).first()[0]
-    tails = F.explode(F.sequence(F.lit(1), F.length(s)))
-    tail = F.substring("seq", F.col("i"), F.lit(max(1, most)))
+    most = max(1, reads.agg(F.coalesce(F.max(F.length(s)), F.lit(0))).first()[0])
+    none = F.lit(None).cast("long")
     # long texts are cut in pieces that overlap by a read first: a suffix then comes from a short row
-    starts = F.sequence(F.lit(0), F.length(s) - 1, F.lit(PIECE))
-    pieces = texts.filter(F.length(s) > 0).select(F.explode(F.transform(starts, lambda a: F.substring(s, a + 1, F.lit(PIECE + max(1, most) - 1)))).alias("seq"))
+    cut = contigs.pieces(texts.select("text", "seq"), "text", PIECE, most - 1).repartition(tasks(reads.sparkSession), "text", "start")
     own = F.explode(F.sequence(F.lit(1), F.least(F.length(s), F.lit(PIECE))))
-    ref = pieces.select(own.alias("i"), s).select(tail.alias("s"), F.lit(None).cast("string").alias("read"), F.lit(None).cast("int").alias("i"))
-    ask = reads.filter(F.length(s) >= seed).select(F.col("read").cast("string"), tails.alias("i"), s).select(tail.alias("s"), "read", (F.col("i") - 1).alias("i"))
-    both = ref.unionByName(ask.filter(F.length("s") >= seed)).withColumn("asks", F.col("read").isNotNull())
-    table = materialize(running_sum(both, ["s", "asks"], {"n": (~F.col("asks")).cast("long")}))
-    numbered = table.filter("not asks").select("n", F.col("s").alias("r"))
-    out = table.filter("asks")
-    lcps = []
+    ref = cut.select("text", "start", own.alias("at"), s).select(
+        F.substring("seq", F.col("at"), F.lit(most)).alias("s"), F.lit(False).alias("asks"), F.lit(None).cast("string").alias("read"), none.alias("whole"), F.lit(None).cast("int").alias("i"),
+        F.col("text").cast("long").alias("text"), (F.col("start") + F.col("at") - 1).alias("offset"),
+    )
+    ask = reads.filter(F.length(s) >= seed).select(F.col("read").cast("string"), F.xxhash64(s).alias("whole"), F.explode(F.sequence(F.lit(1), F.length(s))).alias("at"), s).select(
+        F.substring("seq", F.col("at"), F.lit(most)).alias("s"), F.lit(True).alias("asks"), "read", "whole", (F.col("at") - 1).alias("i"), none.alias("text"), none.alias("offset")
+    )
+    near = materialize(beside_reads(ref.unionByName(ask.filter(F.length("s") >= seed))))
+    table = materialize(running_sum(near, ["s", "asks"], {"n": (~F.col("asks")).cast("long")}))
+    numbered = table.filter("not asks").select("n", F.struct("s", "text", "offset").alias("r"))
+    out = table.filter("asks").select("s", "read", "whole", "i", "n")
+    matches = []
     for name, by in (("b1", 0), ("b2", -1), ("a1", 1), ("a2", 2)):
-        out = out.join(numbered.select((F.col("n") - by).alias("n"), F.col("r").alias(name)), "n", "left")
-        lcps.append(F.coalesce(shared_prefix("s", name), F.lit(0)))
-    ordered = F.sort_array(F.array(*lcps), asc=False)
-    out = out.withColumn("l", ordered).withColumn("longest", F.col("l")[0]).withColumn("second", F.col("l")[1])
+        out = out.join(numbered.select((F.col("n") - by).alias("n"), F.col("r").alias(name)).hint("merge"), "n", "left")
+        matches.append(F.struct(F.coalesce(shared_prefix("s", f"{name}.s"), F.lit(0)).alias("l"), F.col(f"{name}.text").alias("text"), F.col(f"{name}.offset").alias("offset")))
+    out = out.withColumn("m", F.sort_array(F.array(*matches), asc=False)).withColumns({"longest": F.col("m")[0]["l"], "second": F.col("m")[1]["l"]})
+    only = F.col("second") < F.col("longest")
     return out.filter(F.col("longest") >= seed).select(
-        "read", "i", "longest", F.when(F.col("second") < F.col("longest"), F.greatest(F.col("second") + 1, F.lit(seed))).alias("unique")
-    )
+        "read", "whole", "i", "longest", F.when(only, F.greatest(F.col("second") + 1, F.lit(seed))).alias("unique"),
+        F.when(only, F.col("m")[0]["text"]).alias("text"), F.when(only, F.col("m")[0]["offset"]).alias("offset"),
+    )
+
+
+def relational_statistics(reads: DataFrame, texts: DataFrame, seed: int = 4) -> DataFrame:
+    """(read, i, longest, unique): matching statistics for any reference size."""
+    return relational_matches(reads, texts.select(F.lit(0).alias("text"), "seq"), seed).select("read", "i", "longest", "unique")
+
+
+def relational_matchings(reads: DataFrame, texts: DataFrame) -> DataFrame:
+    """(read, start, length, text, offset): unique matches that extend neither way,
+    as ``matchings`` has them, for any size of reference (text, seq)."""
+    found = relational_matches(reads.withColumn("seq", F.upper("seq")), texts.withColumn("seq", F.upper("seq")), 1)
+    before = F.max("longest").over(Window.partitionBy("read", "whole").orderBy("i").rangeBetween(-1, -1))
+    # a base without any match has no row, and no longer match starts there
+    found = found.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("unique").isNotNull() & (F.col("_before") <= F.col("longest")))
+    return found.select("read", F.col("i").alias("start"), F.col("longest").alias("length"), "text", "offset")
 
 
 SIDES = "read string, i int, base string, `left` string, `both` string, `right` string"

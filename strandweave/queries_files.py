@@ -405,20 +405,24 @@ w AS (SELECT *, lag(longest) OVER (PARTITION BY read ORDER BY i) AS before FROM
 def _long(spark, d):
     name = F.concat(F.md5("c_name"), F.md5(F.concat("c_name", F.lit("x"))), F.left(F.md5(F.concat("c_name", F.lit("y"))), F.lit(8)))
     c = load(spark, d, "customer").select("c_custkey", F.translate(name, HEX, AS_BASES).alias("s"))
-    # one contig, whose size is checked before it is sent anywhere
+    # one contig, made once
     genome = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "s"))), lambda x: x["s"]), "").alias("seq"))
-    known = genome.select(F.lit(0).cast("long").alias("contig"), "seq", F.lit(0).cast("long").alias("genome"))
-    at = (F.col("s_suppkey") * 103).cast("int")
+    known = materialize(genome.select(F.lit(0).cast("long").alias("contig"), "seq", F.lit(0).cast("long").alias("genome")))
+    at = F.col("at")
     cut = F.concat(F.substring("seq", at + 1, F.lit(15)), F.translate(F.substring("seq", at + 16, F.lit(1)), "ACGT", "CGTA"), F.substring("seq", at + 17, F.lit(16)))
-    one = F.lit(1).alias("k")
-    asked = load(spark, d, "supplier").select("s_name", "s_suppkey", one).join(F.broadcast(genome.select("seq", one)), "k").select(F.col("s_name").alias("read"), cut.alias("seq"))
-    return known, asked
+    # a read comes from the piece it starts on: ``substring`` counts from the start of a text
+    pieces = contigs.pieces(known.select("contig", "seq"), "contig", mapping.PIECE, 31).select((F.col("start") / mapping.PIECE).cast("int").alias("piece"), "seq")
+    at = (F.col("s_suppkey") * 103).cast("long")
+    s = load(spark, d, "supplier").select("s_name", (at % mapping.PIECE).cast("int").alias("at"), F.floor(at / mapping.PIECE).cast("int").alias("piece"))
+    asked = s.join(pieces.hint("merge"), "piece", "left").select(F.col("s_name").alias("read"), F.coalesce(cut, F.lit("")).alias("seq"))
+    return known, materialize(asked)
 
 
 @query(f"""WITH {LONG} SELECT read, CAST(i AS INTEGER) AS start, CAST(longest AS INTEGER) AS length, CAST(text AS BIGINT) AS text, CAST(pos AS BIGINT) AS "offset" FROM w WHERE uniq IS NOT NULL AND (i = 0 OR before <= longest)""")
 def long_reference_mum(spark, d):
     known, asked = _long(spark, d)
-    return mapping.matchings(asked, mapping.collect_reference(known), shortest=False)
+    both = known.select(F.lit(0).alias("text"), "seq").unionByName(known.select(F.lit(1).alias("text"), seq.reverse_complement("seq").alias("seq")))
+    return mapping.relational_matchings(asked, both)
 
 
 @query(f"""WITH {LONG} SELECT read, CAST(i AS INTEGER) AS i, CAST(longest AS INTEGER) AS longest, CASE WHEN uniq IS NOT NULL THEN CAST(uniq AS INTEGER) END AS "unique" FROM st WHERE longest >= 4""")

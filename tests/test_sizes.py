@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 from strandweave.operators import evaluate, intervals, views
-from strandweave.operators.index import ViewIndex
+from strandweave.operators.index import ViewIndex, reverse_complement
 from strandweave.operators.zipmap import Zip, apply_credit, zip_map
 from strandweave.plans import mapping
 from strandweave.sources import readers
@@ -114,3 +114,18 @@ def test_credit_looks_positions_up_in_one_table():
     del index.__dict__["canon_of"]
     assert apply_credit(q, found, index, 1) == [None if i == 17 else (0, i) for i in range(35)]
     assert "canon_of" in index.__dict__
+
+
+def test_matchings_for_any_size_of_reference(spark, monkeypatch):
+    r = random.Random(9)
+    made = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    reference = [(n, s, 0) for n, s in enumerate([made(9000), made(300), made(300).lower(), "ACGT" * 20, ""])]
+    at = [r.randrange(8900) for _ in range(40)] + [4080, 4095, 4096, 8970]
+    reads = [(f"r{n}", reference[0][1][a : a + 14] + made(2) + reference[1][1][a % 280 : a % 280 + 9]) for n, a in enumerate(at)]
+    reads += [("r0", made(20)), ("low", reads[3][1].lower()), ("n", "ACGNNACG"), ("short", "A"), ("e", ""), ("two", "ACGTACGT"), ("same", reads[5][1]), ("same", reads[5][1])]
+    asked = spark.createDataFrame(reads, "read string, seq string")
+    expected = sorted(tuple(x) for x in mapping.matchings(asked, reference, shortest=False).collect())
+    texts = [(2 * n + k, s) for n, t, _ in reference for k, s in enumerate((t, reverse_complement(t.upper())))]
+    monkeypatch.setattr(mapping, "MAX_BASES", 100)
+    found = mapping.relational_matchings(asked, spark.createDataFrame(texts, "text int, seq string"))
+    assert sorted(tuple(x) for x in found.collect()) == expected and expected
