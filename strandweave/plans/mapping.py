@@ -170,6 +170,8 @@ def matchings(reads: DataFrame, reference: list[tuple], shortest: bool) -> DataF
 
 #: Letters of a text that are taken apart at a time.
 PIECE = 4096
+#: Letters of a piece whose suffixes are taken: each counts its letters from the piece's start.
+SHORT = 128
 
 
 def beside_reads(rows: DataFrame) -> DataFrame:
@@ -221,8 +223,8 @@ def relational_matches(reads: DataFrame, texts: DataFrame, seed: int = 4) -> Dat
     most = max(1, reads.agg(F.coalesce(F.max(F.length(s)), F.lit(0))).first()[0])
     none = F.lit(None).cast("long")
     # long texts are cut in pieces that overlap by a read first: a suffix then comes from a short row
-    cut = contigs.pieces(texts.select("text", "seq"), "text", PIECE, most - 1).repartition(tasks(reads.sparkSession), "text", "start")
-    own = F.explode(F.sequence(F.lit(1), F.least(F.length(s), F.lit(PIECE))))
+    cut = contigs.pieces(texts.select("text", "seq"), "text", SHORT, most - 1).repartition(tasks(reads.sparkSession), "text", "start")
+    own = F.explode(F.sequence(F.lit(1), F.least(F.length(s), F.lit(SHORT))))
     ref = cut.select("text", "start", own.alias("at"), s).select(
         F.substring("seq", F.col("at"), F.lit(most)).alias("s"), F.lit(False).alias("asks"), F.lit(None).cast("string").alias("read"), none.alias("whole"), F.lit(None).cast("int").alias("i"),
         F.col("text").cast("long").alias("text"), (F.col("start") + F.col("at") - 1).alias("offset"),

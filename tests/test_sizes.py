@@ -129,3 +129,16 @@ def test_matchings_for_any_size_of_reference(spark, monkeypatch):
     monkeypatch.setattr(mapping, "MAX_BASES", 100)
     found = mapping.relational_matchings(asked, spark.createDataFrame(texts, "text int, seq string"))
     assert sorted(tuple(x) for x in found.collect()) == expected and expected
+
+
+def test_suffixes_that_are_no_neighbours_go(spark):
+    r = random.Random(10)
+    rows = [("".join(r.choice("ACGT") for _ in range(6)), n % 40 == 0) for n in range(3000)]
+    kept = mapping.beside_reads(spark.createDataFrame(rows, "s string, asks boolean")).collect()
+    order = sorted(rows)
+    near = set()
+    for k, (_, asks) in enumerate(order):
+        if asks:
+            near |= {j for side in (range(k - 1, -1, -1), range(k + 1, len(order))) for j in [j for j in side if not order[j][1]][:2]}
+    wanted = Counter([x for x in order if x[1]] + [order[j] for j in near])
+    assert not wanted - Counter((x.s, x.asks) for x in kept) and len(kept) < 600
