@@ -53,12 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strandweave-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def persisted(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it: lineage ends there, and
-    a lost executor costs nothing but the tasks it was running."""
+    a lost executor costs nothing but the tasks it was running. Its shuffle files
+    go at once, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,9 @@ hash, then frequent grams by rising document frequency. Documents with equal
 sets are one node from then on.
 
 1. Two sets that are similar enough share a gram in the first few of each (the
-   prefix). Prefix grams are grouped; those of one node only are dropped.
+   prefix). Prefix grams are dealt out once, and a node stays in a gram's group
+   only if another one there is of such a size, and has the gram at such a place,
+   that enough of both sets is left to share from that gram on.
 2. Within a group, two sets whose sizes or signatures rule a link out are not
    paired. A signature counts a set's grams in buckets; two sets differ in at
    least as many grams as their signatures do, so nothing is lost. What is left
@@ -42,6 +44,8 @@ from strandweave.llm.components import components
 FREQUENT, ORDERED = 1e-3, 1 << 18
 #: Grams, or bytes of signatures, of one tile at most, about; and sets of one.
 CELL, SETS = 8_000_000, 8_192
+#: Prefix grams looked at together; nodes of a gram that are compared by place.
+CHUNK, COMPARED = 1 << 16, 64
 _HEAVY = np.uint64(1 << 63)
 
 
@@ -251,10 +255,15 @@ class Signatures:
 def signature(keys: np.ndarray) -> np.ndarray:
     """Counts of a set in 2**k buckets, about 24 grams to a bucket; larger sets
     have more, and neighbouring buckets add up to those of smaller sets."""
-    bits = max(5, int(len(keys) // 24).bit_length())
+    bits = int(signature_length(np.array([len(keys)]))[0] // 2).bit_length() - 1
     return np.bincount((mix(keys) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
 
 
+def signature_length(sizes: np.ndarray) -> np.ndarray:
+    """Bytes of the signatures of sets of these sizes."""
+    return 2 << np.maximum(5, np.frexp(sizes // 24)[1].astype(np.int64))
+
+
 # ---- the join --------------------------------------------------------------
 
 
@@ -340,6 +349,69 @@ def sets(documents: DataFrame, order: Order, size: int, percent: int) -> DataFra
     return map_batches(documents, columns, run, "doc_id long, text_hash long, size long, key long, prefix array<long>, signature binary")
 
 
+def meetable(gram: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows (a set's size, and the gram's place in it) may be linked with
+    another of their gram. The first gram that two sets share is followed by all
+    others, so no more is left in either than they share. Rows in falling or rising
+    order of grams; where a gram has many, all of them may."""
+    order = np.lexsort((size, gram))
+    gram, size, left = gram[order], size[order], (size - place)[order]
+    may = np.zeros(len(gram), bool)
+    for by in range(1, min(COMPARED, len(gram) - 1) + 1):
+        at = np.flatnonzero(gram[by:] == gram[:-by])
+        if not len(at):
+            break
+        total = size[at] + size[at + by]
+        at = at[np.minimum(left[at], left[at + by]) >= -(-percent * total // (100 + percent))]
+        may[at] = may[at + by] = True
+    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    counts = np.diff([*starts, len(gram)])
+    may |= np.repeat(counts > COMPARED + 1, counts)
+    out = np.empty(len(may), bool)
+    out[order] = may
+    return out
+
+
+def meeting(nodes: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, pos, _len) of the prefix grams by which nodes may be linked.
+    A gram of more rows than a chunk keeps all of them; one chunk is held at a time."""
+    prepare(nodes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, hot = 0, None  # rows held; the gram whose first rows went out unseen
+
+        def kept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            gram, places = rows["gram"].to_numpy(), rows["_at"].to_numpy()
+            stays = meetable(gram, places >> 32, places & 0xFFFFFFFF, percent)
+            if hot is not None:
+                stays |= gram == hot
+            if stays.any():
+                gram, node, at = gram[stays], rows["node"].to_numpy()[stays], places[stays]
+                columns = [pa.array(x) for x in (gram, node, (at & 0xFFFFFFFF).astype(np.int32), signature_length(at >> 32).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "node", "pos", "_len"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= CHUNK:
+                rows = pa.Table.from_batches(held)
+                gram = rows["gram"].to_numpy()
+                end = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
+                if not end:
+                    hot, end = gram[-1], n
+                yield from kept(rows.slice(0, end))
+                held = rows.slice(end).to_batches()
+                n -= end
+        if n:
+            yield from kept(pa.Table.from_batches(held))
+
+    at = F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("long")).alias("_at")
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram")).select("gram", "node", at)
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, node long, pos int, _len int")
+
+
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, root) of every node that may link with another.
 
@@ -347,14 +419,13 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     where they are shared across the components found by then.
     """
     signatures = nodes.select("node", "size", "signature")
-    exploded = nodes.select("node", F.octet_length("signature").alias("_len"), F.posexplode("prefix").alias("pos", "gram")).repartition("gram")
-    # lone grams go, and of grams that the very same nodes share one stays; the
-    # sums and the join work on one dealing of the rows (equal columns, so that
-    # the exchange is reused)
+    exploded = persisted(meeting(nodes, percent))
+    # of grams that the very same nodes share one stays
     nodes_hash = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"_h{i}") for i in (0, 1)]
     groups = exploded.groupBy("gram").agg(F.count("*").alias("_n"), F.sum("_len").alias("_total"), F.min("pos").alias("_first"), *nodes_hash)
     same = groups.filter("_n > 1").groupBy("_n", "_h0", "_h1").agg(F.min(F.struct("gram", "_total", "_first")).alias("g"))
     rows = persisted(exploded.join(same.select("_n", "g.*"), "gram"))
+    discard(exploded)
     first = _candidate_edges(rows.filter("pos < 3").select("gram", "node", "_total", "_n"), signatures, percent)
     first = persisted(first)
     found = components(first)
@@ -387,6 +458,7 @@ def links(documents: DataFrame, nodes: DataFrame, order: Order, size: int, perce
     # and without effect on results) keeps the others' texts from the shuffle
     spark = documents.sparkSession
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")  # else not beyond 10 MB
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), absent).alias("doc_id"), "text")
     texts = rows.join(wanted.filter("_total > 0"), "doc_id")
 
@@ -416,6 +488,8 @@ def join(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     discard(wide)
     roots = components(links(documents, nodes, order, size, percent))
     ids = nodes.select("node", "key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = persisted(ids)
+    discard(nodes)
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(least, "root").select("key", "component_id")
     out = table.join(named, "key", "left")
