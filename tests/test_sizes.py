@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from strandweave.operators import evaluate, intervals, views
+from strandweave.operators import evaluate, index as suffixes, intervals, views
 from strandweave.operators.index import ViewIndex, reverse_complement
 from strandweave.operators.zipmap import Zip, apply_credit, zip_map
 from strandweave.plans import mapping
@@ -142,3 +142,42 @@ def test_suffixes_that_are_no_neighbours_go(spark):
             near |= {j for side in (range(k - 1, -1, -1), range(k + 1, len(order))) for j in [j for j in side if not order[j][1]][:2]}
     wanted = Counter([x for x in order if x[1]] + [order[j] for j in near])
     assert not wanted - Counter((x.s, x.asks) for x in kept) and len(kept) < 600
+
+
+def zip_case():
+    r = random.Random(9)
+    genome = "".join(r.choice("ACGT") for _ in range(400))
+    texts = [genome[i : i + 80] for i in range(0, 400, 40)] + ["ACAC" * 15]
+    reads = [t[:k] + "ACGT"[n % 4] + t[k + 1 :] for n, t in enumerate(texts) for k in (3, 30, 55)]
+    return texts, reads + [reverse_complement(q) for q in reads[::4]]
+
+
+def test_zip_looks_few_rows_up_for_a_base():
+    texts, reads = zip_case()
+    index, asked = ViewIndex(texts), []
+    index.interval("A")
+
+    class Counted(list):
+        def __getitem__(self, at):
+            asked.append(at)
+            return super().__getitem__(at)
+
+    index.texts = Counted(index.texts)
+    bases = sum(len(zip_map(q[:32], index, Zip(min_context=8))[0]) for q in reads)
+    assert len(asked) < 40 * bases
+
+
+def test_zip_is_the_same_with_and_without_heads(monkeypatch):
+    texts, reads = zip_case()
+    merged = {(0, o + 40): (2, o) for o in range(40)} | {(1, 39 - o): (3, 79 - o) for o in range(40)}
+    for canon in (None, merged):
+        found = {}
+        for heads, letters in ((10**6, 32), (10**6, 5), (0, 32)):
+            monkeypatch.setattr(suffixes, "HEADS", heads)
+            monkeypatch.setattr(suffixes, "HEAD", letters)
+            index = ViewIndex(texts, canon=canon)
+            assert (index.heads is None) == (heads == 0)
+            assert all(index.texts[t][o:].startswith(s) == (lo <= k < hi) for s in ("", "A", "CA", "ACACAC", texts[0][3:50]) for lo, hi in [index.interval(s)] for k, (t, o) in enumerate(index.rows))
+            found[heads, letters] = [zip_map(q, index, p) for q in reads for p in (Zip(min_context=8), Zip(max_range_count=3, credit=True, credit_mismatches=1))]
+        assert found[10**6, 32] == found[10**6, 5] == found[0, 32]
+        assert any(p is not None for q in found[0, 32] for p in q[0])
