@@ -85,7 +85,8 @@ def map_counters(
     canon: dict[Position, Position] | None = None, **parameters,
 ) -> DataFrame:
     """(stat, value): what a scheme counts while it maps: bases mapped, credited,
-    conflicted, unmapped and the like. Summed in each task before the shuffle."""
+    conflicted, unmapped and the like. Copies of a read are counted before they are
+    dealt (in a stream, as they come), and counters are summed in each task."""
     prepare(reads.sparkSession)
     made = index_arguments(reference, mask, canon)
 
@@ -93,12 +94,14 @@ def map_counters(
         index, mapper, total = held(*made), SCHEMES[scheme](**parameters), Counter()
         counted = once(lambda q: mapper(q, index)[1])
         for batch in batches:
-            for q, n in copies(batch.column(0).to_pylist()):
+            every = batch.column(0).to_pylist()
+            for q, n in zip(every, batch.column(1).to_pylist()) if batch.num_columns > 1 else copies(every):
                 if q and "N" not in q.upper():
                     total.update({stat: n * value for stat, value in counted(q).items()})
         yield pa.RecordBatch.from_pydict({"stat": pa.array(list(total), pa.string()), "value": pa.array(list(total.values()), pa.int64())})
 
-    return dealt(reads, "seq").mapInArrow(run, "stat string, value long").groupBy("stat").agg(F.sum("value").alias("value"))
+    own = reads.select("seq") if reads.isStreaming else reads.groupBy("seq").agg(F.count("*").alias("n")).repartition(tasks(reads.sparkSession), "seq")
+    return own.mapInArrow(run, "stat string, value long").groupBy("stat").agg(F.sum("value").alias("value"))
 
 
 def map_reads(

@@ -181,3 +181,12 @@ def test_zip_is_the_same_with_and_without_heads(monkeypatch):
             found[heads, letters] = [zip_map(q, index, p) for q in reads for p in (Zip(min_context=8), Zip(max_range_count=3, credit=True, credit_mismatches=1))]
         assert found[10**6, 32] == found[10**6, 5] == found[0, 32]
         assert any(p is not None for q in found[0, 32] for p in q[0])
+
+
+def test_copies_are_counted_before_they_are_dealt(spark):
+    made, reads = reads_in_one_task(spark)
+    found = mapping.map_counters(reads, [(n, c, 0) for n, c in enumerate(CONTIGS)], "zip", min_context=4)
+    steps = plan(found)
+    python = steps.index("mapinarrow")
+    assert "hashaggregate(keys=[seq" in steps[python:] and "sort" not in steps[python:]
+    assert f", {mapping.tasks(spark)}), repartition_by_num" in steps[python:]
